@@ -1,26 +1,479 @@
-"""Registered queries: each operator run over the stand-in views of whole tables."""
+"""Registered queries: each operator run over stand-in views of whole tables.
+
+Keys follow the operator inventory. Every callable takes ``(spark, sf_dir)``
+and returns a lazy DataFrame; computed columns carry the same names as their
+DuckDB twins in ``cribra.plans.oracles``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cribra.functions import dates as D
+from cribra.functions.ids import is_valid_nct, nct_from_number
+from cribra.functions.json_fns import content_signature, json_path
+from cribra.functions.text import is_throttled, numbered, retry_budget, token_budget
+from cribra.operators import bronze as B
+from cribra.operators import extract as E
+from cribra.operators import ordering as O
+from cribra.operators import pending as PD
+from cribra.operators import predicates as P
 from cribra.operators import rules, silver
+from cribra.operators import stats as ST
+from cribra.schemas import ELIGIBILITY_JSON_PATH
 from cribra.sources import standins as S
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+# Parameters of the registered queries (ours).
+POINT_ID = "NCT00000042"
+SINCE = "2024-01-20"
+SCOPE_TERM, SCOPE_TYPE, SCOPE_STATUSES = "the", "en", ("src1", "src3", "src5", "src7")
+SCAN_LIMIT = 500
+PENDING_LIMIT = 100
+STOP_BATCH_SIZE = 2
+REPLACE_LANG = "de"
+REPLACE_BATCH = "silver-20260816T000000Z-0000"
+STATUS_FILTER = ("O", "P")
+ID_REQUEST = ("nct00000007", " NCT000000042 ", "NCT1", "nct 5", "NCT00000100", "X123")
+GEO_CENTER, GEO_DISTANCE, GEO_UNIT = (10.0, 20.0), 1500.0, "km"
+AGE_LO, AGE_HI = "18 Years", "30 Years"
+DATE_FROM, DATE_TO = "1995-03-01", "1995-06-30"
+PROJECTION = ("protocolSection.identificationModule", "protocolSection.statusModule.overallStatus")
+
+
+def register(name: str) -> Callable[[Query], Query]:
+    def deco(fn: Query) -> Query:
+        QUERIES[name] = fn
+        return fn
+    return deco
 
 
+# ---- flagship: built-in extraction ------------------------------------------
+
+@register("rule_criteria")
 def q_rule_criteria(spark: SparkSession, d: str) -> DataFrame:
     return rules.rule_criteria(S.bronze_docs(spark, d))
 
 
+@register("kind_distribution")
 def q_kind_distribution(spark: SparkSession, d: str) -> DataFrame:
     return silver.kind_distribution(rules.rule_criteria(S.bronze_docs(spark, d)))
 
 
-QUERIES: dict[str, Query] = {
-    "rule_criteria": q_rule_criteria,
-    "kind_distribution": q_kind_distribution,
-}
+# ---- Bronze -------------------------------------------------------------------
+
+def _bronze_first(spark: SparkSession, d: str) -> DataFrame:
+    return B.dedupe_latest(S.landing_first(spark, d), ["nct_id"], ["seq"]).select(
+        "nct_id", "last_update_posted", "raw", "status")
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    return B.merge_upsert(_bronze_first(spark, d), S.landing_second(spark, d), ["nct_id"], ["seq"])
+
+
+@register("bronze_dedupe_latest")
+def q_bronze_dedupe_latest(spark: SparkSession, d: str) -> DataFrame:
+    return B.dedupe_latest(S.study_updates(spark, d), ["nct_id"], ["seq"]).select(
+        "nct_id", "seq", "last_update_posted", "raw", "status")
+
+
+@register("bronze_merge")
+def q_bronze_merge(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d)
+
+
+@register("bronze_merge_counts")
+def q_bronze_merge_counts(spark: SparkSession, d: str) -> DataFrame:
+    return B.merge_counts(_merged(spark, d))
+
+
+@register("bronze_change_feed")
+def q_bronze_change_feed(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["last_update_posted", "raw", "status"]
+    return B.change_feed(_bronze_first(spark, d), _merged(spark, d), ["nct_id"], cols)
+
+
+@register("bronze_count")
+def q_bronze_count(spark: SparkSession, d: str) -> DataFrame:
+    return B.bronze_count(B.dedupe_latest(S.study_updates(spark, d), ["nct_id"], ["seq"]))
+
+
+@register("bronze_max_update")
+def q_bronze_max_update(spark: SparkSession, d: str) -> DataFrame:
+    return B.bronze_max_update(B.dedupe_latest(S.study_updates(spark, d), ["nct_id"], ["seq"]))
+
+
+@register("bronze_skipped_rows")
+def q_bronze_skipped_rows(spark: SparkSession, d: str) -> DataFrame:
+    # An error event carries no study: its id is missing on the page.
+    u = S.study_updates(spark, d)
+    page = u.select(F.when(F.col("status") != "error", F.col("nct_id")).alias("nct_id"))
+    return B.id_presence_counts(page)
+
+
+@register("limited_scan")
+def q_limited_scan(spark: SparkSession, d: str) -> DataFrame:
+    return O.first_n(S.study_updates(spark, d), ["seq"], SCAN_LIMIT).select("nct_id", "seq", "status")
+
+
+@register("study_by_id")
+def q_study_by_id(spark: SparkSession, d: str) -> DataFrame:
+    return S.bronze_docs(spark, d).where(F.col("nct_id") == POINT_ID).select(
+        "nct_id", "eligibility", "lang", "source")
+
+
+@register("json_path_value")
+def q_json_path_value(spark: SparkSession, d: str) -> DataFrame:
+    raw = S.bronze_raw(spark, d)
+    return raw.select("nct_id", json_path("raw", ELIGIBILITY_JSON_PATH).alias("eligibility"))
+
+
+@register("scope_filter")
+def q_scope_filter(spark: SparkSession, d: str) -> DataFrame:
+    docs = S.bronze_docs(spark, d).withColumn("terms", F.split("eligibility", " ", -1))
+    return P.scope_filter(docs, "terms", "lang", "source", term=SCOPE_TERM, study_type=SCOPE_TYPE,
+                          statuses=SCOPE_STATUSES, ancestor_field=None).select(
+        "nct_id", "lang", "source")
+
+
+@register("scope_count")
+def q_scope_count(spark: SparkSession, d: str) -> DataFrame:
+    return q_scope_filter(spark, d).agg(F.count(F.lit(1)).alias("scope_count"))
+
+
+@register("updated_since")
+def q_updated_since(spark: SparkSession, d: str) -> DataFrame:
+    u = P.filter_status(S.study_updates(spark, d), "status", ["purchase"])
+    return P.updated_since(u, "last_update_posted", SINCE).select(
+        "nct_id", "seq", "last_update_posted")
+
+
+@register("custom_predicate")
+def q_custom_predicate(spark: SparkSession, d: str) -> DataFrame:
+    pred = F.col("n_chars").between(500, 2000) & (F.col("lang") == "de")
+    return P.custom_filter(S.bronze_docs(spark, d), pred).select("nct_id", "n_chars")
+
+
+@register("valid_ids")
+def q_valid_ids(spark: SparkSession, d: str) -> DataFrame:
+    docs = S.table(spark, d, "documents")
+    cand = (F.when(F.col("lang") == "en", nct_from_number("doc_id"))
+             .when(F.col("lang") == "fr", F.concat(F.lit("NCT"), F.col("doc_id").cast("string")))
+             .when(F.col("lang") == "de", F.concat(F.lit("nct"), F.lpad(F.col("doc_id").cast("string"), 8, "0")))
+             .otherwise(F.concat(F.lit("NCT"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))))
+    return docs.select("doc_id", cand.alias("candidate")).withColumn("valid", is_valid_nct("candidate"))
+
+
+@register("strict_date")
+def q_strict_date(spark: SparkSession, d: str) -> DataFrame:
+    ev = S.table(spark, d, "events")
+    text = (F.when(F.col("event_type") == "view", F.date_format("ts", "yyyy-MM-dd"))
+             .when(F.col("event_type") == "click", F.date_format("ts", "yyyy-MM"))
+             .when(F.col("event_type") == "signup", F.lit("not-a-date"))
+             .when(F.col("event_type") == "purchase",
+                   F.concat(F.lit("2024-02-"), F.lpad(F.dayofmonth("ts").cast("string"), 2, "0")))
+             .otherwise(F.lit("")))
+    return ev.select("event_id", text.alias("date_text")).withColumn(
+        "parsed", D.strict_date("date_text"))
+
+
+# ---- run ledger ------------------------------------------------------------------
+
+@register("safe_watermark")
+def q_safe_watermark(spark: SparkSession, d: str) -> DataFrame:
+    return B.safe_watermark(S.runs_ledger(spark, d))
+
+
+@register("run_watermark")
+def q_run_watermark(spark: SparkSession, d: str) -> DataFrame:
+    return S.runs_ledger(spark, d).select("run_id", "mode", "studies_written", "watermark", "complete")
+
+
+# ---- Silver and pending ------------------------------------------------------------
+
+@register("silver_criteria_rows")
+def q_silver_criteria_rows(spark: SparkSession, d: str) -> DataFrame:
+    return S.silver_current(spark, d).select(
+        "nct_id", "signature", "ordinal", "criterion_id", "text", "kind", "is_exclusion")
+
+
+@register("signature_scope")
+def q_signature_scope(spark: SparkSession, d: str) -> DataFrame:
+    cur = S.silver_table(spark, d).where(F.col("signature") == S.CURRENT_SIGNATURE)
+    return cur.groupBy("nct_id").agg(F.count(F.lit(1)).alias("criteria"))
+
+
+@register("distinct_trials")
+def q_distinct_trials(spark: SparkSession, d: str) -> DataFrame:
+    return S.silver_current(spark, d).select("nct_id").distinct()
+
+
+@register("batch_assignment")
+def q_batch_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return S.outcomes(spark, d).select("nct_id", "batch_index", "batch")
+
+
+@register("batch_counts")
+def q_batch_counts(spark: SparkSession, d: str) -> DataFrame:
+    return silver.batch_counts(S.silver_current(spark, d))
+
+
+@register("staging_strings")
+def q_staging_strings(spark: SparkSession, d: str) -> DataFrame:
+    rows = rules.rule_criteria(S.bronze_docs(spark, d)).select("nct_id", "ordinal", "is_exclusion")
+    staged = silver.to_staging_strings(rows)
+    back = silver.from_staging_strings(staged.select(
+        "nct_id", F.col("ordinal"), F.col("is_exclusion")))
+    return staged.select("nct_id", F.col("ordinal").alias("ordinal_text"),
+                         F.col("is_exclusion").alias("is_exclusion_text")).join(
+        back.select("nct_id", F.col("ordinal").cast("string").alias("ordinal_text"),
+                    F.col("ordinal").alias("ordinal_int"), F.col("is_exclusion").alias("is_exclusion_bool")),
+        ["nct_id", "ordinal_text"])
+
+
+def _pending(spark: SparkSession, d: str, retry_failed: bool) -> DataFrame:
+    return PD.pending_trials(S.bronze_docs(spark, d), S.done_trials(spark, d),
+                             S.failures_cleared(spark, d), S.CURRENT_SIGNATURE,
+                             retry_failed=retry_failed)
+
+
+@register("pending_trials")
+def q_pending_trials(spark: SparkSession, d: str) -> DataFrame:
+    return _pending(spark, d, False).select("nct_id")
+
+
+@register("pending_retry_failed")
+def q_pending_retry_failed(spark: SparkSession, d: str) -> DataFrame:
+    return _pending(spark, d, True).select("nct_id")
+
+
+@register("pending_limited")
+def q_pending_limited(spark: SparkSession, d: str) -> DataFrame:
+    return PD.pending_limited(_pending(spark, d, False), PENDING_LIMIT).select("nct_id")
+
+
+@register("silver_replace")
+def q_silver_replace(spark: SparkSession, d: str) -> DataFrame:
+    docs = S.bronze_docs(spark, d).where(F.col("lang") == REPLACE_LANG)
+    batch = rules.rule_criteria(docs).select(
+        "nct_id", F.lit(S.CURRENT_SIGNATURE).alias("signature"), "ordinal", "criterion_id",
+        "text", "kind", "is_exclusion", F.lit(REPLACE_BATCH).alias("batch"))
+    return silver.replace_by_key(S.silver_table(spark, d), batch, ["nct_id", "signature"]).select(
+        "nct_id", "signature", "ordinal", "kind", "is_exclusion", "batch")
+
+
+@register("failures_accumulate")
+def q_failures_accumulate(spark: SparkSession, d: str) -> DataFrame:
+    return S.failures_after(spark, d)
+
+
+@register("failures_cleared")
+def q_failures_cleared(spark: SparkSession, d: str) -> DataFrame:
+    return S.failures_cleared(spark, d)
+
+
+@register("outcome_classes")
+def q_outcome_classes(spark: SparkSession, d: str) -> DataFrame:
+    parsed = E.parse_replies(S.replies(spark, d), keep=("conv_id", "turn"))
+    return parsed.select("conv_id", "turn", "outcome",
+                         F.size("criteria").alias("n_criteria"),
+                         is_throttled("error").alias("throttled"))
+
+
+@register("run_counters")
+def q_run_counters(spark: SparkSession, d: str) -> DataFrame:
+    return silver.run_counters(S.attempt_log(spark, d))
+
+
+@register("silver_stats")
+def q_silver_stats(spark: SparkSession, d: str) -> DataFrame:
+    return silver.silver_stats(S.silver_table(spark, d), S.failures_cleared(spark, d),
+                               S.bronze_docs(spark, d), S.CURRENT_SIGNATURE)
+
+
+@register("run_result")
+def q_run_result(spark: SparkSession, d: str) -> DataFrame:
+    out = S.outcomes(spark, d)
+    written = out.agg(F.count_if(F.col("error").isNull()).alias("trials_written"),
+                      F.coalesce(F.sum(F.size("criteria")), F.lit(0)).cast("long").alias("criteria_written"))
+    counters = silver.run_counters(out)
+    st = silver.silver_stats(S.silver_table(spark, d), S.failures_cleared(spark, d),
+                             S.bronze_docs(spark, d), S.CURRENT_SIGNATURE)
+    remaining = (st.select("total").scalar() - st.select("trials").scalar())
+    return counters.select(
+        F.lit(S.CURRENT_SIGNATURE).alias("signature"),
+        written.select("trials_written").scalar().alias("trials_written"),
+        written.select("criteria_written").scalar().alias("criteria_written"),
+        "succeeded", "failed", "rate_limited",
+        remaining.alias("remaining"),
+        ((remaining > 0) & (F.col("rate_limited") > 0) & (F.col("failed") > 0)).alias("quota_exhausted"),
+    )
+
+
+@register("status")
+def q_status(spark: SparkSession, d: str) -> DataFrame:
+    st = silver.silver_stats(S.silver_table(spark, d), S.failures_cleared(spark, d),
+                             S.bronze_docs(spark, d), S.CURRENT_SIGNATURE)
+    bronze_rows = B.bronze_count(S.bronze_docs(spark, d)).select("bronze_rows").scalar()
+    newest = B.bronze_max_update(B.dedupe_latest(S.study_updates(spark, d), ["nct_id"], ["seq"])
+                                 ).select("max_update").scalar()
+    resume = B.safe_watermark(S.runs_ledger(spark, d)).select("watermark").scalar()
+    return st.select(
+        bronze_rows.alias("bronze_rows"), newest.alias("newest_update"), resume.alias("resume_point"),
+        "trials", "total", "criteria", "failed",
+        silver.progress_percent(F.col("trials"), F.col("total")).alias("percent"),
+    )
+
+
+@register("throttle_stop")
+def q_throttle_stop(spark: SparkSession, d: str) -> DataFrame:
+    log = O.chunk_index(S.attempt_log(spark, d), ["nct_id"], STOP_BATCH_SIZE)
+    return E.throttle_stop(log)
+
+
+# ---- requests and replies ---------------------------------------------------------------
+
+@register("extraction_requests")
+def q_extraction_requests(spark: SparkSession, d: str) -> DataFrame:
+    return E.build_requests(_pending(spark, d, False))
+
+
+@register("reply_text")
+def q_reply_text(spark: SparkSession, d: str) -> DataFrame:
+    r = S.replies(spark, d)
+    return r.select("conv_id", "turn", E.reply_text(F.col("envelope")).alias("r")).select(
+        "conv_id", "turn", F.col("r.text").alias("reply_text"), F.col("r.error").alias("error"))
+
+
+@register("truncation_retries")
+def q_truncation_retries(spark: SparkSession, d: str) -> DataFrame:
+    parsed = E.parse_replies(S.replies(spark, d), keep=("conv_id", "turn"))
+    trunc = parsed.where(F.col("outcome") == "truncated").join(
+        S.request_texts(spark, d), ["conv_id", "turn"])
+    trunc = trunc.select("conv_id", "turn", token_budget("request_text").alias("max_tokens"))
+    return E.truncation_retries(trunc)
+
+
+@register("blank_results")
+def q_blank_results(spark: SparkSession, d: str) -> DataFrame:
+    return E.blank_results(S.bronze_docs(spark, d))
+
+
+@register("token_budget")
+def q_token_budget(spark: SparkSession, d: str) -> DataFrame:
+    docs = S.bronze_docs(spark, d).select("nct_id", token_budget("eligibility").alias("max_tokens"))
+    r = retry_budget("max_tokens")
+    return docs.withColumn("retry_tokens", F.when(r > F.col("max_tokens"), r))
+
+
+@register("content_signature")
+def q_content_signature(spark: SparkSession, d: str) -> DataFrame:
+    docs = S.bronze_docs(spark, d)
+    return docs.select("nct_id", content_signature("eligibility", "lang", "source").alias("signature"))
+
+
+# ---- contract statistics ------------------------------------------------------------------
+
+@register("stats_enum")
+def q_stats_enum(spark: SparkSession, d: str) -> DataFrame:
+    return ST.enum_stats(S.table(spark, d, "customer"), "c_custkey", "c_mktsegment")
+
+
+@register("stats_string")
+def q_stats_string(spark: SparkSession, d: str) -> DataFrame:
+    return ST.string_stats(S.table(spark, d, "part"), "p_partkey", "p_type")
+
+
+@register("stats_date")
+def q_stats_date(spark: SparkSession, d: str) -> DataFrame:
+    return ST.date_stats(S.registry_studies(spark, d), "start_text")
+
+
+@register("stats_numeric")
+def q_stats_numeric(spark: SparkSession, d: str) -> DataFrame:
+    a = ST.numeric_stats(S.table(spark, d, "orders"), "o_totalprice")
+    b = ST.numeric_stats(S.table(spark, d, "part"), "p_size")
+    return a.unionByName(b)
+
+
+@register("stats_boolean")
+def q_stats_boolean(spark: SparkSession, d: str) -> DataFrame:
+    docs = S.table(spark, d, "documents").select("doc_id")
+    lab = S.table(spark, d, "labels")
+    j = docs.join(lab, "doc_id", "left").select(
+        (F.col("quality") == 1).alias("quality"), (F.col("toxic") == 1).alias("toxic"))
+    return ST.boolean_stats(j, ["quality", "toxic"])
+
+
+@register("list_sizes")
+def q_list_sizes(spark: SparkSession, d: str) -> DataFrame:
+    # A list per order: its line items. The size is a count per key (partial
+    # aggregation map-side), so a huge list is never materialised as an array.
+    sizes = S.table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("size"))
+    return ST.list_size_stats(sizes)
+
+
+@register("size_stats")
+def q_size_stats(spark: SparkSession, d: str) -> DataFrame:
+    docs = S.bronze_docs(spark, d).select(
+        "nct_id", F.octet_length("eligibility").cast("long").alias("bytes"))
+    return ST.size_stats(docs, "nct_id")
+
+
+# ---- contract filters, sort and projection ----------------------------------------------
+
+@register("filter_status")
+def q_filter_status(spark: SparkSession, d: str) -> DataFrame:
+    return P.filter_status(S.registry_studies(spark, d), "overall_status", STATUS_FILTER).select(
+        "nct_id", "overall_status")
+
+
+@register("filter_ids")
+def q_filter_ids(spark: SparkSession, d: str) -> DataFrame:
+    return P.filter_ids(S.registry_studies(spark, d), "nct_id", "aliases", ID_REQUEST).select("nct_id")
+
+
+@register("filter_geo")
+def q_filter_geo(spark: SparkSession, d: str) -> DataFrame:
+    lat, lon = GEO_CENTER
+    return P.filter_geo(S.points(spark, d), "locations", lat, lon, GEO_DISTANCE, GEO_UNIT).select("vec_id")
+
+
+@register("filter_age")
+def q_filter_age(spark: SparkSession, d: str) -> DataFrame:
+    return P.filter_age(S.part_ages(spark, d), "minimum_age", "maximum_age", AGE_LO, AGE_HI).select(
+        "p_partkey", "minimum_age", "maximum_age")
+
+
+@register("filter_partial_date")
+def q_filter_partial_date(spark: SparkSession, d: str) -> DataFrame:
+    s = S.registry_studies(spark, d).select(
+        "nct_id", "start_text", D.partial_date_lo("start_text").alias("start_lo"),
+        D.partial_date_hi("start_text").alias("start_hi"))
+    return P.filter_partial_date(s, "start_lo", "start_hi", DATE_FROM, DATE_TO)
+
+
+@register("sort_studies")
+def q_sort_studies(spark: SparkSession, d: str) -> DataFrame:
+    s = S.registry_studies(spark, d)
+    return O.sort_page(s, [("start_date", None), ("enrollment", None)], "nct_id", 100).select(
+        "nct_id", "start_date", "enrollment", "position")
+
+
+@register("project_fields")
+def q_project_fields(spark: SparkSession, d: str) -> DataFrame:
+    s = S.registry_studies(spark, d)
+    nested = s.select(F.struct(
+        F.struct(F.col("nct_id").alias("nctId"),
+                 F.col("aliases").getItem(0).alias("orgStudyId")).alias("identificationModule"),
+        F.struct(F.col("overall_status").alias("overallStatus"),
+                 F.col("start_text").alias("startDate")).alias("statusModule"),
+        F.struct(F.col("enrollment").alias("enrollmentCount")).alias("designModule"),
+    ).alias("protocolSection"))
+    return O.project_fields(nested, PROJECTION, flatten=True)

@@ -83,3 +83,201 @@ def error_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts"),
         F.concat(F.lit("upstream error "), F.col("props")).alias("error"),
     )
+
+
+# ---- Bronze side ------------------------------------------------------------
+
+def bronze_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze rows with the study document as JSON text (``raw``)."""
+    docs = bronze_docs(spark, sf_dir)
+    study = F.struct(F.struct(
+        F.struct(F.col("nct_id").alias("nctId")).alias("identificationModule"),
+        F.struct(F.col("eligibility").alias("eligibilityCriteria")).alias("eligibilityModule"),
+    ).alias("protocolSection"))
+    return docs.select("nct_id", F.to_json(study).alias("raw"))
+
+
+def landing_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return study_updates(spark, sf_dir).where(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz"))
+
+
+def landing_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return study_updates(spark, sf_dir).where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))
+
+
+def runs_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run ledger: one backfill run per landing day.
+
+    A run is complete when its last event is not an error; a complete run's
+    watermark is the newest date in Bronze when it finished. The ledger has one
+    row per run, so the running windows below work on a small table.
+    """
+    from pyspark.sql import Window
+
+    u = study_updates(spark, sf_dir)
+    days = u.groupBy(F.col("last_update_posted").alias("day")).agg(
+        F.min("ts").alias("started_at"),
+        F.max("ts").alias("finished_at"),
+        F.count(F.lit(1)).alias("studies_written"),
+        F.max("last_update_posted").alias("_max_date"),
+        F.max_by("status", "seq").alias("_last_status"),
+    )
+    complete = F.col("_last_status") != "error"
+    upto = Window.orderBy("started_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("started_at").rowsBetween(Window.unboundedPreceding, -1)
+    prior_complete = F.max(F.when(complete, F.lit(1))).over(before)
+    return days.select(
+        F.concat(F.lit("backfill-"), F.date_format("day", "yyyyMMdd")).alias("run_id"),
+        F.when(prior_complete == 1, F.lit("incremental")).otherwise(F.lit("full")).alias("mode"),
+        "started_at", "finished_at", "studies_written",
+        F.when(complete, F.max("_max_date").over(upto)).alias("watermark"),
+        complete.alias("complete"),
+    )
+
+
+# ---- Silver side ------------------------------------------------------------
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempt log with results: ok attempts carry the built-in extractor's criteria,
+    and every attempt its batch (runs of BATCH_SIZE in id order)."""
+    from cribra.functions.text import numbered
+    from cribra.operators.ordering import chunk_index
+    from cribra.operators.rules import extract_criteria
+
+    log = attempt_log(spark, sf_dir)
+    log = chunk_index(log, ["nct_id"], BATCH_SIZE)
+    return log.select(
+        "nct_id", "lang", "eligibility", "error", "batch_index",
+        numbered(F.lit(f"silver-{RUN_TOKEN}"), F.col("batch_index")).alias("batch"),
+        F.when(F.col("error").isNull(), extract_criteria(F.col("eligibility"))).alias("criteria"),
+    )
+
+
+def silver_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cribra.operators.silver import outcomes_to_rows
+    return outcomes_to_rows(outcomes(spark, sf_dir), CURRENT_SIGNATURE, extra=["batch"])
+
+
+def silver_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an earlier full pass under an older taxonomy (another signature)."""
+    from cribra.operators.rules import rule_criteria
+    rows = rule_criteria(bronze_docs(spark, sf_dir))
+    return rows.select("nct_id", F.lit(LEGACY_SIGNATURE).alias("signature"), "ordinal",
+                       "criterion_id", "text", "kind", "is_exclusion",
+                       F.lit("legacy-0000").alias("batch"))
+
+
+def silver_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return silver_legacy(spark, sf_dir).unionByName(silver_current(spark, sf_dir))
+
+
+def empty_failures(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "nct_id string, signature string, error string, attempts int")
+
+
+def failures_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failure counters after the error events (several attempts per trial)."""
+    from cribra.operators.silver import accumulate_failures
+    return accumulate_failures(empty_failures(spark), error_outcomes(spark, sf_dir),
+                               CURRENT_SIGNATURE, order_col="seq")
+
+
+def failures_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters after the labelled batch: schema errors count, throttling does not."""
+    from cribra.operators.silver import accumulate_failures
+    return accumulate_failures(failures_before(spark, sf_dir), attempt_log(spark, sf_dir),
+                               CURRENT_SIGNATURE)
+
+
+def failures_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cribra.operators.silver import clear_failures
+    return clear_failures(failures_after(spark, sf_dir), attempt_log(spark, sf_dir),
+                          CURRENT_SIGNATURE)
+
+
+def done_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials with a successful attempt under the current signature."""
+    return (attempt_log(spark, sf_dir).where(F.col("error").isNull())
+            .select("nct_id", F.lit(CURRENT_SIGNATURE).alias("signature")))
+
+
+# ---- Model replies ----------------------------------------------------------
+
+REPLY_SHAPES = 6  # string content, typed parts, truncated, prose, number, no choices
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns wrapped as model reply envelopes of six shapes."""
+    from cribra.functions.text import has_text
+
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    lines = F.filter(F.split(F.col("text"), "\n", -1), lambda l: has_text(l))
+    crit = F.to_json(F.struct(F.transform(lines, lambda l, i: F.struct(
+        F.concat(F.lit("c-"), i.cast("string")).alias("criterion_id"),
+        l.alias("text"), F.lit("other").alias("kind"),
+        F.lit(False).alias("is_exclusion"))).alias("criteria")))
+    shape = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(REPLY_SHAPES))
+    msg = lambda content: F.to_json(F.struct(F.array(F.struct(
+        F.struct(F.lit("assistant").alias("role"), content.alias("content")).alias("message"),
+        F.lit("stop").alias("finish_reason"))).alias("choices")))
+    parts = F.array(F.struct(F.lit("reasoning").alias("type"), F.lit("thinking").alias("text")),
+                    F.struct(F.lit("text").alias("type"), crit.alias("text")))
+    truncated = F.to_json(F.struct(F.array(F.struct(
+        F.struct(F.lit("{").alias("content")).alias("message"),
+        F.lit("length").alias("finish_reason"))).alias("choices")))
+    env = (F.when(shape == 0, msg(crit))
+            .when(shape == 1, msg(parts))
+            .when(shape == 2, truncated)
+            .when(shape == 3, msg(F.col("text")))
+            .when(shape == 4, msg(F.lit(42)))
+            .otherwise(F.lit('{"nope":true}')))
+    return c.select("conv_id", "turn", env.alias("envelope"))
+
+
+def request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user turn each assistant turn answered (the request prose)."""
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("request_text"))
+
+
+# ---- Registry fields for the contract filters and statistics ---------------
+
+def registry_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as studies: status, priority, start date (full and partial), size."""
+    o = table(spark, sf_dir, "orders")
+    start = F.col("o_orderdate").cast("date")
+    start_text = (F.when(F.col("o_orderpriority") == "1-URGENT", F.date_format(start, "yyyy"))
+                   .when(F.col("o_orderpriority") == "2-HIGH", F.date_format(start, "yyyy-MM"))
+                   .otherwise(F.date_format(start, "yyyy-MM-dd")))
+    return o.select(
+        nct_from_number("o_orderkey").alias("nct_id"),
+        F.col("o_orderkey"),
+        F.col("o_orderstatus").alias("overall_status"),
+        F.col("o_orderpriority").alias("priority"),
+        start.alias("start_date"),
+        start_text.alias("start_text"),
+        F.col("o_totalprice").alias("enrollment"),
+        F.array(nct_from_number("o_custkey")).alias("aliases"),
+    )
+
+
+def part_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as studies with minimum and maximum age texts."""
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    min_age = F.when(F.pmod("p_size", F.lit(3)) == 0, F.concat(size, F.lit(" Months"))) \
+               .otherwise(F.concat(size, F.lit(" Years")))
+    max_age = F.when(F.col("p_brand").endswith("1"), F.lit(None).cast("string")) \
+               .otherwise(F.concat((F.col("p_size") + 30).cast("string"), F.lit(" Years")))
+    return p.select("p_partkey", min_age.alias("minimum_age"), max_age.alias("maximum_age"))
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as studies with locations: consecutive dimension pairs as (lat, lon)."""
+    e = table(spark, sf_dir, "embeddings")
+    n = F.floor(F.size("embedding") / 2).cast("int")
+    idx = F.sequence(F.lit(0), n - 1)
+    locs = F.transform(idx, lambda i: F.struct(
+        (F.col("embedding")[i * 2].cast("double") * 90.0).alias("lat"),
+        (F.col("embedding")[i * 2 + 1].cast("double") * 180.0).alias("lon")))
+    return e.select("vec_id", locs.alias("locations"))
