@@ -22,13 +22,13 @@ def json_path(raw: Column | str, path: str) -> Column:
     return F.get_json_object(c, path)
 
 
-def content_signature(*cols: Column | str) -> Column:
-    """First 16 hex digits of SHA-256 over canonical JSON of the given columns.
+def content_signature(*names: str) -> Column:
+    """First 16 hex digits of SHA-256 over canonical JSON of the named columns.
 
-    Canonical means keys in sorted order, compact separators, UTF-8 text.
+    Canonical means keys in sorted order, compact separators, UTF-8 text
+    (``to_json`` writes non-ASCII characters as they are).
     """
-    named = [F.col(c).alias(c) if isinstance(c, str) else c for c in cols]
-    ordered = sorted(named, key=lambda c: c._jc.toString())  # type: ignore[attr-defined]
+    ordered = [F.col(n).alias(n) for n in sorted(names)]
     return F.substring(F.sha2(F.to_json(F.struct(*ordered)), 256), 1, SIGNATURE_HEX_DIGITS)
 
 

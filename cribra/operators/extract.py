@@ -106,10 +106,12 @@ def _valid_criteria(text: Column) -> Column:
     items = F.try_variant_get(v, "$.criteria", "array<variant>")
 
     def ok(e: Column) -> Column:
-        return ((F.schema_of_variant(F.try_variant_get(e, "$.criterion_id", "variant")) == "STRING")
-                & (F.schema_of_variant(F.try_variant_get(e, "$.text", "variant")) == "STRING")
-                & (F.schema_of_variant(F.try_variant_get(e, "$.is_exclusion", "variant")) == "BOOLEAN")
-                & F.try_variant_get(e, "$.kind", "string").isin(list(CRITERION_KINDS)))
+        def typed(path: str, name: str) -> Column:
+            return F.schema_of_variant(F.try_variant_get(e, path, "variant")) == name
+        check = (typed("$.criterion_id", "STRING") & typed("$.text", "STRING")
+                 & typed("$.is_exclusion", "BOOLEAN")
+                 & F.try_variant_get(e, "$.kind", "string").isin(list(CRITERION_KINDS)))
+        return F.coalesce(check, F.lit(False))
 
     return F.coalesce(F.forall(items, ok), F.lit(False))
 

@@ -226,14 +226,11 @@ def q_batch_counts(spark: SparkSession, d: str) -> DataFrame:
 @register("staging_strings")
 def q_staging_strings(spark: SparkSession, d: str) -> DataFrame:
     rows = rules.rule_criteria(S.bronze_docs(spark, d)).select("nct_id", "ordinal", "is_exclusion")
-    staged = silver.to_staging_strings(rows)
-    back = silver.from_staging_strings(staged.select(
-        "nct_id", F.col("ordinal"), F.col("is_exclusion")))
-    return staged.select("nct_id", F.col("ordinal").alias("ordinal_text"),
-                         F.col("is_exclusion").alias("is_exclusion_text")).join(
-        back.select("nct_id", F.col("ordinal").cast("string").alias("ordinal_text"),
-                    F.col("ordinal").alias("ordinal_int"), F.col("is_exclusion").alias("is_exclusion_bool")),
-        ["nct_id", "ordinal_text"])
+    staged = silver.to_staging_strings(rows).select(
+        "nct_id", F.col("ordinal").alias("ordinal_text"), F.col("is_exclusion").alias("is_exclusion_text"),
+        "ordinal", "is_exclusion")
+    typed = silver.from_staging_strings(staged)
+    return typed.withColumnsRenamed({"ordinal": "ordinal_int", "is_exclusion": "is_exclusion_bool"})
 
 
 def _pending(spark: SparkSession, d: str, retry_failed: bool) -> DataFrame:
