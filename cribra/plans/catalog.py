@@ -57,12 +57,12 @@ def register(name: str) -> Callable[[Query], Query]:
 
 @register("rule_criteria")
 def q_rule_criteria(spark: SparkSession, d: str) -> DataFrame:
-    return rules.rule_criteria(S.bronze_docs(spark, d))
+    return rules.rule_criteria(S.bronze_docs(spark, d, spread=True))
 
 
 @register("kind_distribution")
 def q_kind_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return silver.kind_distribution(rules.rule_criteria(S.bronze_docs(spark, d)))
+    return silver.kind_distribution(rules.rule_criteria(S.bronze_docs(spark, d, spread=True)))
 
 
 # ---- Bronze -------------------------------------------------------------------
@@ -225,7 +225,8 @@ def q_batch_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @register("staging_strings")
 def q_staging_strings(spark: SparkSession, d: str) -> DataFrame:
-    rows = rules.rule_criteria(S.bronze_docs(spark, d)).select("nct_id", "ordinal", "is_exclusion")
+    rows = rules.rule_criteria(S.bronze_docs(spark, d, spread=True)).select(
+        "nct_id", "ordinal", "is_exclusion")
     staged = silver.to_staging_strings(rows).select(
         "nct_id", F.col("ordinal").alias("ordinal_text"), F.col("is_exclusion").alias("is_exclusion_text"),
         "ordinal", "is_exclusion")
@@ -256,7 +257,7 @@ def q_pending_limited(spark: SparkSession, d: str) -> DataFrame:
 
 @register("silver_replace")
 def q_silver_replace(spark: SparkSession, d: str) -> DataFrame:
-    docs = S.bronze_docs(spark, d).where(F.col("lang") == REPLACE_LANG)
+    docs = S.bronze_docs(spark, d, spread=True).where(F.col("lang") == REPLACE_LANG)
     batch = rules.rule_criteria(docs).select(
         "nct_id", F.lit(S.CURRENT_SIGNATURE).alias("signature"), "ordinal", "criterion_id",
         "text", "kind", "is_exclusion", F.lit(REPLACE_BATCH).alias("batch"))

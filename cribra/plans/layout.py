@@ -1,0 +1,20 @@
+"""Layout decisions taken by plans, not by operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_small_input(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin rows across the cluster before CPU-heavy text work, but only
+    when the input comes from fewer files than there are cores.
+
+    A few files may hold a single row group each, which the scan cannot split,
+    so all the regex work would land on one task. A large table of many files
+    is already spread by its scan and is left as it is (no extra shuffle).
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores * factor)

@@ -135,9 +135,14 @@ OUTCOMES = f"""outcomes AS (
 SILVER = f"""silver_current AS (
   SELECT r.nct_id, {SIG} AS signature, r.ordinal, r.criterion_id, r.text, r.kind, r.is_exclusion, o.batch
   FROM rule_criteria r JOIN outcomes o ON r.nct_id = o.nct_id WHERE o.error IS NULL),
+line_criteria AS (
+  SELECT nct_id, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS ordinal, unnest(ls) AS text
+  FROM (SELECT nct_id, list_filter(string_split(eligibility, chr(10)), lambda l: coalesce(regexp_matches(l, '\\S'), false)) AS ls
+        FROM bronze_docs)),
 silver_table AS (
-  SELECT nct_id, {LEGACY} AS signature, ordinal, criterion_id, text, kind, is_exclusion, 'legacy-0000' AS batch
-  FROM rule_criteria
+  SELECT nct_id, {LEGACY} AS signature, ordinal, 'c-' || CAST(ordinal AS VARCHAR) AS criterion_id, text,
+         'other' AS kind, false AS is_exclusion, 'legacy-0000' AS batch
+  FROM line_criteria
   UNION ALL SELECT * FROM silver_current)"""
 FAILURES = f"""error_outcomes AS (
   SELECT {NCT.format('user_id')} AS nct_id, event_id AS seq, 'upstream error ' || props AS error

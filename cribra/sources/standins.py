@@ -32,9 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bronze_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bronze with prose: one study per document, eligibility = text."""
-    return table(spark, sf_dir, "documents").select(
+def bronze_docs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Bronze with prose: one study per document, eligibility = text.
+
+    ``spread`` is for CPU-heavy text work (see ``plans.layout``).
+    """
+    from cribra.plans.layout import spread_small_input
+    docs = table(spark, sf_dir, "documents")
+    if spread:
+        docs = spread_small_input(docs)
+    return docs.select(
         nct_from_number("doc_id").alias("nct_id"),
         F.col("doc_id"),
         F.col("text").alias("eligibility"),
@@ -66,7 +73,7 @@ def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     for a schema-invalid reply.
     """
     labels = table(spark, sf_dir, "labels")
-    docs = bronze_docs(spark, sf_dir)
+    docs = bronze_docs(spark, sf_dir, spread=True)
     return docs.join(labels, "doc_id").select(
         "nct_id", "doc_id", "eligibility", "lang",
         F.when(F.col("toxic") == 1, F.lit(THROTTLE_MSG))
@@ -158,10 +165,19 @@ def silver_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes_to_rows(outcomes(spark, sf_dir), CURRENT_SIGNATURE, extra=["batch"])
 
 
+def line_criteria(docs: DataFrame) -> DataFrame:
+    """Criteria rows as non-blank lines of the prose (an older, plain extractor)."""
+    from cribra.functions.text import has_text
+    lines = F.filter(F.split(F.col("eligibility"), "\n", -1), lambda l: has_text(l))
+    return docs.select("nct_id", F.posexplode(lines).alias("ordinal", "text")).select(
+        "nct_id", F.col("ordinal").cast("int").alias("ordinal"),
+        F.concat(F.lit("c-"), F.col("ordinal").cast("string")).alias("criterion_id"),
+        "text", F.lit("other").alias("kind"), F.lit(False).alias("is_exclusion"))
+
+
 def silver_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of an earlier full pass under an older taxonomy (another signature)."""
-    from cribra.operators.rules import rule_criteria
-    rows = rule_criteria(bronze_docs(spark, sf_dir))
+    """Rows of an earlier full pass by the plain line extractor (another signature)."""
+    rows = line_criteria(bronze_docs(spark, sf_dir))
     return rows.select("nct_id", F.lit(LEGACY_SIGNATURE).alias("signature"), "ordinal",
                        "criterion_id", "text", "kind", "is_exclusion",
                        F.lit("legacy-0000").alias("batch"))
