@@ -15,16 +15,23 @@ def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_inde
                  partitions: int | None = None) -> DataFrame:
     """Exact 0-based position of each row in ``order_cols`` order, without one task.
 
-    The rows are range-partitioned and sorted within partitions; each row's
+    The rows are range-partitioned and sorted within partitions, and each row's
     ``monotonically_increasing_id`` carries (partition, position in partition).
-    Per-partition counts (one row per partition) give each partition's offset.
-    Both branches read the same range exchange, which Spark reuses within one
-    action, so counts and positions agree. ``order_cols`` must be unique.
+    That layout is checkpointed to the shared checkpoint folder: range bounds
+    come from a sample, so the counting branch and the numbering branch must
+    read one materialised layout (this also cuts the lineage, so a lost
+    executor does not re-sample). Per-partition counts, one row per partition,
+    give each partition's offset. ``order_cols`` must be unique.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from cribra.session import checkpoint_dir
+
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order_cols)
                 .sortWithinPartitions(*order_cols)
-                .withColumn("_mid", F.monotonically_increasing_id()))
+                .withColumn("_mid", F.monotonically_increasing_id())
+                .checkpoint(eager=True))
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
         "_local", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
