@@ -50,24 +50,32 @@ KIND_RULES = (
 FALLBACK_KIND = "other"
 
 
+ANY_RULE_RE = "[^a-z](" + "|".join(p for _, p in KIND_RULES) + ")"
+
+
 def kind_of(text: Column) -> Column:
-    """Ordered CASE over the keyword rules."""
+    """Ordered CASE over the keyword rules.
+
+    One combined pattern is tried first, so a line that matches no rule (the
+    common case) costs one regex scan instead of one per rule.
+    """
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     expr = F.lit(FALLBACK_KIND)
     for kind, pattern in reversed(KIND_RULES):
         expr = F.when(padded.rlike(f"[^a-z]({pattern})"), F.lit(kind)).otherwise(expr)
-    return expr
+    return F.when(~padded.rlike(ANY_RULE_RE), F.lit(FALLBACK_KIND)).otherwise(expr)
 
 
 def clean_line(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, BULLET_RE, ""), TRAIL_RE, "")
 
 
-def criteria_items(text: Column) -> Column:
+def criteria_items(text: Column, clean: bool = True) -> Column:
     """array<struct<is_exclusion, text>> in document order.
 
     Section k (k > 0) follows heading k-1; text before the first heading is
-    inclusion. Headings may sit inside a line.
+    inclusion. Headings may sit inside a line. With ``clean=False`` the lines
+    are returned as found (callers that explode first clean them in codegen).
     """
     sections = F.split(text, HEADING_RE, -1)
     heads = F.regexp_extract_all(text, F.lit(HEADING_RE), 1)
@@ -78,7 +86,8 @@ def criteria_items(text: Column) -> Column:
         ).otherwise(F.lit(False))
         lines = F.filter(F.split(chunk, "\n", -1), lambda line: has_text(line))
         return F.transform(lines, lambda line: F.struct(
-            exclusion.alias("is_exclusion"), clean_line(line).alias("text")))
+            exclusion.alias("is_exclusion"),
+            (clean_line(line) if clean else line).alias("text")))
 
     return F.flatten(F.transform(sections, per_section))
 
@@ -97,19 +106,28 @@ def extract_criteria(text: Column) -> Column:
     )))
 
 
-def rule_criteria(docs: DataFrame, id_col: str = "nct_id", text_col: str = "eligibility") -> DataFrame:
-    """One row per criterion: (id, ordinal, criterion_id, text, kind, is_exclusion)."""
+def rule_criteria(docs: DataFrame, id_col: str = "nct_id", text_col: str = "eligibility",
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per criterion: (id, ordinal, criterion_id, text, kind, is_exclusion).
+
+    Same result as exploding ``extract_criteria``, but only the cutting into
+    lines runs inside array lambdas; cleaning and the kind rules run after the
+    explode, inside whole-stage codegen with shared subexpressions.
+    """
     exploded = docs.select(
-        F.col(id_col).alias(id_col),
-        F.posexplode(extract_criteria(F.col(text_col))).alias("ordinal", "c"),
+        F.col(id_col).alias(id_col), *keep,
+        F.posexplode(criteria_items(F.col(text_col), clean=False)).alias("ordinal", "c"),
     )
+    text = clean_line(F.col("c.text"))
     return exploded.select(
         id_col,
         F.col("ordinal").cast("int").alias("ordinal"),
-        F.col("c.criterion_id").alias("criterion_id"),
-        F.col("c.text").alias("text"),
-        F.col("c.kind").alias("kind"),
+        F.concat(F.when(F.col("c.is_exclusion"), F.lit("exc-")).otherwise(F.lit("inc-")),
+                 F.col("ordinal").cast("string")).alias("criterion_id"),
+        text.alias("text"),
+        kind_of(text).alias("kind"),
         F.col("c.is_exclusion").alias("is_exclusion"),
+        *keep,
     )
 
 

@@ -215,12 +215,12 @@ def q_distinct_trials(spark: SparkSession, d: str) -> DataFrame:
 
 @register("batch_assignment")
 def q_batch_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return S.outcomes(spark, d).select("nct_id", "batch_index", "batch")
+    return S.outcomes(spark, d, with_batch=True).select("nct_id", "batch_index", "batch")
 
 
 @register("batch_counts")
 def q_batch_counts(spark: SparkSession, d: str) -> DataFrame:
-    return silver.batch_counts(S.silver_current(spark, d))
+    return silver.batch_counts(S.silver_current(spark, d, with_batch=True))
 
 
 @register("staging_strings")
@@ -261,7 +261,8 @@ def q_silver_replace(spark: SparkSession, d: str) -> DataFrame:
     batch = rules.rule_criteria(docs).select(
         "nct_id", F.lit(S.CURRENT_SIGNATURE).alias("signature"), "ordinal", "criterion_id",
         "text", "kind", "is_exclusion", F.lit(REPLACE_BATCH).alias("batch"))
-    return silver.replace_by_key(S.silver_table(spark, d), batch, ["nct_id", "signature"]).select(
+    return silver.replace_by_key(S.silver_table(spark, d, with_batch=True), batch,
+                                 ["nct_id", "signature"]).select(
         "nct_id", "signature", "ordinal", "kind", "is_exclusion", "batch")
 
 
@@ -297,17 +298,20 @@ def q_silver_stats(spark: SparkSession, d: str) -> DataFrame:
 @register("run_result")
 def q_run_result(spark: SparkSession, d: str) -> DataFrame:
     out = S.outcomes(spark, d)
-    written = out.agg(F.count_if(F.col("error").isNull()).alias("trials_written"),
-                      F.coalesce(F.sum(F.size("criteria")), F.lit(0)).cast("long").alias("criteria_written"))
-    counters = silver.run_counters(out)
+    err = F.col("error")
+    counters = out.agg(
+        F.count_if(err.isNull()).alias("trials_written"),
+        F.coalesce(F.sum(F.size("criteria")), F.lit(0)).cast("long").alias("criteria_written"),
+        F.count_if(err.isNull()).alias("succeeded"),
+        F.count_if(err.isNotNull()).alias("failed"),
+        F.count_if(err.isNotNull() & is_throttled(err)).alias("rate_limited"),
+    )
     st = silver.silver_stats(S.silver_table(spark, d), S.failures_cleared(spark, d),
                              S.bronze_docs(spark, d), S.CURRENT_SIGNATURE)
-    remaining = (st.select("total").scalar() - st.select("trials").scalar())
+    remaining = st.select((F.col("total") - F.col("trials")).alias("r")).scalar()
     return counters.select(
         F.lit(S.CURRENT_SIGNATURE).alias("signature"),
-        written.select("trials_written").scalar().alias("trials_written"),
-        written.select("criteria_written").scalar().alias("criteria_written"),
-        "succeeded", "failed", "rate_limited",
+        "trials_written", "criteria_written", "succeeded", "failed", "rate_limited",
         remaining.alias("remaining"),
         ((remaining > 0) & (F.col("rate_limited") > 0) & (F.col("failed") > 0)).alias("quota_exhausted"),
     )

@@ -144,25 +144,55 @@ def runs_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- Silver side ------------------------------------------------------------
 
-def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempt log with results: ok attempts carry the built-in extractor's criteria,
-    and every attempt its batch (runs of BATCH_SIZE in id order)."""
+def outcomes(spark: SparkSession, sf_dir: str, with_batch: bool = False) -> DataFrame:
+    """Attempt log with results: ok attempts carry the built-in extractor's criteria.
+
+    ``with_batch`` adds each attempt's batch (runs of BATCH_SIZE in id order);
+    only queries that report batches pay for the exact ranking.
+    """
     from cribra.functions.text import numbered
     from cribra.operators.ordering import chunk_index
     from cribra.operators.rules import extract_criteria
 
     log = attempt_log(spark, sf_dir)
-    log = chunk_index(log, ["nct_id"], BATCH_SIZE)
+    cols = ["nct_id", "lang", "eligibility", "error"]
+    if with_batch:
+        log = chunk_index(log, ["nct_id"], BATCH_SIZE)
+        log = log.withColumn("batch", numbered(F.lit(f"silver-{RUN_TOKEN}"), F.col("batch_index")))
+        cols += ["batch_index", "batch"]
     return log.select(
-        "nct_id", "lang", "eligibility", "error", "batch_index",
-        numbered(F.lit(f"silver-{RUN_TOKEN}"), F.col("batch_index")).alias("batch"),
+        *cols,
         F.when(F.col("error").isNull(), extract_criteria(F.col("eligibility"))).alias("criteria"),
     )
 
 
-def silver_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cribra.operators.silver import outcomes_to_rows
-    return outcomes_to_rows(outcomes(spark, sf_dir), CURRENT_SIGNATURE, extra=["batch"])
+def silver_current(spark: SparkSession, sf_dir: str, with_batch: bool = False) -> DataFrame:
+    """Silver rows of the ok attempts under the current signature.
+
+    Equal to exploding the ok outcomes' criteria; built with the exploded form
+    of the extractor, whose rules run in codegen.
+    """
+    from cribra.operators.rules import rule_criteria
+
+    log = attempt_log(spark, sf_dir)
+    keep: tuple[str, ...] = ()
+    if with_batch:
+        from cribra.functions.text import numbered
+        from cribra.operators.ordering import chunk_index
+        log = chunk_index(log, ["nct_id"], BATCH_SIZE)
+        log = log.withColumn("batch", numbered(F.lit(f"silver-{RUN_TOKEN}"), F.col("batch_index")))
+        keep = ("batch",)
+    ok = log.where(F.col("error").isNull())
+    rows = rule_criteria(ok, keep=keep)
+    return rows.select("nct_id", F.lit(CURRENT_SIGNATURE).alias("signature"), "ordinal",
+                       "criterion_id", "text", "kind", "is_exclusion", *keep)
+
+
+def silver_table(spark: SparkSession, sf_dir: str, with_batch: bool = False) -> DataFrame:
+    legacy = silver_legacy(spark, sf_dir)
+    if not with_batch:
+        legacy = legacy.drop("batch")
+    return legacy.unionByName(silver_current(spark, sf_dir, with_batch))
 
 
 def line_criteria(docs: DataFrame) -> DataFrame:
@@ -183,10 +213,6 @@ def silver_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit("legacy-0000").alias("batch"))
 
 
-def silver_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silver_legacy(spark, sf_dir).unionByName(silver_current(spark, sf_dir))
-
-
 def empty_failures(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "nct_id string, signature string, error string, attempts int")
 
