@@ -68,7 +68,8 @@ def filter_ids(df: DataFrame, id_col: str, aliases_col: str | None,
         want = ids.select(canonical_nct("id").alias("_cid")).where("_cid IS NOT NULL").distinct()
         keys = df.withColumn("_k", F.array(canonical_nct(id_col)))
         if aliases_col:
-            keys = keys.withColumn("_k", F.array_union("_k", F.transform(aliases_col, canonical_nct)))
+            aliases = F.coalesce(F.transform(aliases_col, canonical_nct), F.array().cast("array<string>"))
+            keys = keys.withColumn("_k", F.array_union("_k", aliases))
         exploded = keys.select("*", F.explode("_k").alias("_cid"))
         hit = exploded.join(want, "_cid", "left_semi").drop("_cid", "_k")
         return hit.dropDuplicates([id_col])
@@ -93,8 +94,14 @@ def filter_geo(df: DataFrame, locations_col: str, lat: float, lon: float, distan
     if unit not in KM_PER_UNIT:
         raise ValueError(f"unit must be one of {sorted(KM_PER_UNIT)}")
     limit_km = distance * KM_PER_UNIT[unit]
+
+    def field(p: Column, path: str) -> Column:
+        for part in path.split("."):
+            p = p[part]
+        return p
+
     near = F.exists(F.col(locations_col), lambda p: haversine_km(
-        p[lat_field], p[lon_field], F.lit(lat), F.lit(lon)) <= F.lit(limit_km))
+        field(p, lat_field), field(p, lon_field), F.lit(lat), F.lit(lon)) <= F.lit(limit_km))
     return df.where(F.coalesce(near, F.lit(False)))
 
 

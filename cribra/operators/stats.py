@@ -28,13 +28,18 @@ def _top(counts: DataFrame, value_col: str, count_col: str, n: int) -> DataFrame
 def enum_stats(df: DataFrame, id_col: str, value_col: str, n: int = TOP_N) -> DataFrame:
     """Top values by number of studies having them, plus unique and missing counts.
 
-    A study counts once per value (distinct (id, value) pairs), which is what
-    list-valued enums need; missing = studies with no value.
+    A study counts once per value (distinct (id, value) pairs); a list-valued
+    field is exploded first. Missing = studies with no value (or an empty list).
     """
-    pairs = df.select(id_col, F.col(value_col).alias("value")).where("value IS NOT NULL").distinct()
+    from pyspark.sql import types as T
+    v = F.col(value_col)
+    is_list = isinstance(df.select(v).schema.fields[0].dataType, T.ArrayType)
+    values = F.explode_outer(v) if is_list else v
+    pairs = df.select(id_col, values.alias("value")).where("value IS NOT NULL").distinct()
     counts = pairs.groupBy("value").agg(F.count(F.lit(1)).alias("studies"))
     unique = counts.select(F.count(F.lit(1))).scalar()
-    missing = df.select(F.count_if(F.col(value_col).isNull())).scalar()
+    absent = (v.isNull() | (F.size(v) == 0)) if is_list else v.isNull()
+    missing = df.select(F.count_if(absent)).scalar()
     return _top(counts, "value", "studies", n).select(
         "value", "studies", "rank", unique.alias("unique_values"), missing.alias("missing"))
 

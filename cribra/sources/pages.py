@@ -32,24 +32,40 @@ def _page_problem(parsed: Column, keys: Column) -> Column:
              .when(F.coalesce(bad_enum, F.lit(False)), F.lit("unknown enum value")))
 
 
-def read_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per page file: (page_file, parsed page, problem)."""
-    text = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("page_file"), F.col("value"))
+def read_page_files(spark: SparkSession, path: str, page_per_line: bool = False) -> DataFrame:
+    """One row per page: (page_file, parsed page, problem).
+
+    Pages are one per file by default (read whole); ``page_per_line`` reads
+    files of JSON lines with one page per line, ``page_file`` then carrying the
+    line's place (file, line offset) so the order stays page order.
+    """
+    if page_per_line:
+        # (file, split start, position in task) orders lines even when a file
+        # is split and its splits are packed into tasks out of byte order.
+        raw = spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("_f"),
+            F.col("_metadata.file_block_start").alias("_b"), "value")
+        text = raw.select(F.format_string("%s#%015d#%019d", "_f", "_b",
+                                          F.monotonically_increasing_id()).alias("page_file"),
+                          "value")
+    else:
+        text = spark.read.option("wholetext", True).text(path).select(
+            F.col("_metadata.file_path").alias("page_file"), F.col("value"))
     parsed = F.from_json("value", f"{PAGE_DDL}, {CORRUPT} string",
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     pages = text.select("page_file", parsed.alias("page"), F.json_object_keys("value").alias("_keys"))
     return pages.select("page_file", "page", _page_problem(F.col("page"), F.col("_keys")).alias("problem"))
 
 
-def read_study_pages(spark: SparkSession, path: str, on_invalid: str = "fail") -> DataFrame:
+def read_study_pages(spark: SparkSession, path: str, on_invalid: str = "fail",
+                     page_per_line: bool = False) -> DataFrame:
     """All studies of all pages in page then list order: (page_file, pos, study).
 
     ``on_invalid="fail"`` (the reference's rule) fails the job on the first bad
     page through ``raise_error`` inside the plan, with no extra pass;
     ``"quarantine"`` drops bad pages here (see ``rejected_pages``).
     """
-    pages = read_page_files(spark, path)
+    pages = read_page_files(spark, path, page_per_line)
     if on_invalid == "fail":
         pages = pages.where(F.when(F.col("problem").isNotNull(), F.raise_error(
             F.concat(F.lit("invalid registry page "), F.col("page_file"), F.lit(": "),

@@ -103,3 +103,15 @@ def test_scope_and_updated_since(spark, pages_dir):
     assert [r.nct_id for r in since.collect()] == ["NCT00000001"]
     own = P.custom_filter(cols, F.col("overall_status") == "COMPLETED")
     assert [r.nct_id for r in own.collect()] == ["NCT00000002"]
+
+
+def test_pages_one_per_line(spark, tmp):
+    import json
+    import os
+    os.makedirs(f"{tmp}/lines")
+    with open(f"{tmp}/lines/part-0.jsonl", "w") as f:
+        for i in range(5):
+            f.write(json.dumps({"studies": [study(f"NCT{2 * i + 1:08d}"), study(f"NCT{2 * i + 2:08d}")]}) + "\n")
+    rows = PG.read_study_pages(spark, f"{tmp}/lines", page_per_line=True).orderBy("page_file", "pos")
+    ids = [r.study.protocolSection.identificationModule.nctId for r in rows.collect()]
+    assert ids == [f"NCT{i:08d}" for i in range(1, 11)]
