@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cribra.functions.text import has_text
 
 MAX_ATTEMPTS = 3  # reference default
 
@@ -22,7 +21,9 @@ def pending_trials(bronze: DataFrame, done: DataFrame, failures: DataFrame | Non
     are left anti joins, which AQE turns into broadcast joins when the
     excluded side is measured small.
     """
-    todo = bronze.where(has_text(text_col)).select(id_col, text_col)
+    # Prose present and not empty; whitespace-only prose stays pending and gets
+    # an ok, empty result without a call (see ``extract.extract_with``).
+    todo = bronze.where(F.length(F.col(text_col)) > 0).select(id_col, text_col)
     finished = done.where(F.col("signature") == signature).select(id_col)
     out = todo.join(finished, id_col, "left_anti")
     if not retry_failed and failures is not None:

@@ -297,21 +297,22 @@ def q_silver_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @register("run_result")
 def q_run_result(spark: SparkSession, d: str) -> DataFrame:
-    out = S.outcomes(spark, d)
+    log = S.attempt_log(spark, d)
     err = F.col("error")
-    counters = out.agg(
+    counters = log.agg(
         F.count_if(err.isNull()).alias("trials_written"),
-        F.coalesce(F.sum(F.size("criteria")), F.lit(0)).cast("long").alias("criteria_written"),
         F.count_if(err.isNull()).alias("succeeded"),
         F.count_if(err.isNotNull()).alias("failed"),
         F.count_if(err.isNotNull() & is_throttled(err)).alias("rate_limited"),
     )
+    # Criteria written by the run = the Silver rows its ok attempts produced.
+    written = S.silver_current(spark, d).select(F.count(F.lit(1))).scalar()
     st = silver.silver_stats(S.silver_table(spark, d), S.failures_cleared(spark, d),
                              S.bronze_docs(spark, d), S.CURRENT_SIGNATURE)
     remaining = st.select((F.col("total") - F.col("trials")).alias("r")).scalar()
     return counters.select(
         F.lit(S.CURRENT_SIGNATURE).alias("signature"),
-        "trials_written", "criteria_written", "succeeded", "failed", "rate_limited",
+        "trials_written", written.alias("criteria_written"), "succeeded", "failed", "rate_limited",
         remaining.alias("remaining"),
         ((remaining > 0) & (F.col("rate_limited") > 0) & (F.col("failed") > 0)).alias("quota_exhausted"),
     )

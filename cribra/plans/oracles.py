@@ -171,7 +171,7 @@ def _pending_cte(retry_failed: bool) -> str:
                     AND f.signature = {SIG} AND f.attempts >= 3)"""
     return f"""pending AS (
   SELECT b.nct_id, b.eligibility FROM bronze_docs b
-  WHERE {HAS_TEXT.format('b.eligibility')}
+  WHERE length(b.eligibility) > 0
     AND NOT EXISTS (SELECT 1 FROM attempt_log a WHERE a.error IS NULL AND a.nct_id = b.nct_id){extra})"""
 
 
