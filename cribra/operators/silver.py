@@ -87,11 +87,14 @@ def accumulate_failures(target: DataFrame, outcomes: DataFrame, signature: str,
 
 def clear_failures(failures: DataFrame, outcomes: DataFrame, signature: str,
                    id_col: str = "nct_id", error_col: str = "error") -> DataFrame:
-    """A success removes the counter of that trial under this signature."""
-    ok = outcomes.where(F.col(error_col).isNull()).select(id_col).distinct()
-    mine = failures.where(F.col("signature") == signature)
-    others = failures.where(F.col("signature") != signature)
-    return mine.join(ok, id_col, "left_anti").unionByName(others)
+    """A success removes the counter of that trial under this signature.
+
+    One anti join on (trial, signature): counters of other signatures never
+    match, so the table is read once.
+    """
+    ok = (outcomes.where(F.col(error_col).isNull()).select(id_col).distinct()
+          .withColumn("signature", F.lit(signature)))
+    return failures.join(ok, [id_col, "signature"], "left_anti")
 
 
 def run_counters(outcomes: DataFrame, error_col: str = "error") -> DataFrame:
