@@ -15,21 +15,26 @@ def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_inde
                  partitions: int | None = None) -> DataFrame:
     """Exact 0-based position of each row in ``order_cols`` order, without one task.
 
-    The rows are range-partitioned and sorted within partitions, and each row's
-    ``monotonically_increasing_id`` carries (partition, position in partition).
-    That layout is checkpointed to the shared checkpoint folder: range bounds
-    come from a sample, so the counting branch and the numbering branch must
-    read one materialised layout (this also cuts the lineage, so a lost
-    executor does not re-sample). Per-partition counts, one row per partition,
-    give each partition's offset. ``order_cols`` must be unique.
+    Only the key columns are ranked: they are range-partitioned and sorted
+    within partitions, and each key's ``monotonically_increasing_id`` carries
+    (partition, position in partition). That key layout is checkpointed to the
+    shared checkpoint folder: range bounds come from a sample, so the counting
+    branch and the numbering branch must read one materialised layout (this
+    also cuts the lineage, so a lost executor does not re-sample).
+    Per-partition counts, one row per partition, give each partition's offset.
+    The positions then join back to the rows on the keys, so wide rows are
+    shuffled once and never written to the checkpoint. ``order_cols`` must be
+    unique.
     """
     from cribra.session import checkpoint_dir
 
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order_cols)
-                .sortWithinPartitions(*order_cols)
+    keys = list(order_cols)
+    ranged = (df.select(*keys)
+                .repartitionByRange(n, *keys)
+                .sortWithinPartitions(*keys)
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .checkpoint(eager=True))
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
@@ -38,9 +43,11 @@ def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_inde
     # One row per partition: bounded by the partition count, safe to broadcast.
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (ranged.join(F.broadcast(offsets), "_pid")
-                  .withColumn(name, F.col("_off") + F.col("_local"))
-                  .drop("_mid", "_pid", "_local", "_off"))
+    positions = (ranged.join(F.broadcast(offsets), "_pid")
+                       .select(*keys, (F.col("_off") + F.col("_local")).alias(name)))
+    if set(df.columns) == set(keys):
+        return positions
+    return df.join(positions, keys)
 
 
 def chunk_index(df: DataFrame, order_cols: Sequence[str], size: int,

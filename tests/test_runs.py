@@ -152,3 +152,22 @@ def test_landed_studies_stream_into_attempts(spark, tmp):
     silver = TB.silver_view(TB.read_attempts(spark, wh)).collect()
     assert sorted((r.text, r.is_exclusion) for r in silver) == [
         ("EXCLUSION: pregnant.", False), ("INCLUSION: adult.", False)]
+
+
+def test_extraction_waves_check_stop_per_wave(spark, tmp):
+    wh = Warehouse(os.path.join(tmp, "wh"))
+    ids = [f"NCT{i:08d}" for i in range(1, 11)]
+    R.run_backfill(spark, wh, _pages(os.path.join(tmp, "p"), ids), run_token="T1")
+
+    def throttled_after_four(batch: pd.DataFrame) -> pd.DataFrame:
+        out = E.rule_extractor(batch)
+        late = (batch["nct_id"] > "NCT00000004").values
+        out.loc[late, "criteria"] = None
+        out.loc[late, "error"] = "HTTP 429"
+        return out
+
+    res = R.run_extraction(spark, wh, throttled_after_four, SIG, run_token="W", batch_size=2, wave=2)
+    # wave 1 = batches 0, 1 (ok); wave 2 = batches 2, 3 (throttled) -> stop before batch 4
+    assert (res.succeeded, res.failed, res.rate_limited) == (4, 4, 4)
+    res2 = R.run_extraction(spark, wh, None, SIG, run_token="W2", batch_size=4, wave=5)
+    assert (res2.succeeded, res2.remaining) == (6, 0)
