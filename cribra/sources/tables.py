@@ -166,3 +166,29 @@ def failures_view(attempts: DataFrame) -> DataFrame:
         cut_error(F.max_by("error", F.struct("at", "batch", "seq"))).alias("error"),
         F.count(F.lit(1)).cast("int").alias("attempts"),
         F.max("at").alias("last_failed_at"))
+
+
+def register_views(spark: SparkSession, wh: Warehouse, signature: str | None = None) -> list[str]:
+    """Expose the warehouse to Spark SQL as temporary views.
+
+    bronze_studies, bronze_runs, extraction_attempts, silver_criteria and
+    silver_failures; with ``signature``, the Silver views keep that signature
+    only (other signatures count as absent).
+    """
+    ensure_tables(spark, wh)
+    attempts = read_attempts(spark, wh)
+    silver = silver_view(attempts)
+    failures = failures_view(attempts)
+    if signature is not None:
+        silver = silver.where(F.col("signature") == signature)
+        failures = failures.where(F.col("signature") == signature)
+    views = {
+        "bronze_studies": read_bronze(spark, wh),
+        "bronze_runs": read_runs(spark, wh),
+        "extraction_attempts": attempts,
+        "silver_criteria": silver,
+        "silver_failures": failures,
+    }
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return sorted(views)

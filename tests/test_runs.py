@@ -171,3 +171,18 @@ def test_extraction_waves_check_stop_per_wave(spark, tmp):
     assert (res.succeeded, res.failed, res.rate_limited) == (4, 4, 4)
     res2 = R.run_extraction(spark, wh, None, SIG, run_token="W2", batch_size=4, wave=5)
     assert (res2.succeeded, res2.remaining) == (6, 0)
+
+
+def test_sql_views_and_command_entry(spark, tmp, capsys):
+    from cribra.__main__ import main
+    wh_root = os.path.join(tmp, "wh")
+    pages = _pages(os.path.join(tmp, "p"), ["NCT00000001", "NCT00000002", "NCT00000003"])
+    assert main(["--warehouse", wh_root, "backfill", "--pages", pages]) == 0
+    assert main(["--warehouse", wh_root, "extract", "--batch-size", "2"]) == 0
+    out = capsys.readouterr().out
+    assert "studies 3" in out and "trials 3, criteria 6" in out
+    names = TB.register_views(spark, Warehouse(wh_root))
+    assert "silver_criteria" in names
+    got = spark.sql("SELECT kind, count(*) AS n FROM silver_criteria GROUP BY kind").collect()
+    assert sum(r.n for r in got) == 6
+    assert spark.sql("SELECT count(*) AS n FROM bronze_studies").first().n == 3
