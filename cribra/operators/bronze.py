@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cribra.functions.dates import strict_date
-from cribra.schemas import ELIGIBILITY_PATH, LAST_UPDATE_PATH, NCT_ID_PATH
+from cribra.schemas import ELIGIBILITY_PATH, LAST_UPDATE_PATH
 
 ACTION_COL = "merge_action"
 
