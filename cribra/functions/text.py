@@ -65,3 +65,9 @@ def has_text(col: Column | str) -> Column:
 def numbered(prefix: Column | str, index: Column | str) -> Column:
     """``<prefix>-NNNN``: batch names inside a run."""
     return F.format_string("%s-%04d", _c(prefix), _c(index))
+
+
+def list_size(col: Column | str) -> Column:
+    """Number of elements, NULL for a NULL list whatever ``sizeOfNull`` says."""
+    c = _c(col)
+    return F.when(c.isNotNull(), F.size(c))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cribra.functions.text import has_text, is_throttled, retry_budget, token_budget
+from cribra.functions.text import has_text, is_throttled, list_size, retry_budget, token_budget
 from cribra.schemas import CRITERION_KINDS
 
 # Fixed value (ours): the instruction sent with every request.
@@ -93,7 +93,7 @@ def reply_text(envelope: Column) -> Column:
     texts = F.transform(F.filter(parts, lambda p: p["type"] == "text"),
                         lambda p: F.coalesce(p["text"], F.lit("")))
     text = (F.when(kind == "STRING", F.try_variant_get(content, "$", "string"))
-             .when(kind.startswith("ARRAY") & (F.size(texts) > 0), F.array_join(texts, "")))
+             .when(kind.startswith("ARRAY") & (F.coalesce(list_size(texts), F.lit(0)) > 0), F.array_join(texts, "")))
     error = (F.when(~F.coalesce(has_message, F.lit(False)), F.lit(ERR_ENVELOPE))
               .when(text.isNull(), F.lit(ERR_NO_TEXT)))
     return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"))
@@ -155,8 +155,8 @@ def blank_results(docs: DataFrame, id_col: str = "nct_id", text_col: str = "elig
     return docs.select(
         id_col,
         (~has_text(text_col)).alias("is_blank"),
-        F.size(F.filter(lines, lambda l: has_text(l))).alias("nonblank_lines"),
-        F.size(F.filter(lines, lambda l: ~has_text(l))).alias("blank_lines"),
+        list_size(F.filter(lines, lambda l: has_text(l))).alias("nonblank_lines"),
+        list_size(F.filter(lines, lambda l: ~has_text(l))).alias("blank_lines"),
     )
 
 

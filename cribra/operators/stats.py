@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cribra.functions.dates import date_format_of, partial_date_hi, partial_date_lo
+from cribra.functions.text import list_size
 from cribra.operators.ordering import global_index
 
 TOP_N = 10  # ours: the contract does not say how many top values
@@ -38,7 +39,7 @@ def enum_stats(df: DataFrame, id_col: str, value_col: str, n: int = TOP_N) -> Da
     pairs = df.select(id_col, values.alias("value")).where("value IS NOT NULL").distinct()
     counts = pairs.groupBy("value").agg(F.count(F.lit(1)).alias("studies"))
     unique = counts.select(F.count(F.lit(1))).scalar()
-    absent = (v.isNull() | (F.size(v) == 0)) if is_list else v.isNull()
+    absent = (F.coalesce(list_size(v), F.lit(0)) == 0) if is_list else v.isNull()
     missing = df.select(F.count_if(absent)).scalar()
     return _top(counts, "value", "studies", n).select(
         "value", "studies", "rank", unique.alias("unique_values"), missing.alias("missing"))
@@ -108,7 +109,7 @@ def list_size_stats(sizes: DataFrame, size_col: str = "size", n: int = TOP_N) ->
 
 def array_sizes(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
     """Sizes of a list field held as an array in each study (NULL list = size 0)."""
-    return df.select(id_col, F.coalesce(F.size(array_col), F.lit(0)).alias("size"))
+    return df.select(id_col, F.coalesce(list_size(array_col), F.lit(0)).alias("size"))
 
 
 # Ours: the byte ranges of the document-size histogram.

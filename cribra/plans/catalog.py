@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cribra.functions import dates as D
 from cribra.functions.ids import is_valid_nct, nct_from_number
 from cribra.functions.json_fns import content_signature, json_path
-from cribra.functions.text import is_throttled, retry_budget, token_budget
+from cribra.functions.text import is_throttled, list_size, retry_budget, token_budget
 from cribra.operators import bronze as B
 from cribra.operators import extract as E
 from cribra.operators import ordering as O
@@ -280,7 +280,7 @@ def q_failures_cleared(spark: SparkSession, d: str) -> DataFrame:
 def q_outcome_classes(spark: SparkSession, d: str) -> DataFrame:
     parsed = E.parse_replies(S.replies(spark, d), keep=("conv_id", "turn"))
     return parsed.select("conv_id", "turn", "outcome",
-                         F.size("criteria").alias("n_criteria"),
+                         list_size("criteria").alias("n_criteria"),
                          is_throttled("error").alias("throttled"))
 
 

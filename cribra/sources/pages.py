@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cribra.functions.text import list_size
 from cribra.schemas import OVERALL_STATUS, PAGE_DDL, STUDY_TYPE
 
 CORRUPT = "_corrupt"
@@ -22,7 +23,7 @@ def _page_problem(parsed: Column, keys: Column) -> Column:
     ``studies``, unknown page-level keys (pages forbid extras), an unknown enum
     value in a scope field."""
     studies = parsed["studies"]
-    extra = F.size(F.array_except(keys, F.array(*[F.lit(k) for k in PAGE_KEYS])))
+    extra = list_size(F.array_except(keys, F.array(*[F.lit(k) for k in PAGE_KEYS])))
     bad_enum = F.exists(studies, lambda s: (
         ~F.coalesce(s["protocolSection"]["statusModule"]["overallStatus"].isin(list(OVERALL_STATUS)), F.lit(True)))
         | ~F.coalesce(s["protocolSection"]["designModule"]["studyType"].isin(list(STUDY_TYPE)), F.lit(True)))
@@ -85,4 +86,4 @@ def page_counts(spark: SparkSession, path: str) -> DataFrame:
     """Scope size without rows: total of ``totalCount`` if given, else studies counted."""
     pages = read_page_files(spark, path)
     return pages.agg(F.coalesce(F.max("page.totalCount"),
-                                F.sum(F.size("page.studies"))).alias("total_count"))
+                                F.sum(list_size("page.studies"))).alias("total_count"))

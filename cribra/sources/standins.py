@@ -316,8 +316,9 @@ def part_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as studies with locations: consecutive dimension pairs as (lat, lon)."""
+    from cribra.functions.text import list_size
     e = table(spark, sf_dir, "embeddings")
-    n = F.floor(F.size("embedding") / 2).cast("int")
+    n = F.floor(list_size("embedding") / 2).cast("int")
     idx = F.sequence(F.lit(0), n - 1)
     locs = F.transform(idx, lambda i: F.struct(
         (F.col("embedding")[i * 2].cast("double") * 90.0).alias("lat"),
