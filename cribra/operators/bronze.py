@@ -62,14 +62,54 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str])
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
-                 order_cols: Sequence[str] = (), stamp_col: str | None = None) -> DataFrame:
+                 order_cols: Sequence[str] = (), stamp_col: str | None = None,
+                 strategy: str = "keyed") -> DataFrame:
     """MERGE by key: matched rows take every source column, new keys are inserted.
 
     The source is deduplicated first (last by ``order_cols`` wins), so a key
     repeated in a batch can neither fail the merge nor insert twice. Running
     the same batch again yields the same table. Adds ``merge_action`` in
     (insert, update, keep); ``stamp_col`` gets the current time on written rows.
+
+    Written as joins against the source's keys rather than one full outer
+    join: the untouched target rows are a left anti join and the matched keys a
+    left semi join, both with the (deduplicated) batch on the build side. When
+    the batch is small, as in an incremental run, AQE broadcasts it and the
+    target is scanned and written without being shuffled; a large batch falls
+    back to sort-merge joins. ``strategy="full_outer"`` is one full outer join
+    instead, the cheaper form when the batch is about as large as the target
+    (a full pass). Both give the same rows.
     """
+    if strategy == "full_outer":
+        return _merge_full_outer(target, source, keys, order_cols, stamp_col)
+    if strategy != "keyed":
+        raise ValueError("strategy must be 'keyed' or 'full_outer'")
+    value_cols = [c for c in target.columns if c not in keys and c != ACTION_COL]
+    src = dedupe_latest(source, keys, order_cols) if order_cols else source
+    src_cols = [c for c in value_cols if c in src.columns]
+    src = src.select(*keys, *src_cols)
+    src_keys = src.select(*keys)
+    tgt = target.select(*keys, *value_cols)
+
+    kept = tgt.join(src_keys, list(keys), "left_anti").withColumn(ACTION_COL, F.lit("keep"))
+    missing = [c for c in value_cols if c not in src_cols]
+    matched = tgt.join(src_keys, list(keys), "left_semi").select(
+        *keys, *missing, F.lit(True).alias("_matched"))
+    written = src.join(matched, list(keys), "left")
+    out = []
+    for c in value_cols:
+        if stamp_col and c == stamp_col:
+            out.append(F.current_timestamp().cast(target.schema[c].dataType).alias(c))
+        else:
+            out.append(F.col(c).alias(c))
+    written = written.select(
+        *keys, *out,
+        F.when(F.col("_matched"), F.lit("update")).otherwise(F.lit("insert")).alias(ACTION_COL))
+    return kept.unionByName(written)
+
+
+def _merge_full_outer(target: DataFrame, source: DataFrame, keys: Sequence[str],
+                      order_cols: Sequence[str], stamp_col: str | None) -> DataFrame:
     value_cols = [c for c in target.columns if c not in keys and c != ACTION_COL]
     src = dedupe_latest(source, keys, order_cols) if order_cols else source
     src_cols = [c for c in value_cols if c in src.columns]
@@ -80,7 +120,8 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     out = []
     for c in value_cols:
         if stamp_col and c == stamp_col:
-            out.append(F.when(hit, F.current_timestamp()).otherwise(F.col(f"t.{c}")).alias(c))
+            stamp = F.current_timestamp().cast(target.schema[c].dataType)
+            out.append(F.when(hit, stamp).otherwise(F.col(f"t.{c}")).alias(c))
         elif c in src_cols:
             out.append(F.when(hit, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c))
         else:

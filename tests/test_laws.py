@@ -35,6 +35,15 @@ def test_merge_once_equals_twice_and_last_arrival_wins(spark, old, new):
     assert {r.nct_id: (r.last_update_posted, r.raw) for r in once.collect()} == expect
 
 
+@FAST
+@given(old=versions, new=versions)
+def test_merge_strategies_agree(spark, old, new):
+    target = B.dedupe_latest(_src(spark, old), ["nct_id"], ["seq"]).drop("seq")
+    a = B.merge_upsert(target, _src(spark, new), ["nct_id"], ["seq"], strategy="keyed")
+    b = B.merge_upsert(target, _src(spark, new), ["nct_id"], ["seq"], strategy="full_outer")
+    assert sorted(a.collect()) == sorted(b.collect())
+
+
 @FAST
 @given(keys=st.sets(st.integers(min_value=0, max_value=10_000), max_size=60),
        parts=st.integers(min_value=1, max_value=7))
