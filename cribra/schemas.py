@@ -90,11 +90,15 @@ BRONZE_LANDING_SCHEMA = T.StructType([
     T.StructField("raw", T.StringType()),
 ])
 
+# The four reference columns, plus ``eligibility``: the one JSON path every
+# Silver step reads, extracted once when the row is written so readers prune
+# to it instead of re-parsing ``raw``.
 BRONZE_SCHEMA = T.StructType([
     T.StructField("nct_id", T.StringType(), False),
     T.StructField("last_update_posted", T.DateType()),
     T.StructField("raw", T.StringType(), False),
     T.StructField("ingested_at", T.TimestampType(), False),
+    T.StructField("eligibility", T.StringType()),
 ])
 
 RUNS_SCHEMA = T.StructType([

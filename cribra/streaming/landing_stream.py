@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cribra.operators import bronze as B
-from cribra.schemas import BRONZE_LANDING_SCHEMA
+from cribra.schemas import BRONZE_LANDING_SCHEMA, ELIGIBILITY_JSON_PATH
 from cribra.sources import tables as TB
 from cribra.sources.tables import Warehouse
 
@@ -30,7 +30,8 @@ def landing_to_bronze(spark: SparkSession, wh: Warehouse, landing_root: str,
     def merge_batch(batch: DataFrame, epoch: int) -> None:
         source = batch.select(
             "nct_id", F.col("last_update_posted").try_cast("date").alias("last_update_posted"),
-            "raw", F.lit(None).cast("timestamp").alias("ingested_at"), "_file")
+            "raw", F.lit(None).cast("timestamp").alias("ingested_at"),
+            F.get_json_object("raw", ELIGIBILITY_JSON_PATH).alias("eligibility"), "_file")
         source = B.drop_missing_ids(source)
         current = TB.read_bronze(spark, wh)
         merged = B.merge_upsert(current, source, ["nct_id"], ["_file"], stamp_col="ingested_at")
