@@ -186,3 +186,25 @@ def test_sql_views_and_command_entry(spark, tmp, capsys):
     got = spark.sql("SELECT kind, count(*) AS n FROM silver_criteria GROUP BY kind").collect()
     assert sum(r.n for r in got) == 6
     assert spark.sql("SELECT count(*) AS n FROM bronze_studies").first().n == 3
+
+
+def test_extraction_limit_counts_written_trials(spark, tmp):
+    wh = Warehouse(os.path.join(tmp, "wh"))
+    ids = [f"NCT{i:08d}" for i in range(1, 11)]
+    R.run_backfill(spark, wh, _pages(os.path.join(tmp, "p"), ids), run_token="T1")
+
+    def odd_fail(batch: pd.DataFrame) -> pd.DataFrame:
+        out = E.rule_extractor(batch)
+        bad = batch["nct_id"].isin(["NCT00000002", "NCT00000003"]).values
+        out.loc[bad, "criteria"] = None
+        out.loc[bad, "error"] = "Model returned schema-invalid JSON"
+        return out
+
+    # limit 4, batches of 3: takes 1-3 (1 ok), then min(3, 4-1)=3 more: 4-6 -> 4 written
+    res = R.run_extraction(spark, wh, odd_fail, SIG, run_token="L", limit=4, batch_size=3)
+    assert (res.trials_written, res.failed) == (4, 2)
+    got = TB.read_attempts(spark, wh).select("nct_id", "batch").collect()
+    assert sorted(r.nct_id for r in got) == ids[:6]
+    assert sorted({r.batch for r in got}) == ["silver-L-0000", "silver-L-0001"]
+    zero = R.run_extraction(spark, wh, odd_fail, SIG, run_token="Z", limit=0)
+    assert zero.succeeded + zero.failed == 0
