@@ -93,3 +93,23 @@ def test_numeric_boolean_list_and_size_stats(spark):
     r = next(iter(sz.values()))
     assert r.total_docs == 100 and r.largest_id == "NCT00000100" and r.p50 == 505.0
     assert sz["0-1000"].docs == 99 and sz["1000-10000"].docs == 1
+
+
+def test_projection_prunes_nested_parquet(spark, tmp):
+    import re
+    df = spark.createDataFrame([("NCT00000001", "x", "RECRUITING", "2026", 3.5)],
+                               "nct_id string, org string, status string, start string, n double")
+    nested = df.select(F.struct(
+        F.struct("nct_id", "org").alias("identificationModule"),
+        F.struct("status", "start").alias("statusModule"),
+        F.struct("n").alias("designModule")).alias("protocolSection"))
+    nested.write.parquet(f"{tmp}/studies")
+    stored = spark.read.parquet(f"{tmp}/studies")
+    out = O.project_fields(stored, ["protocolSection.identificationModule",
+                                    "protocolSection.statusModule.status"], flatten=True)
+    plan = out._jdf.queryExecution().explainString(
+        out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    schema = re.search(r"ReadSchema: (.*)", plan).group(1)
+    assert "designModule" not in schema and "start" not in schema
+    assert "nct_id" in schema and "org" in schema and "status" in schema
+    assert out.first()[0] == "NCT00000001"
