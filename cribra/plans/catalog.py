@@ -73,7 +73,10 @@ def _bronze_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
-    return B.merge_upsert(_bronze_first(spark, d), S.landing_second(spark, d), ["nct_id"], ["seq"])
+    # The second landing is about as large as the first, the shape of a full
+    # pass: one full outer join (the keyed form suits small incremental batches).
+    return B.merge_upsert(_bronze_first(spark, d), S.landing_second(spark, d), ["nct_id"], ["seq"],
+                          strategy="full_outer")
 
 
 @register("bronze_dedupe_latest")
