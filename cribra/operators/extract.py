@@ -187,14 +187,16 @@ Extractor = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def extract_with(pending: DataFrame, extractor: Extractor, workers: int = 3,
-                 id_col: str = "nct_id", text_col: str = "eligibility") -> DataFrame:
+                 id_col: str = "nct_id", text_col: str = "eligibility",
+                 carry: tuple[str, ...] = ()) -> DataFrame:
     """Run a caller's extractor over pending trials, ``workers`` tasks at a time.
 
     ``extractor(batch)`` gets a pandas frame (id, text) and returns a frame
     (nct_id, criteria, error). One failing call never stops the rest: an
     exception inside the extractor becomes that batch's error rows. Blank prose
     never reaches the extractor. The outcome table is the return value, so no
-    completion callback is needed.
+    completion callback is needed. ``carry`` columns pass through unchanged
+    (matched by trial id inside the batch, so no join is needed afterwards).
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -204,7 +206,7 @@ def extract_with(pending: DataFrame, extractor: Extractor, workers: int = 3,
                 out.append(pd.DataFrame({"nct_id": b.loc[blank, "nct_id"],
                                          "criteria": [[] for _ in range(int(blank.sum()))],
                                          "error": None}))
-            todo = b.loc[~blank]
+            todo = b.loc[~blank, ["nct_id", "text"]]
             if len(todo):
                 try:
                     got = extractor(todo)
@@ -213,13 +215,18 @@ def extract_with(pending: DataFrame, extractor: Extractor, workers: int = 3,
                     out.append(pd.DataFrame({"nct_id": todo["nct_id"], "criteria": None,
                                              "error": str(exc)[:500]}))
             if out:
-                yield pd.concat(out, ignore_index=True)
+                res = pd.concat(out, ignore_index=True)
+                if carry:
+                    res = res.merge(b[["nct_id", *carry]], on="nct_id", how="left")
+                yield res
 
     # In-flight work is bounded by ``workers`` tasks, each holding one Arrow
     # batch (spark.sql.execution.arrow.maxRecordsPerBatch rows) at a time.
-    src = pending.select(F.col(id_col).alias("nct_id"), F.col(text_col).alias("text"))
+    src = pending.select(F.col(id_col).alias("nct_id"), F.col(text_col).alias("text"), *carry)
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}"
+                    for f in src.schema.fields if f.name in carry)
     return src.repartition(workers).mapInPandas(
-        run, f"nct_id string, criteria {CRITERIA_DDL}, error string")
+        run, f"nct_id string, criteria {CRITERIA_DDL}, error string{extra}")
 
 
 def rule_extractor(batch: pd.DataFrame) -> pd.DataFrame:
