@@ -57,7 +57,7 @@ def replace_by_key(target: DataFrame, source: DataFrame, keys: Sequence[str]) ->
     return target.join(replaced, list(keys), "left_anti").unionByName(source)
 
 
-def accumulate_failures(target: DataFrame, outcomes: DataFrame, signature: str,
+def accumulate_failures(target: DataFrame | None, outcomes: DataFrame, signature: str,
                         id_col: str = "nct_id", order_col: str | None = None,
                         error_col: str = "error") -> DataFrame:
     """+1 attempt per genuine failure, insert at 1; last error kept, cut to 400.
@@ -65,6 +65,7 @@ def accumulate_failures(target: DataFrame, outcomes: DataFrame, signature: str,
     Throttled outcomes (error holds ``429``) say nothing about the trial and are
     never counted. Several failures of one trial in a batch add up; the last by
     ``order_col`` gives the error text. Output: (nct_id, signature, error, attempts).
+    ``target=None`` means no counters yet.
     """
     failed = outcomes.where(F.col(error_col).isNotNull() & ~is_throttled(error_col))
     last_key = F.col(order_col) if order_col else F.lit(0)
@@ -72,6 +73,9 @@ def accumulate_failures(target: DataFrame, outcomes: DataFrame, signature: str,
         F.count(F.lit(1)).alias("_n"),
         F.max_by(F.col(error_col), last_key).alias("_err"),
     ).withColumn("signature", F.lit(signature))
+    if target is None:
+        return batch.select(id_col, "signature", cut_error(F.col("_err")).alias("error"),
+                            F.col("_n").cast("int").alias("attempts"))
     t = target.alias("t")
     s = batch.alias("s")
     joined = t.join(s, [id_col, "signature"], "full_outer")

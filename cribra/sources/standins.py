@@ -28,8 +28,23 @@ THROTTLE_MSG = "HTTP 429"
 SCHEMA_MSG = "Model returned schema-invalid JSON"
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The driver table as a DataFrame, resolved once per session and path.
+
+    A DataFrame is an immutable plan, so the stand-ins share one scan
+    definition instead of listing files and reading parquet footers again for
+    every branch of a query.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _TABLES[key] = df
+    return df
 
 
 def bronze_docs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
@@ -213,15 +228,11 @@ def silver_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit("legacy-0000").alias("batch"))
 
 
-def empty_failures(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "nct_id string, signature string, error string, attempts int")
-
-
 def failures_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failure counters after the error events (several attempts per trial)."""
     from cribra.operators.silver import accumulate_failures
-    return accumulate_failures(empty_failures(spark), error_outcomes(spark, sf_dir),
-                               CURRENT_SIGNATURE, order_col="seq")
+    return accumulate_failures(None, error_outcomes(spark, sf_dir), CURRENT_SIGNATURE,
+                               order_col="seq")
 
 
 def failures_after(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,9 @@ def test_signature_changes_with_any_input():
     assert config_signature(base) == config_signature(dict(reversed(list(base.items()))))
     assert config_signature(base) != config_signature({**base, "rules": [2]})
     assert len(config_signature(base)) == 16
+
+
+def test_failures_without_prior_counters(spark):
+    batch = outcomes(spark, [("NCT00000003", None, "bad"), ("NCT00000004", None, "HTTP 429")])
+    got = [(r.nct_id, r.attempts, r.error) for r in SV.accumulate_failures(None, batch, SIG).collect()]
+    assert got == [("NCT00000003", 1, "bad")]
