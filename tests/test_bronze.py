@@ -110,3 +110,14 @@ def test_global_index_is_exact_and_chunks_are_runs(spark):
     assert [r.row_index for r in idx] == list(range(1003))
     sizes = chunk_index(df, ["k"], 100).groupBy("batch_index").count().orderBy("batch_index").collect()
     assert [r["count"] for r in sizes] == [100] * 10 + [3]
+
+
+def test_five_ids_in_batches_of_two(spark):
+    # A8: five distinct ids, batches of 2 give 2, 2, 1, named <run>-NNNN
+    from cribra.functions.text import numbered
+    from cribra.operators.ordering import chunk_index
+    df = spark.createDataFrame([(f"NCT0000000{i}",) for i in range(1, 6)], "nct_id string")
+    got = chunk_index(df, ["nct_id"], 2).select(
+        "nct_id", numbered(F.lit("backfill-T"), F.col("batch_index")).alias("batch"))
+    rows = sorted((r.nct_id, r.batch) for r in got.collect())
+    assert [b for _, b in rows] == ["backfill-T-0000"] * 2 + ["backfill-T-0001"] * 2 + ["backfill-T-0002"]
