@@ -176,6 +176,9 @@ OVERALL_STATUS = (
     "WITHHELD", "UNKNOWN",
 )
 STUDY_TYPE = ("EXPANDED_ACCESS", "INTERVENTIONAL", "OBSERVATIONAL")
+PHASE = ("NA", "EARLY_PHASE1", "PHASE1", "PHASE2", "PHASE3", "PHASE4")
+SEX = ("FEMALE", "MALE", "ALL")
+STANDARD_AGE = ("CHILD", "ADULT", "OLDER_ADULT")
 
 # Paths into the study document.
 NCT_ID_PATH = "protocolSection.identificationModule.nctId"

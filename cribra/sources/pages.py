@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cribra.functions.text import list_size
-from cribra.schemas import OVERALL_STATUS, PAGE_DDL, STUDY_TYPE
+from cribra.schemas import OVERALL_STATUS, PAGE_DDL, PHASE, SEX, STANDARD_AGE, STUDY_TYPE
 
 CORRUPT = "_corrupt"
 PAGE_KEYS = ("studies", "nextPageToken", "totalCount")
@@ -24,9 +24,21 @@ def _page_problem(parsed: Column, keys: Column) -> Column:
     value in a scope field."""
     studies = parsed["studies"]
     extra = list_size(F.array_except(keys, F.array(*[F.lit(k) for k in PAGE_KEYS])))
-    bad_enum = F.exists(studies, lambda s: (
-        ~F.coalesce(s["protocolSection"]["statusModule"]["overallStatus"].isin(list(OVERALL_STATUS)), F.lit(True)))
-        | ~F.coalesce(s["protocolSection"]["designModule"]["studyType"].isin(list(STUDY_TYPE)), F.lit(True)))
+    def unknown(value: Column, allowed: tuple[str, ...]) -> Column:
+        return ~F.coalesce(value.isin(list(allowed)), F.lit(True))
+
+    def unknown_in(values: Column, allowed: tuple[str, ...]) -> Column:
+        return F.coalesce(F.exists(values, lambda v: unknown(v, allowed)), F.lit(False))
+
+    def bad_study(s: Column) -> Column:
+        ps = s["protocolSection"]
+        return (unknown(ps["statusModule"]["overallStatus"], OVERALL_STATUS)
+                | unknown(ps["designModule"]["studyType"], STUDY_TYPE)
+                | unknown_in(ps["designModule"]["phases"], PHASE)
+                | unknown(ps["eligibilityModule"]["sex"], SEX)
+                | unknown_in(ps["eligibilityModule"]["stdAges"], STANDARD_AGE))
+
+    bad_enum = F.exists(studies, bad_study)
     return (F.when(parsed[CORRUPT].isNotNull() | keys.isNull(), F.lit("malformed page or wrong type"))
              .when(studies.isNull(), F.lit("page has no studies"))
              .when(extra > 0, F.lit("unknown page field"))

@@ -115,3 +115,14 @@ def test_pages_one_per_line(spark, tmp):
     rows = PG.read_study_pages(spark, f"{tmp}/lines", page_per_line=True).orderBy("page_file", "pos")
     ids = [r.study.protocolSection.identificationModule.nctId for r in rows.collect()]
     assert ids == [f"NCT{i:08d}" for i in range(1, 11)]
+
+
+def test_list_and_eligibility_enums_are_checked(spark, pages_dir):
+    ok = study("NCT00000001")
+    ok["protocolSection"]["designModule"]["phases"] = ["PHASE1", "PHASE2"]
+    ok["protocolSection"]["eligibilityModule"].update({"sex": "ALL", "stdAges": ["ADULT"]})
+    bad = study("NCT00000002")
+    bad["protocolSection"]["designModule"]["phases"] = ["PHASE9"]
+    path = pages_dir([{"studies": [ok]}, {"studies": [bad]}])
+    assert PG.read_study_pages(spark, path, on_invalid="quarantine").count() == 1
+    assert PG.rejected_pages(spark, path).first().problem == "unknown enum value"
