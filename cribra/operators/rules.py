@@ -20,7 +20,7 @@ from cribra.functions.text import has_text
 # The section heading pattern ("Inclusion Criteria:", "EXCLUSION:"),
 # a leading bullet, and the whitespace trimmed around a criterion.
 HEADING_RE = r"(?i)(inclusion|exclusion)( criteria)?[ \t]*:"
-BULLET_RE = r"^[ \t\r\f]*([-*•][ \t\r\f]+)?"
+BULLET_RE = r"^[ \t\r\f]*(([-*•]|[0-9]{1,2}[.)])[ \t\r\f]+)?"
 TRAIL_RE = r"[ \t\r\f]+$"
 
 # Kind rules in priority order, first match wins, ``other`` last.

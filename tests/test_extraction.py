@@ -140,3 +140,11 @@ def test_factored_rule_patterns_match_the_same_texts():
         for _, p in R.KIND_RULES:
             assert bool(re.search(f"[^a-z]({p})", t)) == bool(re.search("[^a-z]" + R.factor_alternatives(p), t))
         assert bool(re.search(union, t)) == bool(re.search(R.ANY_RULE_RE, t))
+
+
+def test_numbered_bullets_are_stripped_but_decimals_kept(spark):
+    df = spark.createDataFrame([("NCT00000001", "1. Age 18 years or older\n2) Creatinine 1.5 mg/dL\n1.5 mg/dL or less")],
+                               "nct_id string, eligibility string")
+    got = [(r.text, r.kind) for r in rule_criteria(df).orderBy("ordinal").collect()]
+    assert got == [("Age 18 years or older", "age"), ("Creatinine 1.5 mg/dL", "lab"),
+                   ("1.5 mg/dL or less", "lab")]
