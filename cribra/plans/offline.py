@@ -69,7 +69,11 @@ class ImportResult:
 
 
 def _replies(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path)
+    return reply_envelopes(spark.read.text(path))
+
+
+def reply_envelopes(raw: DataFrame) -> DataFrame:
+    """Reply lines (a ``value`` text column) to (nct_id, envelope)."""
     resp = F.coalesce(F.get_json_object("value", "$.response.body"),
                       F.get_json_object("value", "$.response"))
     # A response given as a JSON string holds the envelope as text.

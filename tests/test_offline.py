@@ -73,3 +73,25 @@ def test_requests_out_replies_in(spark, tmp):
     assert {r.nct_id: r.attempts for r in TB.failures_view(TB.read_attempts(spark, wh)).collect()} == fails
     # the next export only asks for what is still pending
     assert OF.export_requests(spark, wh, SIG, os.path.join(tmp, "requests2"), batch="blank-0002") == 3
+
+
+def test_reply_files_stream_into_attempts(spark, tmp):
+    from cribra.streaming.replies_stream import replies_to_attempts
+    wh = Warehouse(os.path.join(tmp, "wh"))
+    root = os.path.join(tmp, "replies")
+    os.makedirs(root)
+    crit = json.dumps({"criteria": [{"criterion_id": "c-0", "text": "adult", "kind": "age",
+                                     "is_exclusion": False}]})
+    with open(os.path.join(root, "a.jsonl"), "w") as f:
+        f.write(json.dumps({"custom_id": "NCT00000001",
+                            "response": {"choices": [{"message": {"content": crit}}]}}) + "\n")
+        f.write(json.dumps({"custom_id": "NCT00000002", "response": {"nope": True}}) + "\n")
+    replies_to_attempts(spark, wh, root, SIG).awaitTermination(120)
+    with open(os.path.join(root, "b.jsonl"), "w") as f:
+        f.write(json.dumps({"custom_id": "NCT00000002",
+                            "response": {"choices": [{"message": {"content": crit}}]}}) + "\n")
+    replies_to_attempts(spark, wh, root, SIG).awaitTermination(120)
+    attempts = TB.read_attempts(spark, wh)
+    assert sorted(r.nct_id for r in TB.silver_view(attempts).collect()) == ["NCT00000001", "NCT00000002"]
+    assert TB.failures_view(attempts).count() == 0          # the later success clears the failure
+    assert attempts.select("batch").distinct().count() == 2  # one batch per micro-batch
