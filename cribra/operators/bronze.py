@@ -36,9 +36,6 @@ def study_columns(studies: DataFrame, study_col: str = "study",
     )
 
 
-def nct_id_of(study: Column) -> Column:
-    return study.getField("protocolSection").getField("identificationModule").getField("nctId")
-
 
 def drop_missing_ids(df: DataFrame, id_col: str = "nct_id") -> DataFrame:
     return df.where(F.col(id_col).isNotNull())

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cribra.functions.text import cut_error, has_text, is_throttled
+from cribra.functions.text import cut_error, is_throttled
 
 
 def outcomes_to_rows(outcomes: DataFrame, signature: str, id_col: str = "nct_id",
@@ -160,8 +160,3 @@ def batch_counts(rows: DataFrame, batch_col: str = "batch", id_col: str = "nct_i
         F.count(F.lit(1)).alias("criteria"),
         F.count_distinct(id_col).alias("trials"),
     )
-
-
-def blank_outcome(text: Column) -> Column:
-    """Whitespace-only prose is an ok, empty result: no call is made."""
-    return ~has_text(text)

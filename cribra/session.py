@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -51,8 +50,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A named folder under the shared checkpoint area for written tables."""
-    return os.path.join(checkpoint_dir(spark), name)
