@@ -101,6 +101,21 @@ def write_bronze_version(spark: SparkSession, wh: Warehouse, df: DataFrame) -> i
     return nxt
 
 
+def vacuum_bronze(spark: SparkSession, wh: Warehouse, keep: int = 2) -> list[int]:
+    """Delete all but the newest ``keep`` finished Bronze snapshots; returns the
+    removed version numbers. Call it when no reader holds an older version.
+    Unfinished version folders (no success marker) newer than the current one
+    are left alone: a writer may still be producing them."""
+    if keep < 1:
+        raise ValueError("keep at least one snapshot")
+    versions = bronze_versions(spark, wh)
+    doomed = versions[:-keep]
+    for v in doomed:
+        fs, p = _fs(spark, f"{wh.bronze}/v={v:08d}")
+        fs.delete(p, True)
+    return doomed
+
+
 def read_runs(spark: SparkSession, wh: Warehouse) -> DataFrame:
     from cribra.operators.bronze import ledger_latest
     raw = spark.read.schema(RUNS_SCHEMA).parquet(wh.runs)

@@ -208,3 +208,15 @@ def test_extraction_limit_counts_written_trials(spark, tmp):
     assert sorted({r.batch for r in got}) == ["silver-L-0000", "silver-L-0001"]
     zero = R.run_extraction(spark, wh, odd_fail, SIG, run_token="Z", limit=0)
     assert zero.succeeded + zero.failed == 0
+
+
+def test_vacuum_keeps_newest_snapshots(spark, tmp):
+    wh = Warehouse(os.path.join(tmp, "wh"))
+    p = _pages(os.path.join(tmp, "p"), ["NCT00000001"])
+    for k in range(3):
+        R.run_backfill(spark, wh, p, run_token=f"V{k}")
+    before = TB.bronze_versions(spark, wh)
+    assert len(before) == 4                                   # empty v0 + one per run
+    removed = TB.vacuum_bronze(spark, wh, keep=2)
+    assert removed == before[:2] and TB.bronze_versions(spark, wh) == before[2:]
+    assert TB.read_bronze(spark, wh).count() == 1
