@@ -143,6 +143,11 @@ def parse_replies(replies: DataFrame, envelope_col: str = "envelope",
                          error.alias("error"))
 
 
+def finish_reason(envelope: Column) -> Column:
+    """``choices[0].finish_reason`` of a reply envelope (NULL when absent)."""
+    return F.try_variant_get(F.try_parse_json(envelope), "$.choices[0].finish_reason", "string")
+
+
 def truncation_retries(truncated: DataFrame, budget_col: str = "max_tokens") -> DataFrame:
     """Truncated calls retried once at twice the budget; none when already at the ceiling."""
     r = retry_budget(budget_col)

@@ -99,8 +99,10 @@ def boolean_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def list_size_stats(sizes: DataFrame, size_col: str = "size", n: int = TOP_N) -> DataFrame:
     """min, max and number of distinct list sizes, and the most common sizes."""
     counts = sizes.groupBy(size_col).agg(F.count(F.lit(1)).alias("studies"))
-    mn = sizes.select(F.min(size_col)).scalar()
-    mx = sizes.select(F.max(size_col)).scalar()
+    # min, max and the number of distinct sizes all come from the size histogram
+    # (one row per distinct size), so Spark merges them into one subquery.
+    mn = counts.select(F.min(size_col)).scalar()
+    mx = counts.select(F.max(size_col)).scalar()
     uq = counts.select(F.count(F.lit(1))).scalar()
     return _top(counts, size_col, "studies", n).select(
         F.col(size_col).alias("size"), "studies", "rank",

@@ -361,7 +361,9 @@ def q_reply_text(spark: SparkSession, d: str) -> DataFrame:
 
 @register("truncation_retries")
 def q_truncation_retries(spark: SparkSession, d: str) -> DataFrame:
-    parsed = E.parse_replies(S.replies(spark, d), keep=("conv_id", "turn"))
+    # Only a reply that stopped on length can be truncated: parse those alone.
+    replies = S.replies(spark, d).where(E.finish_reason(F.col("envelope")) == "length")
+    parsed = E.parse_replies(replies, keep=("conv_id", "turn"))
     trunc = parsed.where(F.col("outcome") == "truncated").join(
         S.request_texts(spark, d), ["conv_id", "turn"])
     trunc = trunc.select("conv_id", "turn", token_budget("request_text").alias("max_tokens"))
