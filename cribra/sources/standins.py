@@ -29,6 +29,27 @@ SCHEMA_MSG = "Model returned schema-invalid JSON"
 
 
 _TABLES: dict[tuple[int, str], DataFrame] = {}
+_VIEWS: dict[tuple, DataFrame] = {}
+
+
+def _view(fn):  # noqa: ANN001, ANN202 - decorator
+    """Build a stand-in view once per session, path and arguments.
+
+    Only the lazy plan is shared (no data is cached): every action still reads
+    and computes everything, but a query that uses a view in several branches
+    does not rebuild and re-analyse it each time.
+    """
+    import functools
+
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):  # noqa: ANN202
+        key = (id(spark), sf_dir, fn.__name__, args, tuple(sorted(kwargs.items())))
+        df = _VIEWS.get(key)
+        if df is None or df.sparkSession is not spark:
+            df = fn(spark, sf_dir, *args, **kwargs)
+            _VIEWS[key] = df
+        return df
+    return wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +68,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+@_view
 def bronze_docs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Bronze with prose: one study per document, eligibility = text.
 
@@ -66,6 +88,7 @@ def bronze_docs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataF
     )
 
 
+@_view
 def study_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry page stream with repeated keys: one event = one study version.
 
@@ -81,6 +104,7 @@ def study_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_view
 def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One extraction attempt per labelled document.
 
@@ -97,6 +121,7 @@ def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_view
 def error_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated failures: every ``error`` event is one failed attempt of a trial."""
     return table(spark, sf_dir, "events").where(F.col("event_type") == "error").select(
@@ -109,6 +134,7 @@ def error_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- Bronze side ------------------------------------------------------------
 
+@_view
 def bronze_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze rows with the study document as JSON text (``raw``)."""
     docs = bronze_docs(spark, sf_dir)
@@ -119,14 +145,17 @@ def bronze_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("nct_id", F.to_json(study).alias("raw"))
 
 
+@_view
 def landing_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study_updates(spark, sf_dir).where(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz"))
 
 
+@_view
 def landing_second(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study_updates(spark, sf_dir).where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))
 
 
+@_view
 def runs_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run ledger: one backfill run per landing day.
 
@@ -220,6 +249,7 @@ def line_criteria(docs: DataFrame) -> DataFrame:
         "text", F.lit("other").alias("kind"), F.lit(False).alias("is_exclusion"))
 
 
+@_view
 def silver_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of an earlier full pass by the plain line extractor (another signature)."""
     rows = line_criteria(bronze_docs(spark, sf_dir))
@@ -228,6 +258,7 @@ def silver_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit("legacy-0000").alias("batch"))
 
 
+@_view
 def failures_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failure counters after the error events (several attempts per trial)."""
     from cribra.operators.silver import accumulate_failures
@@ -235,6 +266,7 @@ def failures_before(spark: SparkSession, sf_dir: str) -> DataFrame:
                                order_col="seq")
 
 
+@_view
 def failures_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters after the labelled batch: schema errors count, throttling does not."""
     from cribra.operators.silver import accumulate_failures
@@ -242,12 +274,14 @@ def failures_after(spark: SparkSession, sf_dir: str) -> DataFrame:
                                CURRENT_SIGNATURE)
 
 
+@_view
 def failures_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cribra.operators.silver import clear_failures
     return clear_failures(failures_after(spark, sf_dir), attempt_log(spark, sf_dir),
                           CURRENT_SIGNATURE)
 
 
+@_view
 def done_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trials with a successful attempt under the current signature."""
     return (attempt_log(spark, sf_dir).where(F.col("error").isNull())
@@ -259,6 +293,7 @@ def done_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPLY_SHAPES = 6  # string content, typed parts, truncated, prose, number, no choices
 
 
+@_view
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns wrapped as model reply envelopes of six shapes."""
     from cribra.functions.text import has_text
@@ -287,6 +322,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", env.alias("envelope"))
 
 
+@_view
 def request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The user turn each assistant turn answered (the request prose)."""
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
@@ -295,6 +331,7 @@ def request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- Registry fields for the contract filters and statistics ---------------
 
+@_view
 def registry_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as studies: status, priority, start date (full and partial), size."""
     o = table(spark, sf_dir, "orders")
@@ -314,6 +351,7 @@ def registry_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_view
 def part_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as studies with minimum and maximum age texts."""
     p = table(spark, sf_dir, "part")
@@ -325,6 +363,7 @@ def part_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", min_age.alias("minimum_age"), max_age.alias("maximum_age"))
 
 
+@_view
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as studies with locations: consecutive dimension pairs as (lat, lon)."""
     from cribra.functions.text import list_size
