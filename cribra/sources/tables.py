@@ -5,11 +5,11 @@ append-only and read as views:
 
 * ``bronze/v=NNNNNNNN`` - immutable snapshots; a run writes the next version,
   the current one is the highest version with a success marker. A path being
-  read is never overwritten.
+  read is never overwritten; ``vacuum_bronze`` drops old versions.
 * ``runs`` - the run ledger, one appended row at start and one at finish.
 * ``attempts/signature=S/batch=B`` - the extraction log; a rerun batch
   replaces its own folder. Silver and the failure counters are views over it.
-* ``landing/batch=B`` - gzip JSON lines per batch.
+* ``landing/run=R/batch=B`` - gzip JSON lines per backfill batch.
 """
 
 from __future__ import annotations
