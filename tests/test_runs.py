@@ -179,8 +179,10 @@ def test_sql_views_and_command_entry(spark, tmp, capsys):
     pages = _pages(os.path.join(tmp, "p"), ["NCT00000001", "NCT00000002", "NCT00000003"])
     assert main(["--warehouse", wh_root, "backfill", "--pages", pages]) == 0
     assert main(["--warehouse", wh_root, "extract", "--batch-size", "2"]) == 0
+    assert main(["--warehouse", wh_root, "status"]) == 0
     out = capsys.readouterr().out
     assert "studies 3" in out and "trials 3, criteria 6" in out
+    assert "percent" in out and "100.0" in out
     names = TB.register_views(spark, Warehouse(wh_root))
     assert "silver_criteria" in names
     got = spark.sql("SELECT kind, count(*) AS n FROM silver_criteria GROUP BY kind").collect()
