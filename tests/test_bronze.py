@@ -121,3 +121,14 @@ def test_five_ids_in_batches_of_two(spark):
         "nct_id", numbered(F.lit("backfill-T"), F.col("batch_index")).alias("batch"))
     rows = sorted((r.nct_id, r.batch) for r in got.collect())
     assert [b for _, b in rows] == ["backfill-T-0000"] * 2 + ["backfill-T-0001"] * 2 + ["backfill-T-0002"]
+
+
+def test_checkpoint_folder_comes_from_the_session(spark, tmp):
+    from cribra.session import checkpoint_dir
+    before = spark.conf.get("spark.checkpoint.dir")
+    try:
+        spark.conf.set("spark.checkpoint.dir", f"{tmp}/shared-ckpt")
+        assert checkpoint_dir(spark) == f"{tmp}/shared-ckpt"
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+        checkpoint_dir(spark)
