@@ -123,12 +123,35 @@ def test_five_ids_in_batches_of_two(spark):
     assert [b for _, b in rows] == ["backfill-T-0000"] * 2 + ["backfill-T-0001"] * 2 + ["backfill-T-0002"]
 
 
-def test_checkpoint_folder_comes_from_the_session(spark, tmp):
+def test_checkpoint_folder_comes_from_the_session():
+    import pytest as _pytest
+
     from cribra.session import checkpoint_dir
-    before = spark.conf.get("spark.checkpoint.dir")
-    try:
-        spark.conf.set("spark.checkpoint.dir", f"{tmp}/shared-ckpt")
-        assert checkpoint_dir(spark) == f"{tmp}/shared-ckpt"
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
-        checkpoint_dir(spark)
+
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, key, default=None):
+            return self.value if key == "spark.checkpoint.dir" else default
+
+        def set(self, key, value):
+            self.value = value
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.dir = master, None
+
+        def setCheckpointDir(self, d):  # noqa: N802 - Spark's name
+            self.dir = d
+
+    class Session:
+        def __init__(self, value, master):
+            self.conf, self.sparkContext = Conf(value), Context(master)
+
+    cluster = Session("hdfs://shared/ckpt", "yarn")
+    assert checkpoint_dir(cluster) == "hdfs://shared/ckpt" == cluster.sparkContext.dir
+    with _pytest.raises(ValueError, match="shared"):
+        checkpoint_dir(Session(None, "yarn"))          # never a driver-local folder on a cluster
+    local = Session(None, "local[4]")
+    assert checkpoint_dir(local).startswith("/") and local.sparkContext.dir == local.conf.value
