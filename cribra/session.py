@@ -43,10 +43,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
     if not spark.sparkContext.master.startswith("local"):
         # Executors on other machines cannot read a folder local to the driver.
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     local = tempfile.mkdtemp(prefix="cribra-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
+    try:
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:  # noqa: BLE001 - some sessions refuse core settings at runtime
+        pass
     return local

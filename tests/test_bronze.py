@@ -145,6 +145,9 @@ def test_checkpoint_folder_comes_from_the_session():
         def setCheckpointDir(self, d):  # noqa: N802 - Spark's name
             self.dir = d
 
+        def getCheckpointDir(self):  # noqa: N802 - Spark's name
+            return self.dir
+
     class Session:
         def __init__(self, value, master):
             self.conf, self.sparkContext = Conf(value), Context(master)
