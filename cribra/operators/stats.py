@@ -19,6 +19,14 @@ from cribra.operators.ordering import global_index
 TOP_N = 10  # ours: the contract does not say how many top values
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a small aggregate that several branches read to the shared
+    checkpoint folder (reliable checkpoint), so it is computed once."""
+    from cribra.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _top(counts: DataFrame, value_col: str, count_col: str, n: int) -> DataFrame:
     order = [F.col(count_col).desc(), F.col(value_col).asc()]
     top = counts.orderBy(*order).limit(n)
@@ -98,9 +106,10 @@ def boolean_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def list_size_stats(sizes: DataFrame, size_col: str = "size", n: int = TOP_N) -> DataFrame:
     """min, max and number of distinct list sizes, and the most common sizes."""
-    counts = sizes.groupBy(size_col).agg(F.count(F.lit(1)).alias("studies"))
-    # min, max and the number of distinct sizes all come from the size histogram
-    # (one row per distinct size), so Spark merges them into one subquery.
+    counts = materialize(sizes.groupBy(size_col).agg(F.count(F.lit(1)).alias("studies")))
+    # The top sizes, min, max and the number of distinct sizes all read the
+    # size histogram (one row per distinct size), written once to the shared
+    # checkpoint folder instead of re-aggregating every list per consumer.
     mn = counts.select(F.min(size_col)).scalar()
     mx = counts.select(F.max(size_col)).scalar()
     uq = counts.select(F.count(F.lit(1))).scalar()
