@@ -1,5 +1,6 @@
 """The expression-based extractor against a plain Python reading of the same rules."""
 
+import os
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -40,7 +41,7 @@ texts = st.lists(st.tuples(st.sampled_from(PIECES), st.sampled_from(["\n", " ",
                  max_size=12).map(lambda parts: "".join(a + b for a, b in parts))
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=int(os.environ.get("CRIBRA_EXAMPLES", "10")), deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(docs=st.lists(texts, min_size=1, max_size=6))
 def test_extractor_matches_python_reading(spark, docs):
     df = spark.createDataFrame([(f"NCT{i:08d}", t) for i, t in enumerate(docs)],
