@@ -90,8 +90,9 @@ def read_study_pages(spark: SparkSession, path: str, on_invalid: str = "fail",
     return pages.select("page_file", F.posexplode("page.studies").alias("pos", "study"))
 
 
-def rejected_pages(spark: SparkSession, path: str) -> DataFrame:
-    return read_page_files(spark, path).where(F.col("problem").isNotNull()).select("page_file", "problem")
+def rejected_pages(spark: SparkSession, path: str, page_per_line: bool = False) -> DataFrame:
+    return (read_page_files(spark, path, page_per_line).where(F.col("problem").isNotNull())
+            .select("page_file", "problem"))
 
 
 def page_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -222,3 +222,13 @@ def test_vacuum_keeps_newest_snapshots(spark, tmp):
     removed = TB.vacuum_bronze(spark, wh, keep=2)
     assert removed == before[:2] and TB.bronze_versions(spark, wh) == before[2:]
     assert TB.read_bronze(spark, wh).count() == 1
+
+
+def test_quarantine_run_with_rejects_is_not_complete(spark, tmp):
+    wh = Warehouse(os.path.join(tmp, "wh"))
+    good = {"studies": [study("NCT00000001")]}
+    path = write_pages(os.path.join(tmp, "p"), [good, '{"studies": [{"protocolSection": 5}]}'])
+    r = R.run_backfill(spark, wh, path, run_token="Q", on_invalid="quarantine")
+    assert (r.written, r.complete) == (1, False)
+    from cribra.operators.bronze import safe_watermark
+    assert safe_watermark(TB.read_runs(spark, wh)).first().watermark is None
