@@ -101,3 +101,23 @@ def test_failures_without_prior_counters(spark):
     batch = outcomes(spark, [("NCT00000003", None, "bad"), ("NCT00000004", None, "HTTP 429")])
     got = [(r.nct_id, r.attempts, r.error) for r in SV.accumulate_failures(None, batch, SIG).collect()]
     assert got == [("NCT00000003", 1, "bad")]
+
+
+def test_latest_ok_attempt_wins_even_if_empty(spark):
+    # Q7: a later ok and empty extraction leaves the trial with no Silver rows
+    import datetime as dt
+
+    from cribra.schemas import ATTEMPTS_SCHEMA
+    from cribra.sources.tables import failures_view, silver_view
+    t0, t1, t2 = (dt.datetime(2026, 8, d) for d in (1, 2, 3))
+    log = spark.createDataFrame([
+        ("NCT00000001", SIG, "b-0", 0, crit(2), None, t0),
+        ("NCT00000001", SIG, "b-1", 0, [], None, t1),
+        ("NCT00000002", SIG, "b-0", 1, crit(1), None, t0),
+        ("NCT00000002", SIG, "b-1", 1, None, "bad", t1),
+        ("NCT00000002", SIG, "b-2", 1, None, "HTTP 429", t2),
+    ], ATTEMPTS_SCHEMA)
+    rows = silver_view(log).collect()
+    assert [(r.nct_id, r.ordinal) for r in rows] == [("NCT00000002", 0)]
+    f = {r.nct_id: r.attempts for r in failures_view(log).collect()}
+    assert f == {"NCT00000002": 1}      # the failure after the success counts; 429 does not
