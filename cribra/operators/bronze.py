@@ -37,6 +37,11 @@ def study_columns(studies: DataFrame, study_col: str = "study",
 
 
 
+def fetch_study(bronze: DataFrame, nct_id: str, id_col: str = "nct_id") -> DataFrame:
+    """One study by trial id: an equality filter that reaches the parquet scan."""
+    return bronze.where(F.col(id_col) == nct_id)
+
+
 def drop_missing_ids(df: DataFrame, id_col: str = "nct_id") -> DataFrame:
     return df.where(F.col(id_col).isNotNull())
 

@@ -36,6 +36,11 @@ def scope_filter(df: DataFrame, ancestors_col: str, type_col: str, status_col: s
     return df.where(cond)
 
 
+def scope_count(scoped: DataFrame) -> DataFrame:
+    """Size of a scope without its rows (a distributed count)."""
+    return scoped.agg(F.count(F.lit(1)).alias("scope_count"))
+
+
 def updated_since(df: DataFrame, date_col: str, since: date | str | None) -> DataFrame:
     """Inclusive lower bound on the last-update date; None keeps everything."""
     if since is None:

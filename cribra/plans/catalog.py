@@ -128,9 +128,8 @@ def q_limited_scan(spark: SparkSession, d: str) -> DataFrame:
 def q_study_by_id(spark: SparkSession, d: str) -> DataFrame:
     # The stand-in id is derived from doc_id, so the point read is also stated on
     # doc_id: that predicate reaches the parquet scan (row-group statistics).
-    return S.bronze_docs(spark, d).where(
-        (F.col("doc_id") == int(POINT_ID[3:])) & (F.col("nct_id") == POINT_ID)).select(
-        "nct_id", "eligibility", "lang", "source")
+    docs = S.bronze_docs(spark, d).where(F.col("doc_id") == int(POINT_ID[3:]))
+    return B.fetch_study(docs, POINT_ID).select("nct_id", "eligibility", "lang", "source")
 
 
 @register("json_path_value")
@@ -149,7 +148,7 @@ def q_scope_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @register("scope_count")
 def q_scope_count(spark: SparkSession, d: str) -> DataFrame:
-    return q_scope_filter(spark, d).agg(F.count(F.lit(1)).alias("scope_count"))
+    return P.scope_count(q_scope_filter(spark, d))
 
 
 @register("updated_since")
