@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from cribra.functions.text import has_text
 
-# The section heading pattern ("Inclusion Criteria:", "EXCLUSION:"),
+# The section heading pattern ("Inclusion Criteria:", "EXCLUSION:",
+# "Key Exclusion Criteria:"),
 # a leading bullet, and the whitespace trimmed around a criterion.
-HEADING_RE = r"(?i)(inclusion|exclusion)( criteria)?[ \t]*:"
+HEADING_RE = r"(?i)(?:(?:key|main|major|additional|general) )?(inclusion|exclusion)( criteria)?[ \t]*:"
 BULLET_RE = r"^[ \t\r\f]*(([-*•]|[0-9]{1,2}[.)])[ \t\r\f]+)?"
 TRAIL_RE = r"[ \t\r\f]+$"
 

@@ -148,3 +148,10 @@ def test_numbered_bullets_are_stripped_but_decimals_kept(spark):
     got = [(r.text, r.kind) for r in rule_criteria(df).orderBy("ordinal").collect()]
     assert got == [("Age 18 years or older", "age"), ("Creatinine 1.5 mg/dL", "lab"),
                    ("1.5 mg/dL or less", "lab")]
+
+
+def test_qualified_headings_leave_no_stray_words(spark):
+    df = spark.createDataFrame([("NCT00000001", "Key Inclusion Criteria:\n- Adults\nKey Exclusion Criteria:\n- HIV")],
+                               "nct_id string, eligibility string")
+    got = [(r.text, r.is_exclusion) for r in rule_criteria(df).orderBy("ordinal").collect()]
+    assert got == [("Adults", False), ("HIV", True)]

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from cribra.operators import rules as R
 
 PIECES = ["Inclusion Criteria:", "EXCLUSION:", "exclusion criteria :", "inclusion:",
+          "Key Exclusion Criteria:", "main inclusion:",
           "- Age 18 years or older", "* Pregnant or breastfeeding", "1. ECOG 0-1",
           "Creatinine 1.5 mg/dL", "active hepatitis B", "  ", "", "\t", "prior chemotherapy",
           "Measurable disease per RECIST", "Signed informed consent", "stage IV NSCLC."]
