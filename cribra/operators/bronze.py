@@ -190,16 +190,22 @@ def safe_watermark(runs: DataFrame) -> DataFrame:
 
 
 def start_run(spark: SparkSession, run_id: str, mode: str) -> DataFrame:
-    """The ledger row appended before any write: started and incomplete."""
+    """The ledger row appended before any write: started and incomplete.
+
+    The start time is fixed once, here, so the finish row (built from this
+    one) carries the same ``started_at`` however often the plan is evaluated.
+    """
+    from datetime import datetime, timezone
+
     from cribra.functions.text import validate_name
     from cribra.schemas import RUNS_SCHEMA
     validate_name(run_id)
-    row = spark.createDataFrame([(run_id, mode, None, None, None, None, False)],
+    now = datetime.now(timezone.utc)
+    row = spark.createDataFrame([(run_id, mode, now, None, None, None, False)],
                                 "run_id string, mode string, started_at timestamp, "
                                 "finished_at timestamp, studies_written bigint, "
                                 "watermark date, complete boolean")
-    return row.withColumn("started_at", F.current_timestamp()).select(
-        *[F.col(f.name).cast(f.dataType) for f in RUNS_SCHEMA.fields])
+    return row.select(*[F.col(f.name).cast(f.dataType) for f in RUNS_SCHEMA.fields])
 
 
 def finish_run(started: DataFrame, bronze: DataFrame, written: int, complete: bool,

@@ -232,3 +232,17 @@ def test_quarantine_run_with_rejects_is_not_complete(spark, tmp):
     assert (r.written, r.complete) == (1, False)
     from cribra.operators.bronze import safe_watermark
     assert safe_watermark(TB.read_runs(spark, wh)).first().watermark is None
+
+
+def test_ledger_rows_share_the_start_time(spark, tmp):
+    import time as _time
+
+    from cribra.schemas import RUNS_SCHEMA
+    wh = Warehouse(os.path.join(tmp, "wh"))
+    p = _pages(os.path.join(tmp, "p"), ["NCT00000001"])
+    R.run_backfill(spark, wh, p, run_token="S1")
+    _time.sleep(0.01)
+    raw = spark.read.schema(RUNS_SCHEMA).parquet(wh.runs).where("run_id = 'backfill-S1'").collect()
+    assert len(raw) == 2 and raw[0].started_at == raw[1].started_at
+    done = [r for r in raw if r.finished_at is not None][0]
+    assert done.finished_at >= done.started_at
