@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from cribra.functions.text import has_text
 
-# The section heading pattern ("Inclusion Criteria:", "EXCLUSION:",
-# "Key Exclusion Criteria:"),
+# The section heading pattern ("Inclusion Criteria:", "EXCLUSION:"),
+# the qualifier a heading may carry ("Key Exclusion Criteria:"),
 # a leading bullet, and the whitespace trimmed around a criterion.
-HEADING_RE = r"(?i)(?:(?:key|main|major|additional|general) )?(inclusion|exclusion)( criteria)?[ \t]*:"
+HEADING_RE = r"(?i)(inclusion|exclusion)( criteria)?[ \t]*:"
+QUALIFIER_RE = r"(?i)(key|main|major|additional|general)[ \t]*\z"
 BULLET_RE = r"^[ \t\r\f]*(([-*•]|[0-9]{1,2}[.)])[ \t\r\f]+)?"
 TRAIL_RE = r"[ \t\r\f]+$"
 
@@ -156,7 +157,11 @@ def criteria_items(text: Column, clean: bool = True) -> Column:
         exclusion = F.when(
             k > 0, F.lower(F.try_element_at(heads, k.cast("int"))) == "exclusion"
         ).otherwise(F.lit(False))
-        lines = F.filter(F.split(chunk, "\n", -1), lambda line: has_text(line))
+        # A chunk followed by a heading may end with the heading's qualifier
+        # ("Key"); only those chunks are searched for it.
+        body = F.when(k < F.size(sections) - 1, F.regexp_replace(chunk, QUALIFIER_RE, "")) \
+                .otherwise(chunk)
+        lines = F.filter(F.split(body, "\n", -1), lambda line: has_text(line))
         return F.transform(lines, lambda line: F.struct(
             exclusion.alias("is_exclusion"),
             (clean_line(line) if clean else line).alias("text")))
@@ -209,6 +214,7 @@ EXTRACTOR_MATERIAL = {
     "extractor": "cribra.rules",
     "version": 1,
     "heading": HEADING_RE,
+    "qualifier": QUALIFIER_RE,
     "rules": [list(r) for r in KIND_RULES],
     "fallback": FALLBACK_KIND,
     "schema": "criterion_id:string,text:string,kind:string,is_exclusion:boolean",

@@ -46,12 +46,16 @@ def _rule_criteria_cte(src: str = "bronze_docs", name: str = "rule_criteria") ->
   FROM {src}),
 {name}_c AS (
   SELECT nct_id, heads, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) AS k FROM {name}_s),
+{name}_b AS (
+  SELECT nct_id, heads, k, CASE WHEN k < n THEN regexp_replace(chunk, {_q(rules.QUALIFIER_RE)}, '')
+                               ELSE chunk END AS chunk
+  FROM (SELECT *, len(chunks) AS n FROM {name}_c JOIN (SELECT nct_id AS _id, chunks FROM {name}_s) ON _id = nct_id)),
 {name}_l AS (
   SELECT nct_id, k,
          CASE WHEN k > 1 THEN lower(heads[k - 1]) = 'exclusion' ELSE false END AS is_exclusion,
          unnest(string_split(chunk, chr(10))) AS line,
          generate_subscripts(string_split(chunk, chr(10)), 1) AS j
-  FROM {name}_c),
+  FROM {name}_b),
 {name}_r AS (
   SELECT nct_id, is_exclusion,
          regexp_replace(regexp_replace(line, {_q(rules.BULLET_RE)}, ''), {_q(rules.TRAIL_RE)}, '') AS text,

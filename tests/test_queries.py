@@ -51,3 +51,24 @@ def test_query_matches_duckdb(spark, duck, key):
     idx = [dnames.index(c) for c in cols]
     drows = sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)
     assert srows == drows
+
+
+def test_extractor_twin_on_texts_with_headings(spark):
+    """The driver's prose has no headings, so check the SQL twin's heading and
+    qualifier handling against Spark on trial-like texts."""
+    from cribra.operators import rules as R
+    from cribra.plans import oracles as O
+    texts = ["Key Inclusion Criteria:\n- Adults 18 years\n- ECOG 0-1\nKey Exclusion Criteria:\n- HIV\n* Pregnant",
+             "INCLUSION: stage IV NSCLC. EXCLUSION: untreated CNS mets.",
+             "intro line\nMain inclusion:\n1. prior chemotherapy\nAdditional Exclusion Criteria:\n2) hepatitis B\nKey",
+             "no headings here\n\n  \nsecond line key\nkey\n", "   "]
+    df = spark.createDataFrame([(f"NCT{i:08d}", t) for i, t in enumerate(texts)],
+                               "nct_id string, eligibility string")
+    s_rows = sorted(tuple(r) for r in R.rule_criteria(df).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE bronze_docs AS SELECT * FROM (VALUES " + ",".join(
+        f"('NCT{i:08d}', {O._q(t)})" for i, t in enumerate(texts)) + ") AS t(nct_id, eligibility)")
+    d_rows = sorted(tuple(r) for r in con.execute(
+        f"WITH {O.RULE_CRITERIA} SELECT nct_id, ordinal, criterion_id, text, kind, is_exclusion "
+        "FROM rule_criteria").fetchall())
+    assert s_rows == d_rows and len(s_rows) == 13

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from cribra.operators import rules as R
 
 PIECES = ["Inclusion Criteria:", "EXCLUSION:", "exclusion criteria :", "inclusion:",
-          "Key Exclusion Criteria:", "main inclusion:",
+          "Key Exclusion Criteria:", "main inclusion:", "Key", "key\n",
           "- Age 18 years or older", "* Pregnant or breastfeeding", "1. ECOG 0-1",
           "Creatinine 1.5 mg/dL", "active hepatitis B", "  ", "", "\t", "prior chemotherapy",
           "Measurable disease per RECIST", "Signed informed consent", "stage IV NSCLC."]
@@ -27,6 +27,8 @@ def python_extract(text: str):
     out = []
     for k, chunk in enumerate(chunks):
         excl = k > 0 and heads[k - 1].lower() == "exclusion"
+        if k < len(chunks) - 1:
+            chunk = re.sub(R.QUALIFIER_RE.replace("\\z", "\\Z"), "", chunk, count=1)
         for line in chunk.split("\n"):
             if not re.search(r"\S", line):
                 continue
