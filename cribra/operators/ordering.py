@@ -30,10 +30,13 @@ def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_inde
 
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(order_cols)
-    ranged = (df.select(*keys)
-                .repartitionByRange(n, *keys)
+    # Without an explicit count AQE may coalesce adjacent ranges, which keeps
+    # the order (small key sets do not pay for hundreds of empty tasks).
+    ranged = df.select(*keys)
+    ranged = (ranged.repartitionByRange(partitions, *keys) if partitions
+              else ranged.repartitionByRange(*keys))
+    ranged = (ranged
                 .sortWithinPartitions(*keys)
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .checkpoint(eager=True))
