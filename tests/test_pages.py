@@ -126,3 +126,19 @@ def test_list_and_eligibility_enums_are_checked(spark, pages_dir):
     path = pages_dir([{"studies": [ok]}, {"studies": [bad]}])
     assert PG.read_study_pages(spark, path, on_invalid="quarantine").count() == 1
     assert PG.rejected_pages(spark, path).first().problem == "unknown enum value"
+
+
+def test_page_count_without_total_counts_studies(spark, pages_dir):
+    path = pages_dir([{"studies": [study("NCT00000001"), study("NCT00000002")]},
+                      {"studies": [study("NCT00000003")]}])
+    assert PG.page_counts(spark, path).first().total_count == 3
+
+
+def test_point_read_and_scope_count(spark, pages_dir):
+    from cribra.operators import predicates as P
+    path = pages_dir([{"studies": [study("NCT00000001"), study("NCT00000002", status="COMPLETED")]}])
+    cols = B.study_columns(PG.read_study_pages(spark, path))
+    assert [r.nct_id for r in B.fetch_study(cols, "NCT00000002").collect()] == ["NCT00000002"]
+    assert B.fetch_study(cols, "NCT00000009").count() == 0
+    scoped = P.scope_filter(cols, "ancestors", "study_type", "overall_status")
+    assert P.scope_count(scoped).first().scope_count == 1
