@@ -23,7 +23,7 @@ def duck():
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 9)
+        return "nan" if math.isnan(v) else repr(v)     # exact: both engines give the same doubles
     if hasattr(v, "isoformat"):
         return v.isoformat()
     return v
