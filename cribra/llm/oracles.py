@@ -43,4 +43,68 @@ SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS
 FROM d JOIN t USING (rid)
 """
 
-ORACLES = {"op1_decontamination": OP1, "op6_line_dedup": OP6}
+
+def _op3() -> str:
+    """Matches and gaps by two splits with one pattern; positions as running sums."""
+    rules = (
+        ("assign", r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+         1, 12),
+        ("access", r"AKIA[A-Z0-9]+", 0, 18),
+        ("hex", r"[0-9a-f]+", 0, 16),
+        ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+        ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+        ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+        ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    )
+    parts = " UNION ALL ".join(f"""
+      SELECT rid, {k} AS rule, '{kind}' AS kind, unnest(range(1, len(m) + 1)) AS i,
+             list_transform(g, lambda x: length(x)) AS gaps, list_transform(m, lambda x: length(x)) AS lens,
+             list_transform(v, lambda x: length(x) >= {least}) AS ok
+      FROM (SELECT rid, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}', 0) AS m,
+                   regexp_extract_all(t, '{p}', {group}) AS v FROM d)""" for k, (kind, p, group, least)
+                               in enumerate(rules))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+h AS ({parts}),
+s AS (SELECT rid, rule, kind, list_sum(gaps[1:i]) + list_sum(lens[1:i]) AS e, lens[i] AS n, ok[i] AS ok FROM h),
+k AS (SELECT rid, rule, kind, CAST(e - n AS BIGINT) AS b,
+             kind || ':' || CAST(CAST(e - n AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR) AS x
+      FROM s WHERE ok),
+a AS (SELECT rid, count(*) FILTER (WHERE rule = 0) AS n0, count(*) FILTER (WHERE rule = 1) AS n1,
+             count(*) FILTER (WHERE rule = 2) AS n2, string_agg(x, ',' ORDER BY b, rule) AS spans,
+             string_agg(x, ',' ORDER BY b, rule) FILTER (WHERE rule < 3) AS base
+      FROM k GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access,
+       CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
+OP4 = """
+WITH v AS (SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+           GROUP BY vec_id),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+      FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+_GROUP = " || ".join(
+    "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {0}, 5) AS INTEGER) >> {1}) & 31), 1)"
+    .format(1 + 5 * g, s) for g in range(8) for s in (15, 10, 5, 0))
+OP10 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_GROUP} AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM l
+"""
+
+ORACLES = {"op1_decontamination": OP1, "op3_secret_scan": _op3(), "op4_nearest_neighbours": OP4,
+           "op6_line_dedup": OP6, "op10_warc": OP10}

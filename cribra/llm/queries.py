@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cribra.llm import decontam, lines, packing, quality, simhash
+from cribra.llm import (decontam, lines, neighbours, packing, quality, secrets, simhash, toxicity,
+                        warc)
+from cribra.session import checkpoint_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +24,31 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first scan: the ledger of a new folder is empty, and keeps what was scanned."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    found, new = secrets.scan_versions(_table(spark, sf_dir, "documents"),
+                                       secrets.read_ledger(spark, path))
+    secrets.append_ledger(new, path)
+    base = F.filter("spans", lambda s: s["rule"] < len(secrets.BASE))
+
+    def n(k: int) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["rule"] == k)).cast("long")
+
+    return found.select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"))
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped",
@@ -38,6 +67,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to a new folder of the shared checkpoint folder and read back from there."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.read_records(spark, path).drop("verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -45,4 +81,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op6_line_dedup, op7_simhash, op8_best_fit_packing, op9_quality, pipeline)}
+    op1_decontamination, op2_toxicity, op3_secret_scan, op4_nearest_neighbours, op6_line_dedup, op7_simhash, op8_best_fit_packing, op9_quality,
+    op10_warc, pipeline)}
