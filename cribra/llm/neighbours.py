@@ -125,10 +125,10 @@ def nearest(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id",
     spread = F.xxhash64("id")
     queries = rows.where(is_query).select(
         F.lit(0).alias("side"), "id", "v", F.pmod(spread, F.lit(down)).alias("qt"),
-        F.explode(F.sequence(F.lit(0), F.lit(across - 1))).cast("long").alias("ct"))
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("ct"))
     candidates = rows.select(
         F.lit(1).alias("side"), "id", "v",
-        F.explode(F.sequence(F.lit(0), F.lit(down - 1))).cast("long").alias("qt"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("qt"),
         F.pmod(spread, F.lit(across)).alias("ct"))
     units = (queries.unionByName(candidates).withColumn("dim", F.size("v"))
              .repartition("dim", "qt", "ct").sortWithinPartitions("dim", "qt", "ct", "side"))

@@ -25,19 +25,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cribra.llm.common import fold, sample_labels, small_batches, texts
+from cribra.llm.common import fold, sample_labels, small_batches, stored, texts
 from cribra.llm.quality import fit_curve
 
 #: Labelled rows that the lexicon and the curve are learned from at most (the stated bound).
 SAMPLE_ROWS = 30_000
 THRESHOLD = 0.3
 #: Least documents of label 1 with an entry, smoothing of its log-odds, least log-odds.
-LEAST_DOCS, SMOOTH, LEAST_WEIGHT = 4, 2.0, 2.0
-#: Lengths of word beginnings that may become entries.
-STEMS = (4, 5, 6)
+LEAST_DOCS, SMOOTH, LEAST_WEIGHT = 4, 2.0, 2.5
+#: Lengths (bytes) of word beginnings that may become entries.
+STEMS = (4, 5, 6, 7, 8)
 SEED_WEIGHT, MOST_WEIGHT = 3.0, 6.0
 
 # Seed lists (English); everything else is learned from labels.
@@ -181,10 +182,33 @@ def entries_of(text: bytes) -> set[bytes]:
     return words | {w[:n] + b"*" for n in STEMS for w in words if len(w) > n}
 
 
+def copy_key(text: bytes) -> int:
+    """Smallest hash of the word pairs: near copies mostly share it."""
+    words = text.lower().split()
+    if len(words) < 2:
+        return xxhash.xxh3_64_intdigest(b" ".join(words))
+    return min(xxhash.xxh3_64_intdigest(a + b" " + b) for a, b in zip(words, words[1:], strict=False))
+
+
 def _picked(docs, labels, id_col, text_col, label_col, folds, held, bound) -> DataFrame:
+    """Texts and labels of the sample, one of each group of near copies with one label.
+
+    Copies would lend their chance words the counts of real evidence.
+    """
     sample = sample_labels(labels, id_col, label_col, folds, held, bound)
-    return (docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-            .join(F.broadcast(sample), "__id").select("__text", "__label"))
+    named = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+
+    def run(batches):
+        for b in batches:
+            key = np.array([copy_key(t) for t in texts(b.column(0))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(1), b.column(2)],
+                                             names=["key", "id", "label"])
+
+    keys = (named.join(F.broadcast(sample), "__id").select("__text", "__id", "__label")
+            .mapInArrow(run, "key long, id long, label int"))
+    kept = stored(keys.groupBy("key", "label").agg(F.min("id").alias("__id"))
+                  .select("__id", F.col("label").alias("__label")))
+    return named.join(F.broadcast(kept), "__id").select("__text", "__label")
 
 
 def _counts(rows: DataFrame, allowed=None) -> DataFrame:
