@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cribra.llm import (decontam, lines, neighbours, packing, quality, secrets, simhash, toxicity,
-                        warc)
+from cribra.llm import (decontam, lines, neighbours, packing, passages, quality, secrets, simhash,
+                        toxicity, warc)
 from cribra.session import checkpoint_dir
 
 
@@ -49,6 +49,10 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.duplicate_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped",
@@ -81,5 +85,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_toxicity, op3_secret_scan, op4_nearest_neighbours, op6_line_dedup, op7_simhash, op8_best_fit_packing, op9_quality,
+    op1_decontamination, op2_toxicity, op3_secret_scan, op4_nearest_neighbours,
+    op5_substring_dedup, op6_line_dedup, op7_simhash, op8_best_fit_packing, op9_quality,
     op10_warc, pipeline)}
