@@ -94,8 +94,8 @@ def _filter_parts(docs: DataFrame, text_col: str, min_len: int, words: int) -> D
     return docs.select(text_col).mapInArrow(run, "segment int, once binary, twice binary")
 
 
-def _merged(parts: DataFrame) -> DataFrame:
-    """One row per segment with the bits of the twice-seen filter."""
+def merged(parts: DataFrame, once_seen: bool = False) -> DataFrame:
+    """One row per segment with the bits of the twice-seen (or the once-seen) filter."""
     def run(batches):
         kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
@@ -107,13 +107,57 @@ def _merged(parts: DataFrame) -> DataFrame:
                     kept[s] = (a | o, u | t | (a & o))
                 else:
                     kept[s] = (o, t)
-        for s, (_, t) in kept.items():
-            if t.any():
+        for s, found in kept.items():
+            bits = found[0 if once_seen else 1]
+            if bits.any():
                 yield pa.RecordBatch.from_pydict({
                     "segment": pa.array([s], pa.int32()),
-                    "twice": pa.array([zlib.compress(t.tobytes(), 1)])})
+                    "bits": pa.array([zlib.compress(bits.tobytes(), 1)])})
+
+    return parts.repartition("segment").mapInArrow(run, "segment int, bits binary")
+
+
+def words_for(keys: int, max_bytes: int) -> int:
+    """64-bit words of a filter for so many keys, at most ``max_bytes``."""
+    words = SEGMENT
+    while words * 64 < keys * BITS_PER_LINE and words * 8 < max_bytes:
+        words *= 2
+    return words
+
+
+def loaded(segments: DataFrame, words: int) -> np.ndarray:
+    """The filter on the driver, segment by segment."""
+    bits = np.zeros(words, np.uint64)
+    for row in segments.toLocalIterator():
+        part = np.frombuffer(zlib.decompress(row["bits"]), np.uint64)
+        bits[row["segment"] * SEGMENT:][:len(part)] = part
+    return bits
+
+
+def id_hashes(ids: np.ndarray) -> np.ndarray:
+    x = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
-    return parts.repartition("segment").mapInArrow(run, "segment int, twice binary")
+
+def id_filter(ids: DataFrame, max_bytes: int = MAX_BYTES) -> np.ndarray:
+    """A Bloom filter of the longs in the first column of ``ids``, of bounded size."""
+    words = words_for(ids.count(), max_bytes)
+
+    def run(batches):
+        once, none = np.zeros(words, np.uint64), zlib.compress(bytes(8 * SEGMENT), 1)
+        for b in batches:
+            at, bits = places(id_hashes(b.column(0).to_numpy()), words)
+            np.bitwise_or.at(once, at, bits)
+        for s in range(0, words, SEGMENT):
+            if once[s:s + SEGMENT].any():
+                yield pa.RecordBatch.from_pydict({
+                    "segment": pa.array([s // SEGMENT], pa.int32()),
+                    "once": pa.array([zlib.compress(once[s:s + SEGMENT].tobytes(), 1)]),
+                    "twice": pa.array([none])})
+
+    parts = ids.select(ids.columns[0]).mapInArrow(run, "segment int, once binary, twice binary")
+    return loaded(merged(parts, once_seen=True), words)
 
 
 def _long(key: bytes, least: int) -> bool:
@@ -131,14 +175,8 @@ def twice_seen(docs: DataFrame, text_col: str = "text", min_len: int = 1,
     text = F.coalesce(F.col(text_col), F.lit(""))
     n = docs.select(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
                     .alias("n")).first()["n"] or 0
-    words = SEGMENT
-    while words * 64 < n * BITS_PER_LINE and words * 8 < max_bytes:
-        words *= 2
-    bits = np.zeros(words, np.uint64)
-    for row in _merged(_filter_parts(docs, text_col, min_len, words)).toLocalIterator():
-        part = np.frombuffer(zlib.decompress(row["twice"]), np.uint64)
-        bits[row["segment"] * SEGMENT:][:len(part)] = part
-    return bits
+    words = words_for(n, max_bytes)
+    return loaded(merged(_filter_parts(docs, text_col, min_len, words)), words)
 
 
 def repeated_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_len: int = 1,
