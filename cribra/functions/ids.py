@@ -28,5 +28,12 @@ def canonical_nct(col: Column | str) -> Column:
 
 
 def nct_from_number(col: Column | str) -> Column:
-    """Stand-in ids built from integer keys: 42 -> NCT00000042."""
-    return F.concat(F.lit("NCT"), F.lpad(_c(col).cast("string"), 8, "0"))
+    """Stand-in ids built from integer keys: 42 -> NCT00000042, 123456789 -> NCT123456789."""
+    return F.concat(F.lit("NCT"), padded(_c(col), 8))
+
+
+def padded(col: Column, width: int) -> Column:
+    """A number as text with leading zeros up to ``width``; a longer one stays whole
+    (``lpad`` alone would cut it)."""
+    text = col.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))

@@ -69,7 +69,8 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     """MERGE by key: matched rows take every source column, new keys are inserted.
 
     The source is deduplicated first (last by ``order_cols`` wins), so a key
-    repeated in a batch can neither fail the merge nor insert twice. Running
+    repeated in a batch can neither fail the merge nor insert twice. Without
+    ``order_cols`` the largest row (by its other columns) wins. Running
     the same batch again yields the same table. Adds ``merge_action`` in
     (insert, update, keep); ``stamp_col`` gets the current time on written rows.
 
@@ -82,12 +83,15 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     instead, the cheaper form when the batch is about as large as the target
     (a full pass). Both give the same rows.
     """
+    if not order_cols:
+        # No arrival order: the largest row of a key wins, so none is inserted twice.
+        order_cols = [c for c in source.columns if c not in keys]
     if strategy == "full_outer":
         return _merge_full_outer(target, source, keys, order_cols, stamp_col)
     if strategy != "keyed":
         raise ValueError("strategy must be 'keyed' or 'full_outer'")
     value_cols = [c for c in target.columns if c not in keys and c != ACTION_COL]
-    src = dedupe_latest(source, keys, order_cols) if order_cols else source
+    src = dedupe_latest(source, keys, order_cols)
     src_cols = [c for c in value_cols if c in src.columns]
     src = src.select(*keys, *src_cols)
     src_keys = src.select(*keys)
@@ -113,7 +117,7 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
 def _merge_full_outer(target: DataFrame, source: DataFrame, keys: Sequence[str],
                       order_cols: Sequence[str], stamp_col: str | None) -> DataFrame:
     value_cols = [c for c in target.columns if c not in keys and c != ACTION_COL]
-    src = dedupe_latest(source, keys, order_cols) if order_cols else source
+    src = dedupe_latest(source, keys, order_cols)
     src_cols = [c for c in value_cols if c in src.columns]
     t = target.select(*keys, *value_cols).withColumn("_in_t", F.lit(True)).alias("t")
     s = src.select(*keys, *src_cols).withColumn("_in_s", F.lit(True)).alias("s")

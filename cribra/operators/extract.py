@@ -53,11 +53,11 @@ RESPONSE_FORMAT_JSON = json.dumps(RESPONSE_FORMAT, separators=(",", ":"))
 
 CRITERIA_DDL = "array<struct<criterion_id:string,text:string,kind:string,is_exclusion:boolean>>"
 
-# Error texts of the outcome classes.
-ERR_ENVELOPE = "Unexpected response envelope"
-ERR_NO_TEXT = "Could not find assistant text in message"
-ERR_TRUNCATED = "Response hit the token ceiling before closing the JSON"
-ERR_SCHEMA = "Model returned schema-invalid JSON"
+# Errors of the outcome classes (ours): what of the reply was at fault.
+ERR_ENVELOPE = "reply:message"
+ERR_NO_TEXT = "reply:text"
+ERR_TRUNCATED = "reply:length"
+ERR_SCHEMA = "reply:criteria"
 
 
 def build_requests(pending: DataFrame, id_col: str = "nct_id", text_col: str = "eligibility",
@@ -191,18 +191,48 @@ def throttle_stop(attempts: DataFrame, batch_col: str = "batch_index",
 Extractor = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def extract_with(pending: DataFrame, extractor: Extractor, workers: int = 3,
+#: Trials that one extraction task takes (its Arrow batches are smaller still).
+TASK_TRIALS = 200
+
+
+def tasks_for(trials: int, workers: int = 1) -> int:
+    """Tasks of an extraction job: they follow the number of trials.
+
+    How many run at once is the cluster's business (its executor cores).
+    """
+    return max(workers, -(-trials // TASK_TRIALS))
+
+
+def extract_with(pending: DataFrame, extractor: Extractor, tasks: int | None = None,
                  id_col: str = "nct_id", text_col: str = "eligibility",
                  carry: tuple[str, ...] = ()) -> DataFrame:
-    """Run a caller's extractor over pending trials, ``workers`` tasks at a time.
+    """Run a caller's extractor over pending trials, spread over ``tasks`` tasks.
 
     ``extractor(batch)`` gets a pandas frame (id, text) and returns a frame
-    (nct_id, criteria, error). One failing call never stops the rest: an
-    exception inside the extractor becomes that batch's error rows. Blank prose
-    never reaches the extractor. The outcome table is the return value, so no
-    completion callback is needed. ``carry`` columns pass through unchanged
-    (matched by trial id inside the batch, so no join is needed afterwards).
+    (nct_id, criteria, error). One failing trial never stops or fails another:
+    after an exception the batch is run again trial by trial, and only a trial
+    that raises by itself gets an error row. A trial the extractor left out
+    gets one too. Blank prose never reaches the extractor. The outcome table is
+    the return value, so no completion callback is needed. ``carry`` columns
+    pass through unchanged (matched by trial id inside the batch, so no join is
+    needed afterwards). Without ``tasks`` the input's partitions stay.
     """
+    names = ["nct_id", "criteria", "error"]
+
+    def failed(ids: pd.Series, error: str) -> pd.DataFrame:
+        return pd.DataFrame({"nct_id": ids, "criteria": None, "error": error[:500]})
+
+    def attempt(todo: pd.DataFrame) -> pd.DataFrame:
+        try:
+            got = extractor(todo)
+            got = got[names] if len(got) else failed(todo["nct_id"].iloc[:0], "")
+        except Exception as exc:  # noqa: BLE001 - any failure is an outcome of its trial
+            if len(todo) == 1:
+                return failed(todo["nct_id"], str(exc) or type(exc).__name__)
+            return pd.concat([attempt(todo.iloc[[k]]) for k in range(len(todo))], ignore_index=True)
+        left_out = todo.loc[~todo["nct_id"].isin(got["nct_id"]), "nct_id"]
+        return pd.concat([got, failed(left_out, "extractor:no outcome")], ignore_index=True)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             blank = ~b["text"].fillna("").str.contains(r"\S", regex=True)
@@ -213,33 +243,16 @@ def extract_with(pending: DataFrame, extractor: Extractor, workers: int = 3,
                                          "error": None}))
             todo = b.loc[~blank, ["nct_id", "text"]]
             if len(todo):
-                try:
-                    got = extractor(todo)
-                    out.append(got[["nct_id", "criteria", "error"]])
-                except Exception as exc:  # noqa: BLE001 - one failure never stops the rest
-                    out.append(pd.DataFrame({"nct_id": todo["nct_id"], "criteria": None,
-                                             "error": str(exc)[:500]}))
+                out.append(attempt(todo))
             if out:
                 res = pd.concat(out, ignore_index=True)
                 if carry:
                     res = res.merge(b[["nct_id", *carry]], on="nct_id", how="left")
                 yield res
 
-    # In-flight work is bounded by ``workers`` tasks, each holding one Arrow
-    # batch (spark.sql.execution.arrow.maxRecordsPerBatch rows) at a time.
     src = pending.select(F.col(id_col).alias("nct_id"), F.col(text_col).alias("text"), *carry)
     extra = "".join(f", {f.name} {f.dataType.simpleString()}"
                     for f in src.schema.fields if f.name in carry)
-    return src.repartition(workers).mapInPandas(
-        run, f"nct_id string, criteria {CRITERIA_DDL}, error string{extra}")
-
-
-def rule_extractor(batch: pd.DataFrame) -> pd.DataFrame:
-    """A trivial extractor (one criterion per non-blank line), for tests and examples."""
-    rows = []
-    for nct, text in zip(batch["nct_id"], batch["text"]):
-        lines = [ln.strip() for ln in str(text).split("\n") if ln.strip()]
-        rows.append({"nct_id": nct, "error": None, "criteria": [
-            {"criterion_id": f"c-{i}", "text": ln, "kind": "other", "is_exclusion": False}
-            for i, ln in enumerate(lines)]})
-    return pd.DataFrame(rows)
+    if tasks:
+        src = src.repartition(tasks, "nct_id")
+    return src.mapInPandas(run, f"nct_id string, criteria {CRITERIA_DDL}, error string{extra}")

@@ -12,51 +12,48 @@ _LOW_BITS = (1 << 33) - 1
 
 
 def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_index",
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, stable: bool = False) -> DataFrame:
     """Exact 0-based position of each row in ``order_cols`` order, without one task.
 
-    Only the key columns are ranked: they are range-partitioned and sorted
-    within partitions, and each key's ``monotonically_increasing_id`` carries
-    (partition, position in partition). That key layout is checkpointed to the
-    shared checkpoint folder: range bounds come from a sample, so the counting
-    branch and the numbering branch must read one materialised layout (this
-    also cuts the lineage, so a lost executor does not re-sample).
-    Per-partition counts, one row per partition, give each partition's offset.
-    The positions then join back to the rows on the keys, so wide rows are
-    shuffled once and never written to the checkpoint. ``order_cols`` must be
+    The rows are range-partitioned, sorted within partitions and stored once in
+    the shared checkpoint folder with their (partition, position in partition).
+    Everything after reads that stored layout: the source is not read again, so
+    keys that depend on how it was split (a place in a file's split, say) stay
+    as they were, whatever the cluster looks like later. Per-partition counts,
+    one row per partition, give each partition's offset. ``order_cols`` must be
     unique.
+
+    ``stable=True`` says that the keys come from the data alone: then only the
+    keys are stored, and the positions join back to the rows, which spares
+    writing wide rows.
     """
     from cribra.session import checkpoint_dir
 
-    spark = df.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(df.sparkSession)
     keys = list(order_cols)
     # Without an explicit count AQE may coalesce adjacent ranges, which keeps
     # the order (small key sets do not pay for hundreds of empty tasks).
-    ranged = df.select(*keys)
-    ranged = (ranged.repartitionByRange(partitions, *keys) if partitions
-              else ranged.repartitionByRange(*keys))
-    ranged = (ranged
-                .sortWithinPartitions(*keys)
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+    rows = df.select(*keys) if stable else df
+    ranged = (rows.repartitionByRange(partitions, *keys) if partitions
+              else rows.repartitionByRange(*keys))
+    ranged = (ranged.sortWithinPartitions(*keys)
+              .withColumn("_mid", F.monotonically_increasing_id())
+              .checkpoint(eager=True))
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
         "_local", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: bounded by the partition count, safe to broadcast.
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    positions = (ranged.join(F.broadcast(offsets), "_pid")
-                       .select(*keys, (F.col("_off") + F.col("_local")).alias(name)))
-    if set(df.columns) == set(keys):
-        return positions
-    return df.join(positions, keys)
+    placed = (ranged.join(F.broadcast(offsets), "_pid")
+              .select(*rows.columns, (F.col("_off") + F.col("_local")).alias(name)))
+    return df.join(placed, keys) if len(rows.columns) < len(df.columns) else placed
 
 
 def chunk_index(df: DataFrame, order_cols: Sequence[str], size: int,
-                name: str = "batch_index") -> DataFrame:
-    """Runs of ``size`` rows in order, the last one short."""
-    idx = global_index(df, order_cols, "_ri")
+                name: str = "batch_index", stable: bool = False) -> DataFrame:
+    """Runs of ``size`` rows in order, the last one short (``stable``: see ``global_index``)."""
+    idx = global_index(df, order_cols, "_ri", stable=stable)
     return idx.withColumn(name, F.floor(F.col("_ri") / F.lit(size)).cast("long")).drop("_ri")
 
 

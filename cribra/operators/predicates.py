@@ -71,13 +71,20 @@ def filter_ids(df: DataFrame, id_col: str, aliases_col: str | None,
     """
     if isinstance(ids, DataFrame):
         want = ids.select(canonical_nct("id").alias("_cid")).where("_cid IS NOT NULL").distinct()
-        keys = df.withColumn("_k", F.array(canonical_nct(id_col)))
+        # Only ids and keys are exploded and matched; whole rows then stay or go by their id
+        # and aliases, so rows that repeat an id all stay, as in the list form.
+        names = F.array(canonical_nct(id_col))
+        narrow = [id_col]
         if aliases_col:
-            aliases = F.coalesce(F.transform(aliases_col, canonical_nct), F.array().cast("array<string>"))
-            keys = keys.withColumn("_k", F.array_union("_k", aliases))
-        exploded = keys.select("*", F.explode("_k").alias("_cid"))
-        hit = exploded.join(want, "_cid", "left_semi").drop("_cid", "_k")
-        return hit.dropDuplicates([id_col])
+            names = F.array_union(names, F.coalesce(F.transform(aliases_col, canonical_nct),
+                                                    F.array().cast("array<string>")))
+            narrow.append(aliases_col)
+        keys = df.select(*narrow).distinct().select(*narrow, F.explode(names).alias("_cid"))
+        hit = keys.join(want, "_cid", "left_semi").select(*narrow).distinct().alias("h")
+        match = F.lit(True)
+        for c in narrow:
+            match = match & F.col(f"d.{c}").eqNullSafe(F.col(f"h.{c}"))
+        return df.alias("d").join(hit, match, "left_semi")
     wanted = sorted({x for x in (_py_canonical(i) for i in ids) if x})
     arr = F.array(*[F.lit(x) for x in wanted]) if wanted else F.array().cast("array<string>")
     cond = canonical_nct(id_col).isin(wanted)

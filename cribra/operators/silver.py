@@ -64,11 +64,12 @@ def accumulate_failures(target: DataFrame | None, outcomes: DataFrame, signature
 
     Throttled outcomes (error holds ``429``) say nothing about the trial and are
     never counted. Several failures of one trial in a batch add up; the last by
-    ``order_col`` gives the error text. Output: (nct_id, signature, error, attempts).
+    ``order_col`` gives the error text (the largest text without one). Output: (nct_id, signature, error, attempts).
     ``target=None`` means no counters yet.
     """
     failed = outcomes.where(F.col(error_col).isNotNull() & ~is_throttled(error_col))
-    last_key = F.col(order_col) if order_col else F.lit(0)
+    # Without an order the largest error text is kept: an arbitrary one would change by layout.
+    last_key = F.col(order_col) if order_col else F.col(error_col)
     batch = failed.groupBy(id_col).agg(
         F.count(F.lit(1)).alias("_n"),
         F.max_by(F.col(error_col), last_key).alias("_err"),

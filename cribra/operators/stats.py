@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from cribra.functions.dates import date_format_of, partial_date_hi, partial_date_lo
 from cribra.functions.text import list_size
-from cribra.operators.ordering import global_index
 
 TOP_N = 10  # ours: the contract does not say how many top values
 
@@ -128,48 +127,57 @@ SIZE_RANGES = ((0, 1_000), (1_000, 10_000), (10_000, 100_000), (100_000, None))
 PERCENTILES = (0.5, 0.9, 0.99)
 
 
-def _exact_percentiles(values: DataFrame, value_col: str, id_col: str,
-                       ps: Sequence[float]) -> dict[float, Column]:
-    """Exact linearly interpolated percentiles as scalar subqueries.
+def _percentiles(sizes: DataFrame, value_col: str, count_col: str,
+                 ps: Sequence[float]) -> list[Column]:
+    """Exact linearly interpolated percentiles of a histogram (one row per distinct value).
 
-    Values get their exact rank by a distributed range sort; only the two
-    ranks around each percentile are read back.
+    The histogram is summed per chunk of values first, then within chunks, so
+    neither running sum puts all distinct values into one task.
     """
-    n = values.select(F.count(F.lit(1))).scalar()
-    ranked = global_index(values.select(value_col, id_col), [value_col, id_col], "_r")
-    out = {}
-    for p in ps:
-        pos = F.lit(p) * (n - 1).cast("double")
-        lo, hi = F.floor(pos), F.ceil(pos)
-        pick = ranked.agg(
-            F.max(F.when(F.col("_r") == lo, F.col(value_col))).cast("double").alias("a"),
-            F.max(F.when(F.col("_r") == hi, F.col(value_col))).cast("double").alias("b"))
-        val = pick.select(F.col("a") + (F.col("b") - F.col("a")) * (pos - lo)).scalar()
-        out[p] = val
-    return out
+    chunk = F.floor(F.col(value_col) / F.lit(4096))
+    up = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    before = (sizes.groupBy(chunk.alias("_c")).agg(F.sum(count_col).alias("_n"))
+              .select("_c", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_before")))
+    inside = Window.partitionBy("_c").orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
+    ends = (sizes.withColumn("_c", chunk).join(before, "_c")
+            .select(value_col, (F.col("_before") + F.sum(count_col).over(inside)).alias("_end")))
+    n = sizes.select(F.sum(count_col)).scalar()
+    picks, out = [], []
+    for k, p in enumerate(ps):
+        place = F.lit(p) * (n - 1).cast("double")
+        for side, at in (("a", F.floor(place)), ("b", F.ceil(place))):
+            picks.append(F.min(F.when(F.col("_end") > at, F.col(value_col))).cast("double").alias(f"{side}{k}"))
+        out.append(F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * (place - F.floor(place)))
+    got = ends.agg(*picks).select(F.struct(*[x.alias(f"p{k}") for k, x in enumerate(out)]).alias("p"))
+    return [got.select(f"p.p{k}").scalar() for k in range(len(ps))]
 
 
 def size_stats(docs: DataFrame, id_col: str, bytes_col: str = "bytes") -> DataFrame:
-    """Document sizes: histogram by range, with total, average, largest and percentiles."""
-    b = F.col(bytes_col)
+    """Document sizes: histogram by range, with total, average, largest and percentiles.
+
+    One pass over the documents gives (bytes, documents, smallest id), stored;
+    everything else reads that histogram.
+    """
+    b, n = F.col(bytes_col), F.col("_docs")
+    sizes = materialize(docs.groupBy(b).agg(F.count(F.lit(1)).alias("_docs"), F.min(id_col).alias("_id")))
+    known = sizes.where(b.isNotNull())
     label = F.lit(None).cast("string")
     lo_col = F.lit(None).cast("long")
     for lo, hi in reversed(SIZE_RANGES):
         cond = (b >= lo) if hi is None else ((b >= lo) & (b < hi))
         label = F.when(cond, F.lit(f"{lo}-{hi if hi is not None else 'max'}")).otherwise(label)
         lo_col = F.when(cond, F.lit(lo).cast("long")).otherwise(lo_col)
-    hist = docs.groupBy(label.alias("size_range"), lo_col.alias("range_lo")).agg(
-        F.count(F.lit(1)).alias("docs"))
-    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(b).alias("s"))
-    largest = docs.select(F.min_by(F.struct(F.col(id_col).alias("i"), b.alias("b")),
-                                   F.struct((-b).alias("nb"), F.col(id_col).alias("i"))).alias("m"))
-    pct = _exact_percentiles(docs, bytes_col, id_col, PERCENTILES)
+    hist = sizes.groupBy(label.alias("size_range"), lo_col.alias("range_lo")).agg(F.sum(n).alias("docs"))
+    top = F.max_by(F.struct(F.col("_id").alias("i"), b.alias("b")), b)
+    totals = sizes.agg(F.struct(F.sum(n).alias("n"), F.sum(b * n).cast("long").alias("s"),
+                                top.alias("m")).alias("t"))
+    pct = _percentiles(known, bytes_col, "_docs", PERCENTILES)
     return hist.select(
         "size_range", "range_lo", "docs",
-        totals.select("n").scalar().alias("total_docs"),
-        totals.select("s").scalar().cast("long").alias("total_bytes"),
-        totals.select(F.col("s").cast("double") / F.col("n").cast("double")).scalar().alias("avg_bytes"),
-        largest.select("m.i").scalar().alias("largest_id"),
-        largest.select("m.b").scalar().alias("largest_bytes"),
-        *[pct[p].alias(f"p{int(round(p * 100))}") for p in PERCENTILES],
+        totals.select("t.n").scalar().alias("total_docs"),
+        totals.select("t.s").scalar().alias("total_bytes"),
+        totals.select(F.col("t.s").cast("double") / F.col("t.n").cast("double")).scalar().alias("avg_bytes"),
+        totals.select("t.m.i").scalar().alias("largest_id"),
+        totals.select("t.m.b").scalar().alias("largest_bytes"),
+        *[x.alias(f"p{int(round(p * 100))}") for p, x in zip(PERCENTILES, pct)],
     )

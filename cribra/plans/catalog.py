@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cribra.functions import dates as D
-from cribra.functions.ids import is_valid_nct, nct_from_number
+from cribra.functions.ids import is_valid_nct, nct_from_number, padded
 from cribra.functions.json_fns import content_signature, json_path
 from cribra.functions.text import is_throttled, list_size, retry_budget, token_budget
 from cribra.operators import bronze as B
@@ -24,6 +24,7 @@ from cribra.operators import predicates as P
 from cribra.operators import rules, silver
 from cribra.operators import stats as ST
 from cribra.schemas import ELIGIBILITY_JSON_PATH
+from cribra.sources import pages as PG
 from cribra.sources import standins as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,12 +58,12 @@ def register(name: str) -> Callable[[Query], Query]:
 
 @register("rule_criteria")
 def q_rule_criteria(spark: SparkSession, d: str) -> DataFrame:
-    return rules.rule_criteria(S.bronze_docs(spark, d, spread=True))
+    return rules.rule_criteria(S.bronze_docs(spark, d))
 
 
 @register("kind_distribution")
 def q_kind_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return silver.kind_distribution(rules.rule_criteria(S.bronze_docs(spark, d, spread=True)))
+    return silver.kind_distribution(rules.rule_criteria(S.bronze_docs(spark, d)))
 
 
 # ---- Bronze -------------------------------------------------------------------
@@ -85,6 +86,30 @@ def q_bronze_dedupe_latest(spark: SparkSession, d: str) -> DataFrame:
         "nct_id", "seq", "last_update_posted", "raw", "status")
 
 
+# ---- Registry pages -----------------------------------------------------------------
+
+@register("page_studies")
+def q_page_studies(spark: SparkSession, d: str) -> DataFrame:
+    pages = PG.parse_pages(S.registry_pages(spark, d), keep=("page_no",))
+    return PG.studies_of(pages, "quarantine", keep=("page_no",)).select(
+        "page_no", F.col("pos").cast("long").alias("pos"),
+        F.col("study.protocolSection.identificationModule.nctId").alias("nct_id"))
+
+
+@register("study_columns")
+def q_study_columns(spark: SparkSession, d: str) -> DataFrame:
+    pages = PG.parse_pages(S.registry_pages(spark, d), keep=("page_no",))
+    studies = PG.studies_of(pages, "quarantine", keep=("page_no",))
+    return B.study_columns(studies, keep=("page_no",)).select(
+        "page_no", "nct_id", "last_update_posted", "overall_status", "eligibility",
+        (F.get_json_object("raw", ELIGIBILITY_JSON_PATH) == F.col("eligibility")).alias("raw_agrees"))
+
+
+@register("page_problems")
+def q_page_problems(spark: SparkSession, d: str) -> DataFrame:
+    return PG.parse_pages(S.registry_pages(spark, d), keep=("page_no",)).select("page_no", "problem")
+
+
 @register("bronze_merge")
 def q_bronze_merge(spark: SparkSession, d: str) -> DataFrame:
     return _merged(spark, d)
@@ -153,8 +178,7 @@ def q_scope_count(spark: SparkSession, d: str) -> DataFrame:
 
 @register("updated_since")
 def q_updated_since(spark: SparkSession, d: str) -> DataFrame:
-    u = P.filter_status(S.study_updates(spark, d), "status", ["purchase"])
-    return P.updated_since(u, "last_update_posted", SINCE).select(
+    return P.updated_since(S.study_updates(spark, d), "last_update_posted", SINCE).select(
         "nct_id", "seq", "last_update_posted")
 
 
@@ -169,8 +193,8 @@ def q_valid_ids(spark: SparkSession, d: str) -> DataFrame:
     docs = S.table(spark, d, "documents")
     cand = (F.when(F.col("lang") == "en", nct_from_number("doc_id"))
              .when(F.col("lang") == "fr", F.concat(F.lit("NCT"), F.col("doc_id").cast("string")))
-             .when(F.col("lang") == "de", F.concat(F.lit("nct"), F.lpad(F.col("doc_id").cast("string"), 8, "0")))
-             .otherwise(F.concat(F.lit("NCT"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))))
+             .when(F.col("lang") == "de", F.concat(F.lit("nct"), padded(F.col("doc_id"), 8)))
+             .otherwise(F.concat(F.lit("NCT"), padded(F.col("doc_id"), 9))))
     return docs.select("doc_id", cand.alias("candidate")).withColumn("valid", is_valid_nct("candidate"))
 
 
@@ -203,8 +227,10 @@ def q_run_watermark(spark: SparkSession, d: str) -> DataFrame:
 
 @register("silver_criteria_rows")
 def q_silver_criteria_rows(spark: SparkSession, d: str) -> DataFrame:
-    return S.silver_current(spark, d).select(
-        "nct_id", "signature", "ordinal", "criterion_id", "text", "kind", "is_exclusion")
+    log = S.attempt_log(spark, d)
+    outcomes = log.select("nct_id", F.when(F.col("error").isNull(), rules.extract_criteria(
+        F.col("eligibility"))).alias("criteria"))
+    return silver.outcomes_to_rows(outcomes, S.CURRENT_SIGNATURE)
 
 
 @register("signature_scope")
@@ -230,7 +256,7 @@ def q_batch_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @register("staging_strings")
 def q_staging_strings(spark: SparkSession, d: str) -> DataFrame:
-    rows = rules.rule_criteria(S.bronze_docs(spark, d, spread=True)).select(
+    rows = rules.rule_criteria(S.bronze_docs(spark, d)).select(
         "nct_id", "ordinal", "is_exclusion")
     staged = silver.to_staging_strings(rows).select(
         "nct_id", F.col("ordinal").alias("ordinal_text"), F.col("is_exclusion").alias("is_exclusion_text"),
@@ -262,7 +288,7 @@ def q_pending_limited(spark: SparkSession, d: str) -> DataFrame:
 
 @register("silver_replace")
 def q_silver_replace(spark: SparkSession, d: str) -> DataFrame:
-    docs = S.bronze_docs(spark, d, spread=True).where(F.col("lang") == REPLACE_LANG)
+    docs = S.bronze_docs(spark, d).where(F.col("lang") == REPLACE_LANG)
     batch = rules.rule_criteria(docs).select(
         "nct_id", F.lit(S.CURRENT_SIGNATURE).alias("signature"), "ordinal", "criterion_id",
         "text", "kind", "is_exclusion", F.lit(REPLACE_BATCH).alias("batch"))
@@ -310,10 +336,10 @@ def q_run_result(spark: SparkSession, d: str) -> DataFrame:
         F.count_if(err.isNotNull()).alias("failed"),
         F.count_if(err.isNotNull() & is_throttled(err)).alias("rate_limited"),
     )
-    # Criteria written by the run = the Silver rows its ok attempts produced.
-    written = S.silver_current(spark, d).select(F.count(F.lit(1))).scalar()
-    st = silver.silver_stats(S.silver_table(spark, d), S.failures_cleared(spark, d),
-                             S.bronze_docs(spark, d), S.CURRENT_SIGNATURE)
+    # Criteria written by the run = the Silver rows under its signature.
+    st = ST.materialize(silver.silver_stats(S.silver_table(spark, d), S.failures_cleared(spark, d),
+                                            S.bronze_docs(spark, d), S.CURRENT_SIGNATURE))
+    written = st.select("criteria").scalar()
     remaining = st.select((F.col("total") - F.col("trials")).alias("r")).scalar()
     return counters.select(
         F.lit(S.CURRENT_SIGNATURE).alias("signature"),
@@ -340,7 +366,7 @@ def q_status(spark: SparkSession, d: str) -> DataFrame:
 
 @register("throttle_stop")
 def q_throttle_stop(spark: SparkSession, d: str) -> DataFrame:
-    log = O.chunk_index(S.attempt_log(spark, d), ["nct_id"], STOP_BATCH_SIZE)
+    log = O.chunk_index(S.attempt_log(spark, d).select("nct_id", "error"), ["nct_id"], STOP_BATCH_SIZE)
     return E.throttle_stop(log)
 
 

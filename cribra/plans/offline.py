@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from cribra.functions.text import is_throttled, list_size, validate_name
 from cribra.operators import extract as E
 from cribra.operators import pending as PD
+from cribra.operators.bronze import dedupe_latest
 from cribra.sources import tables as TB
 from cribra.sources.tables import Warehouse
 
@@ -48,7 +49,7 @@ def export_requests(spark: SparkSession, wh: Warehouse, signature: str, out_path
         "nct_id", F.lit(signature).alias("signature"), F.lit(batch).alias("batch"),
         F.monotonically_increasing_id().alias("seq"),
         F.array().cast(f"{E.CRITERIA_DDL}").alias("criteria"),
-        F.lit(None).cast("string").alias("error"), F.current_timestamp().alias("at")), wh)
+        F.lit(None).cast("string").alias("error"), F.current_timestamp().alias("at")), wh, batch)
     reqs = E.build_requests(pending.where(F.col("eligibility").rlike(r"\S")))
     lines = reqs.select(F.col("nct_id").alias("custom_id"), "max_tokens",
                         F.parse_json("request").alias("body"))
@@ -84,24 +85,43 @@ def reply_envelopes(raw: DataFrame) -> DataFrame:
                       unquoted.alias("envelope"))
 
 
+def latest_replies(replies: DataFrame) -> DataFrame:
+    """One reply per trial: the one created last, by the envelope's ``created`` time;
+    replies of one time go by their text, so the choice never depends on the layout."""
+    created = F.coalesce(F.get_json_object("envelope", "$.created").try_cast("long"), F.lit(0).cast("long"))
+    rows = replies.where(F.col("nct_id").isNotNull()).withColumn("_created", created)
+    return dedupe_latest(rows, ["nct_id"], ["_created", "envelope"]).drop("_created")
+
+
+def due_retries(replies: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests of truncated replies that a further call at twice the budget may mend."""
+    trunc = replies.where(F.col("error") == E.ERR_TRUNCATED).select(F.col("nct_id").alias("custom_id"))
+    return E.truncation_retries(requests.join(trunc, "custom_id"))
+
+
 def import_replies(spark: SparkSession, wh: Warehouse, signature: str, replies_path: str,
                    requests_path: str, *, batch: str, retry_path: str | None = None) -> ImportResult:
     """Parse a reply file into outcomes and commit them as one batch of the log.
 
-    Truncated replies are failures of this attempt; when ``retry_path`` is
-    given, their requests are written again with twice the budget (none when
-    already at the ceiling). The commit replaces the batch if it is imported
-    again.
+    With ``retry_path`` the requests of truncated replies are written again with
+    twice the budget (none when already at the ceiling). Such a call is not
+    finished: it adds no attempt, and only the reply to its retry does. Without
+    a retry path, or at the ceiling, a truncated reply is a failed attempt. The
+    commit replaces the batch if it is imported again.
     """
     validate_name(batch)
     TB.ensure_tables(spark, wh)
-    parsed = E.parse_replies(_replies(spark, replies_path), keep=("nct_id",))
-    parsed = parsed.where(F.col("nct_id").isNotNull()).dropDuplicates(["nct_id"])
+    parsed = E.parse_replies(latest_replies(_replies(spark, replies_path)), keep=("nct_id",))
+    again, retries = None, 0
+    if retry_path is not None:
+        reqs = spark.read.schema("custom_id string, max_tokens long, body string").json(requests_path)
+        again = due_retries(parsed, reqs)
+        parsed = parsed.join(again.select(F.col("custom_id").alias("nct_id")), "nct_id", "left_anti")
     log = parsed.select(
         "nct_id", F.lit(signature).alias("signature"), F.lit(batch).alias("batch"),
         F.monotonically_increasing_id().alias("seq"), "criteria",
         F.substring("error", 1, 500).alias("error"), F.current_timestamp().alias("at"))
-    TB.write_attempts(log, wh)
+    TB.write_attempts(log, wh, batch)
 
     committed = TB.read_attempts(spark, wh).where(
         (F.col("signature") == signature) & (F.col("batch") == batch))
@@ -112,12 +132,7 @@ def import_replies(spark: SparkSession, wh: Warehouse, signature: str, replies_p
         F.count_if(F.col("error") == E.ERR_TRUNCATED).alias("trunc"),
         F.coalesce(F.sum(list_size("criteria")), F.lit(0)).alias("rows")).first()
 
-    retries = 0
-    if retry_path is not None:
-        reqs = spark.read.schema("custom_id string, max_tokens long, body string").json(requests_path)
-        trunc = committed.where(F.col("error") == E.ERR_TRUNCATED).select(
-            F.col("nct_id").alias("custom_id"))
-        again = E.truncation_retries(reqs.join(trunc, "custom_id"))
+    if again is not None:
         body = F.regexp_replace("body", r'"max_tokens":[0-9]+', F.concat(
             F.lit('"max_tokens":'), F.col("retry_tokens").cast("string")))
         again.select(F.to_json(F.struct("custom_id", F.col("retry_tokens").alias("max_tokens"),

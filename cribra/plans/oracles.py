@@ -31,7 +31,7 @@ def _kind_case(col: str) -> str:
     return f"CASE {arms} ELSE {_q(rules.FALLBACK_KIND)} END"
 
 
-NCT = "'NCT' || lpad(CAST({} AS VARCHAR), 8, '0')"
+NCT = "'NCT' || lpad(CAST({0} AS VARCHAR), greatest(8, length(CAST({0} AS VARCHAR)))::INTEGER, '0')"
 
 BRONZE_DOCS = f"""bronze_docs AS (
   SELECT {NCT.format('doc_id')} AS nct_id, doc_id, text AS eligibility, lang, source, n_chars
@@ -251,14 +251,14 @@ def _budget(text: str) -> str:
 
 
 REGISTRY = """registry AS (
-  SELECT 'NCT' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS nct_id, o_orderkey,
+  SELECT 'NCT' || lpad(CAST(o_orderkey AS VARCHAR), greatest(8, length(CAST(o_orderkey AS VARCHAR)))::INTEGER, '0') AS nct_id, o_orderkey,
          o_orderstatus AS overall_status, o_orderpriority AS priority,
          CAST(o_orderdate AS DATE) AS start_date,
          CASE WHEN o_orderpriority = '1-URGENT' THEN strftime(CAST(o_orderdate AS DATE), '%Y')
               WHEN o_orderpriority = '2-HIGH' THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m')
               ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS start_text,
          o_totalprice AS enrollment,
-         'NCT' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS alias
+         'NCT' || lpad(CAST(o_custkey AS VARCHAR), greatest(8, length(CAST(o_custkey AS VARCHAR)))::INTEGER, '0') AS alias
   FROM orders)"""
 
 FULL_RE, MONTH_RE, YEAR_RE = "'^[0-9]{4}-[0-9]{2}-[0-9]{2}$'", "'^[0-9]{4}-[0-9]{2}$'", "'^[0-9]{4}$'"
@@ -311,6 +311,26 @@ O: dict[str, str] = ORACLES
 O["bronze_dedupe_latest"] = f"""WITH {UPDATES}, {BRONZE_ALL}
 SELECT nct_id, seq, last_update_posted, raw, status FROM bronze_all"""
 
+# ---- Registry pages: what a reader of the pages' JSON must find, without the JSON ----
+
+PAGES = f"""faulty AS (
+  SELECT doc_id // {S.PAGE_STUDIES} AS page_no, doc_id, text AS eligibility,
+         {NCT.format('doc_id')} AS nct_id, doc_id % 3 = 0 AS done,
+         CASE WHEN doc_id % 5 <> 0 THEN CAST(DATE '2024-01-01' + CAST(doc_id % 700 AS INTEGER) AS DATE) END AS posted,
+         CASE WHEN lang = 'en' AND source = 'src4' THEN 1 WHEN lang = 'es' AND source = 'src1' THEN 2
+              WHEN lang = 'fr' AND source = 'src2' THEN 3 WHEN lang = 'de' AND source = 'src3' THEN 4 END AS fault
+  FROM documents),
+problems AS (
+  SELECT page_no, CASE min(fault) WHEN 1 THEN 'malformed page or wrong type' WHEN 2 THEN 'unknown enum value'
+                    WHEN 3 THEN 'not a full date' WHEN 4 THEN 'trial id without 11 characters' END AS problem
+  FROM faulty GROUP BY page_no),
+good AS (SELECT faulty.* FROM faulty JOIN problems USING (page_no) WHERE problem IS NULL)"""
+O["page_problems"] = f"WITH {PAGES} SELECT page_no, problem FROM problems"
+O["page_studies"] = f"""WITH {PAGES}
+SELECT page_no, CAST(row_number() OVER (PARTITION BY page_no ORDER BY doc_id) - 1 AS BIGINT) AS pos, nct_id FROM good"""
+O["study_columns"] = f"""WITH {PAGES}
+SELECT page_no, nct_id, posted AS last_update_posted, CASE WHEN done THEN 'COMPLETED' ELSE 'RECRUITING' END AS overall_status,
+       eligibility, CASE WHEN eligibility IS NOT NULL THEN true END AS raw_agrees FROM good"""
 O["bronze_merge"] = f"""WITH {UPDATES}, {FIRST}, {SECOND}, {MERGED} SELECT * FROM merged"""
 
 O["bronze_merge_counts"] = f"""WITH {UPDATES}, {FIRST}, {SECOND}, {MERGED}
@@ -353,14 +373,14 @@ O["scope_filter"] = f"{_SCOPE} SELECT * FROM scoped"
 O["scope_count"] = f"{_SCOPE} SELECT count(*) AS scope_count FROM scoped"
 O["updated_since"] = f"""WITH {UPDATES}
 SELECT nct_id, seq, last_update_posted FROM updates
-WHERE status IN ('purchase') AND last_update_posted >= DATE {_q(C.SINCE)}"""
+WHERE last_update_posted >= DATE {_q(C.SINCE)}"""
 O["custom_predicate"] = f"""WITH {BRONZE_DOCS}
 SELECT nct_id, n_chars FROM bronze_docs WHERE n_chars BETWEEN 500 AND 2000 AND lang = 'de'"""
 O["valid_ids"] = """SELECT doc_id, candidate, coalesce(regexp_matches(candidate, '^NCT[0-9]{8}$'), false) AS valid
-FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN 'NCT' || lpad(CAST(doc_id AS VARCHAR), 8, '0')
+FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN 'NCT' || lpad(CAST(doc_id AS VARCHAR), greatest(8, length(CAST(doc_id AS VARCHAR)))::INTEGER, '0')
                           WHEN lang = 'fr' THEN 'NCT' || CAST(doc_id AS VARCHAR)
-                          WHEN lang = 'de' THEN 'nct' || lpad(CAST(doc_id AS VARCHAR), 8, '0')
-                          ELSE 'NCT' || lpad(CAST(doc_id AS VARCHAR), 9, '0') END AS candidate
+                          WHEN lang = 'de' THEN 'nct' || lpad(CAST(doc_id AS VARCHAR), greatest(8, length(CAST(doc_id AS VARCHAR)))::INTEGER, '0')
+                          ELSE 'NCT' || lpad(CAST(doc_id AS VARCHAR), greatest(9, length(CAST(doc_id AS VARCHAR)))::INTEGER, '0') END AS candidate
       FROM documents)"""
 O["strict_date"] = f"""SELECT event_id, date_text,
        CASE WHEN regexp_matches(date_text, {FULL_RE}) THEN TRY_CAST(date_text AS DATE) END AS parsed

@@ -89,6 +89,8 @@ BRONZE_LANDING_SCHEMA = T.StructType([
     T.StructField("last_update_posted", T.StringType()),
     T.StructField("raw", T.StringType()),
 ])
+# Arrival order of a landed line, where the writer knows it.
+LANDING_ORDER = (T.StructField("page_file", T.StringType()), T.StructField("pos", T.LongType()))
 
 # The four reference columns, plus ``eligibility``: the one JSON path every
 # Silver step reads, extracted once when the row is written so readers prune
@@ -158,6 +160,7 @@ ATTEMPTS_SCHEMA = T.StructType([
     T.StructField("criteria", T.ArrayType(CRITERION_TYPE)),
     T.StructField("error", T.StringType()),
     T.StructField("at", T.TimestampType(), False),
+    T.StructField("run", T.StringType()),
 ])
 
 # The twenty criterion kinds, in taxonomy order.

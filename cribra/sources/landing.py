@@ -18,14 +18,13 @@ def write_landing(df: DataFrame, root: str, batch: str) -> str:
     return path
 
 
-def write_landing_batches(df: DataFrame, root: str, batch_col: str = "batch") -> None:
-    """Write many batches in one job, one directory per batch name.
+def write_landing_run(df: DataFrame, path: str) -> None:
+    """Write a run's batches in one job into one directory, the batch name as a column.
 
-    Only the batches present in ``df`` are replaced (dynamic partition overwrite).
+    A run of the same name is replaced whole, so no batch of an earlier try stays.
     """
     text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
-    (text.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .option("compression", "gzip").partitionBy(batch_col).json(root))
+    text.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def read_landing(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:

@@ -8,49 +8,126 @@ order ``(page_file, pos)``; page files must sort by name in page order.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cribra.functions.dates import strict_date
 from cribra.functions.text import list_size
 from cribra.schemas import OVERALL_STATUS, PAGE_DDL, PHASE, SEX, STANDARD_AGE, STUDY_TYPE
+from cribra.session import checkpoint_dir
 
 CORRUPT = "_corrupt"
 PAGE_KEYS = ("studies", "nextPageToken", "totalCount")
 
 
-def _page_problem(parsed: Column, keys: Column) -> Column:
+# Where the small enums above apply; further ones come from the contract (contract_enums).
+SCOPE_ENUMS: dict[str, tuple[str, ...]] = {
+    "protocolSection.statusModule.overallStatus": OVERALL_STATUS,
+    "protocolSection.designModule.studyType": STUDY_TYPE,
+    "protocolSection.designModule.phases": PHASE,
+    "protocolSection.eligibilityModule.sex": SEX,
+    "protocolSection.eligibilityModule.stdAges": STANDARD_AGE,
+}
+FULL_DATES = tuple(f"protocolSection.statusModule.{x}PostDateStruct.date"
+                   for x in ("studyFirst", "resultsFirst", "dispFirst", "lastUpdate"))
+TRIAL_ID = "protocolSection.identificationModule.nctId"
+POINTS = "protocolSection.contactsLocationsModule.locations.geoPoint"
+
+
+def contract_enums(spec: Mapping, root: str = "Study") -> dict[str, tuple[str, ...]]:
+    """Field path -> allowed values of every enum below ``root`` in the registry's
+    OpenAPI document (parsed, as a dict). Lists do not show in a path."""
+    schemas = spec["components"]["schemas"]
+    found: dict[str, tuple[str, ...]] = {}
+
+    def walk(node: Mapping, path: str, above: tuple[str, ...]) -> None:
+        ref = node.get("$ref")
+        if ref:
+            name = ref.rsplit("/", 1)[1]
+            if name not in above:
+                walk(schemas[name], path, (*above, name))
+            return
+        for part in node.get("allOf", ()):
+            walk(part, path, above)
+        if "enum" in node:
+            found[path] = tuple(str(v) for v in node["enum"])
+        if "items" in node:
+            walk(node["items"], path, above)
+        for name, child in node.get("properties", {}).items():
+            walk(child, f"{path}.{name}".lstrip("."), above)
+
+    walk(schemas[root], "", (root,))
+    return found
+
+
+def _any_at(value: Column, dtype: T.DataType, path: list[str],
+            bad: Callable[[Column], Column]) -> Column:
+    """Whether ``bad`` holds at any place that ``path`` reaches; lists are entered."""
+    if isinstance(dtype, T.ArrayType):
+        inside = F.exists(value, lambda e: _any_at(e, dtype.elementType, path, bad))
+    elif not path:
+        inside = bad(value)
+    elif not isinstance(dtype, T.StructType) or path[0] not in dtype.names:
+        return F.lit(False)
+    else:
+        inside = _any_at(value[path[0]], dtype[path[0]].dataType, path[1:], bad)
+    return F.coalesce(inside, F.lit(False))
+
+
+def _page_problem(parsed: Column, keys: Column, page: T.StructType,
+                  enums: Mapping[str, Sequence[str]]) -> Column:
     """Why a page is invalid, or NULL: bad JSON or a type mismatch, no
     ``studies``, unknown page-level keys (pages forbid extras), an unknown enum
-    value in a scope field."""
+    value, a full date that is none, a trial id without 11 characters, a point
+    without latitude or longitude."""
     studies = parsed["studies"]
+    study = page["studies"].dataType.elementType
     extra = list_size(F.array_except(keys, F.array(*[F.lit(k) for k in PAGE_KEYS])))
-    def unknown(value: Column, allowed: tuple[str, ...]) -> Column:
-        return ~F.coalesce(value.isin(list(allowed)), F.lit(True))
-
-    def unknown_in(values: Column, allowed: tuple[str, ...]) -> Column:
-        return F.coalesce(F.exists(values, lambda v: unknown(v, allowed)), F.lit(False))
-
-    def bad_study(s: Column) -> Column:
-        ps = s["protocolSection"]
-        return (unknown(ps["statusModule"]["overallStatus"], OVERALL_STATUS)
-                | unknown(ps["designModule"]["studyType"], STUDY_TYPE)
-                | unknown_in(ps["designModule"]["phases"], PHASE)
-                | unknown(ps["eligibilityModule"]["sex"], SEX)
-                | unknown_in(ps["eligibilityModule"]["stdAges"], STANDARD_AGE))
 
-    bad_enum = F.exists(studies, bad_study)
+    def wrong(paths: Iterable[str], bad: Callable[[str], Callable[[Column], Column]]) -> Column:
+        def one(s: Column) -> Column:
+            out = F.lit(False)
+            for p in paths:
+                out = out | _any_at(s, study, p.split("."), bad(p))
+            return out
+        return F.coalesce(F.exists(studies, one), F.lit(False))
+
+    unknown = wrong(enums, lambda p: lambda v: v.isNotNull() & ~v.isin(list(enums[p])))
+    no_date = wrong(FULL_DATES, lambda _: lambda v: v.isNotNull() & strict_date(v.cast("string")).isNull())
+    bad_id = wrong([TRIAL_ID], lambda _: lambda v: F.length(v) != 11)
+    no_point = wrong([POINTS], lambda _: lambda v: v.isNotNull() & (v["lat"].isNull() | v["lon"].isNull()))
     return (F.when(parsed[CORRUPT].isNotNull() | keys.isNull(), F.lit("malformed page or wrong type"))
              .when(studies.isNull(), F.lit("page has no studies"))
              .when(extra > 0, F.lit("unknown page field"))
-             .when(F.coalesce(bad_enum, F.lit(False)), F.lit("unknown enum value")))
+             .when(unknown, F.lit("unknown enum value"))
+             .when(no_date, F.lit("not a full date"))
+             .when(bad_id, F.lit("trial id without 11 characters"))
+             .when(no_point, F.lit("point without latitude or longitude")))
 
 
-def read_page_files(spark: SparkSession, path: str, page_per_line: bool = False) -> DataFrame:
+def parse_pages(pages: DataFrame, text_col: str = "value", keep: Sequence[str] = ("page_file",),
+                enums: Mapping[str, Sequence[str]] = SCOPE_ENUMS) -> DataFrame:
+    """Page texts to (keep..., parsed page, problem)."""
+    parsed = F.from_json(text_col, f"{PAGE_DDL}, {CORRUPT} string",
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = pages.select(*keep, parsed.alias("page"), F.json_object_keys(text_col).alias("_keys"))
+    return rows.select(*keep, "page", _page_problem(
+        F.col("page"), F.col("_keys"), rows.schema["page"].dataType, enums).alias("problem"))
+
+
+def read_page_files(spark: SparkSession, path: str, page_per_line: bool = False,
+                    enums: Mapping[str, Sequence[str]] = SCOPE_ENUMS) -> DataFrame:
     """One row per page: (page_file, parsed page, problem).
 
     Pages are one per file by default (read whole); ``page_per_line`` reads
     files of JSON lines with one page per line, ``page_file`` then carrying the
-    line's place (file, line offset) so the order stays page order.
+    line's place so the order stays page order. A line's place depends on how
+    the scan split the files, so the lines are stored once with it, in the
+    shared checkpoint folder; later reads see the same places whatever the
+    cluster's size.
     """
     if page_per_line:
         # (file, split start, position in task) orders lines even when a file
@@ -58,36 +135,40 @@ def read_page_files(spark: SparkSession, path: str, page_per_line: bool = False)
         raw = spark.read.text(path).select(
             F.col("_metadata.file_path").alias("_f"),
             F.col("_metadata.file_block_start").alias("_b"), "value")
+        checkpoint_dir(spark)
         text = raw.select(F.format_string("%s#%015d#%019d", "_f", "_b",
                                           F.monotonically_increasing_id()).alias("page_file"),
-                          "value")
+                          "value").checkpoint()
     else:
         text = spark.read.option("wholetext", True).text(path).select(
             F.col("_metadata.file_path").alias("page_file"), F.col("value"))
-    parsed = F.from_json("value", f"{PAGE_DDL}, {CORRUPT} string",
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    pages = text.select("page_file", parsed.alias("page"), F.json_object_keys("value").alias("_keys"))
-    return pages.select("page_file", "page", _page_problem(F.col("page"), F.col("_keys")).alias("problem"))
+    return parse_pages(text, enums=enums)
 
 
 def read_study_pages(spark: SparkSession, path: str, on_invalid: str = "fail",
-                     page_per_line: bool = False) -> DataFrame:
+                     page_per_line: bool = False,
+                     enums: Mapping[str, Sequence[str]] = SCOPE_ENUMS) -> DataFrame:
     """All studies of all pages in page then list order: (page_file, pos, study).
 
     ``on_invalid="fail"`` (the reference's rule) fails the job on the first bad
     page through ``raise_error`` inside the plan, with no extra pass;
     ``"quarantine"`` drops bad pages here (see ``rejected_pages``).
     """
-    pages = read_page_files(spark, path, page_per_line)
+    return studies_of(read_page_files(spark, path, page_per_line, enums), on_invalid)
+
+
+def studies_of(pages: DataFrame, on_invalid: str = "fail",
+               keep: Sequence[str] = ("page_file",)) -> DataFrame:
+    """Studies of parsed pages in list order: (keep..., pos, study)."""
     if on_invalid == "fail":
         pages = pages.where(F.when(F.col("problem").isNotNull(), F.raise_error(
-            F.concat(F.lit("invalid registry page "), F.col("page_file"), F.lit(": "),
+            F.concat(F.lit("invalid registry page "), F.col(keep[0]).cast("string"), F.lit(": "),
                      F.col("problem")))).otherwise(F.lit(True)))
     elif on_invalid == "quarantine":
         pages = pages.where(F.col("problem").isNull())
     else:
         raise ValueError("on_invalid must be 'fail' or 'quarantine'")
-    return pages.select("page_file", F.posexplode("page.studies").alias("pos", "study"))
+    return pages.select(*keep, F.posexplode("page.studies").alias("pos", "study"))
 
 
 def rejected_pages(spark: SparkSession, path: str, page_per_line: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ RUN_TOKEN = "20260815T000000Z"
 SPLIT_TS = "2024-01-16 00:00:00"   # events before: the first landing; after: the second
 BATCH_SIZE = 100                    # extraction batch size (reference default)
 THROTTLE_MSG = "HTTP 429"
-SCHEMA_MSG = "Model returned schema-invalid JSON"
+SCHEMA_MSG = "reply:criteria"
 
 
 _TABLES: dict[tuple[int, str], DataFrame] = {}
@@ -69,16 +69,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @_view
-def bronze_docs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    """Bronze with prose: one study per document, eligibility = text.
-
-    ``spread`` is for CPU-heavy text work (see ``plans.layout``).
-    """
-    from cribra.plans.layout import spread_small_input
-    docs = table(spark, sf_dir, "documents")
-    if spread:
-        docs = spread_small_input(docs)
-    return docs.select(
+def bronze_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze with prose: one study per document, eligibility = text."""
+    return table(spark, sf_dir, "documents").select(
         nct_from_number("doc_id").alias("nct_id"),
         F.col("doc_id"),
         F.col("text").alias("eligibility"),
@@ -88,6 +81,42 @@ def bronze_docs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataF
     )
 
 
+PAGE_STUDIES = 4  # ours: studies of a stand-in page
+
+
+@_view
+def registry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry pages as JSON text: ``PAGE_STUDIES`` documents each, by id.
+
+    A few documents stand for faults: Spanish ones from src1 have an unknown
+    status, French ones from src2 a date that is none, German ones from src3 a
+    short trial id, English ones from src4 a wrong type.
+    """
+    def fault(lang: str, source: str):  # noqa: ANN202
+        return (F.col("lang") == lang) & (F.col("source") == source)
+
+    ident = F.when(fault("de", "src3"), F.lit("NCT1")).otherwise(F.col("nct_id"))
+    status = F.when(fault("es", "src1"), F.lit("MAYBE")).when(
+        F.col("doc_id") % 3 == 0, F.lit("COMPLETED")).otherwise(F.lit("RECRUITING"))
+    posted = F.when(fault("fr", "src2"), F.lit("garbage")).when(
+        F.col("doc_id") % 5 != 0, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"),
+                                                           (F.col("doc_id") % 700).cast("int")), "yyyy-MM-dd"))
+    study = F.to_json(F.struct(F.struct(
+        F.struct(ident.alias("nctId")).alias("identificationModule"),
+        F.struct(status.alias("overallStatus"),
+                 F.when(posted.isNotNull(), F.struct(posted.alias("date"))).alias("lastUpdatePostDateStruct"),
+                 ).alias("statusModule"),
+        F.struct(F.col("eligibility").alias("eligibilityCriteria")).alias("eligibilityModule"),
+    ).alias("protocolSection")))
+    study = F.when(fault("en", "src4"), F.lit('{"protocolSection":5}')).otherwise(study)
+    rows = bronze_docs(spark, sf_dir).select(
+        F.floor(F.col("doc_id") / F.lit(PAGE_STUDIES)).cast("long").alias("page_no"), "doc_id", study.alias("s"))
+    # A page gathers at most PAGE_STUDIES documents.
+    listed = rows.groupBy("page_no").agg(F.sort_array(F.collect_list(F.struct("doc_id", "s"))).alias("l"))
+    return listed.select("page_no", F.concat(F.lit('{"studies":['), F.array_join(
+        F.transform("l", lambda x: x["s"]), ","), F.lit("]}")).alias("value"))
+
+
 @_view
 def study_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry page stream with repeated keys: one event = one study version.
@@ -112,7 +141,7 @@ def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     for a schema-invalid reply.
     """
     labels = table(spark, sf_dir, "labels")
-    docs = bronze_docs(spark, sf_dir, spread=True)
+    docs = bronze_docs(spark, sf_dir)
     return docs.join(labels, "doc_id").select(
         "nct_id", "doc_id", "eligibility", "lang",
         F.when(F.col("toxic") == 1, F.lit(THROTTLE_MSG))
@@ -201,7 +230,7 @@ def outcomes(spark: SparkSession, sf_dir: str, with_batch: bool = False) -> Data
     log = attempt_log(spark, sf_dir)
     cols = ["nct_id", "lang", "eligibility", "error"]
     if with_batch:
-        log = chunk_index(log, ["nct_id"], BATCH_SIZE)
+        log = chunk_index(log, ["nct_id"], BATCH_SIZE, stable=True)
         log = log.withColumn("batch", numbered(F.lit(f"silver-{RUN_TOKEN}"), F.col("batch_index")))
         cols += ["batch_index", "batch"]
     return log.select(
@@ -223,7 +252,7 @@ def silver_current(spark: SparkSession, sf_dir: str, with_batch: bool = False) -
     if with_batch:
         from cribra.functions.text import numbered
         from cribra.operators.ordering import chunk_index
-        log = chunk_index(log, ["nct_id"], BATCH_SIZE)
+        log = chunk_index(log, ["nct_id"], BATCH_SIZE, stable=True)
         log = log.withColumn("batch", numbered(F.lit(f"silver-{RUN_TOKEN}"), F.col("batch_index")))
         keep = ("batch",)
     ok = log.where(F.col("error").isNull())

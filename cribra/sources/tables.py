@@ -74,7 +74,7 @@ def ensure_tables(spark: SparkSession, wh: Warehouse) -> None:
         spark.createDataFrame([], BRONZE_SCHEMA).write.parquet(f"{wh.bronze}/v=00000000")
     if not path_exists(spark, wh.attempts):
         spark.createDataFrame([], ATTEMPTS_SCHEMA).write.partitionBy(
-            "signature", "batch").parquet(wh.attempts)
+            "signature", "run").parquet(wh.attempts)
 
 
 def bronze_versions(spark: SparkSession, wh: Warehouse) -> list[int]:
@@ -131,11 +131,18 @@ def read_attempts(spark: SparkSession, wh: Warehouse) -> DataFrame:
     return spark.read.schema(ATTEMPTS_SCHEMA).parquet(wh.attempts)
 
 
-def write_attempts(df: DataFrame, wh: Warehouse) -> None:
-    """Commit one or more batches of the log; a rerun batch replaces its folder."""
+def write_attempts(df: DataFrame, wh: Warehouse, run: str, append: bool = False) -> None:
+    """Commit outcomes of one run to the log.
+
+    A folder per signature and run, whatever the number of rows; the batch is a
+    column. A run of the same name is replaced, unless ``append`` adds a further
+    part of it.
+    """
+    full = df.withColumn("run", F.lit(run))
     cols = [F.col(f.name).cast(f.dataType) for f in ATTEMPTS_SCHEMA.fields]
-    (df.select(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("signature", "batch").parquet(wh.attempts))
+    (full.select(*cols).write.mode("append" if append else "overwrite")
+         .option("partitionOverwriteMode", "dynamic")
+         .partitionBy("signature", "run").parquet(wh.attempts))
 
 
 def _attempt_order() -> list:

@@ -14,27 +14,44 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cribra.operators import bronze as B
-from cribra.schemas import BRONZE_LANDING_SCHEMA, ELIGIBILITY_JSON_PATH
+from cribra.schemas import BRONZE_LANDING_SCHEMA, ELIGIBILITY_JSON_PATH, LANDING_ORDER
 from cribra.sources import tables as TB
 from cribra.sources.tables import Warehouse
 
 
+#: Arrival order of landed lines: run and batch folders by name (a number at the end
+#: counts as one), then page and position. Lines of one folder that carry neither go by
+#: file; those of one file have no order of their own, and the largest document wins.
+ARRIVAL = ["_folder", "_number", "page_file", "pos", "_file", "raw"]
+
+
+def landed_lines(reader, landing_root: str) -> DataFrame:  # noqa: ANN001 - stream or batch reader
+    """Landed lines (every column text on disk) with the columns of ``ARRIVAL``."""
+    fields = [*BRONZE_LANDING_SCHEMA.fields, *LANDING_ORDER, T.StructField("batch", T.StringType())]
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
+    path = F.col("_metadata.file_path")
+    folder = F.regexp_extract(path, "^(.*)/", 1)
+    number = F.regexp_extract(folder, "([0-9]{1,18})$", 1)
+    return reader.schema(text).json(landing_root).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields],
+        F.regexp_replace(folder, "[0-9]{1,18}$", "").alias("_folder"),
+        F.coalesce(number.try_cast("long"), F.lit(-1).cast("long")).alias("_number"),
+        path.alias("_file"))
+
+
 def landing_to_bronze(spark: SparkSession, wh: Warehouse, landing_root: str,
                       checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
     TB.ensure_tables(spark, wh)
-    schema = T.StructType(list(BRONZE_LANDING_SCHEMA.fields) + [T.StructField("batch", T.StringType())])
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000)
-              .json(landing_root)
-              .withColumn("_file", F.col("_metadata.file_path")))
+    stream = landed_lines(spark.readStream.option("maxFilesPerTrigger", 1000), landing_root)
 
     def merge_batch(batch: DataFrame, epoch: int) -> None:
         source = batch.select(
             "nct_id", F.col("last_update_posted").try_cast("date").alias("last_update_posted"),
             "raw", F.lit(None).cast("timestamp").alias("ingested_at"),
-            F.get_json_object("raw", ELIGIBILITY_JSON_PATH).alias("eligibility"), "_file")
+            F.get_json_object("raw", ELIGIBILITY_JSON_PATH).alias("eligibility"), *ARRIVAL)
         source = B.drop_missing_ids(source)
         current = TB.read_bronze(spark, wh)
-        merged = B.merge_upsert(current, source, ["nct_id"], ["_file"], stamp_col="ingested_at")
+        merged = B.merge_upsert(current, source, ["nct_id"], ARRIVAL, stamp_col="ingested_at")
         TB.write_bronze_version(spark, wh, merged.drop(B.ACTION_COL))
 
     writer = stream.writeStream.foreachBatch(merge_batch).option(

@@ -2,43 +2,45 @@
 
 Each micro-batch of landed studies becomes pending work (anti joins against
 the attempt log under the signature), is extracted by the caller's extractor
-across ``workers`` tasks, and is committed as one batch of the attempt log.
+in tasks that follow its number of trials, and is committed as one batch of the attempt log.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cribra.operators import extract as E
 from cribra.operators import pending as PD
-from cribra.schemas import BRONZE_LANDING_SCHEMA, ELIGIBILITY_JSON_PATH
+from cribra.operators.bronze import dedupe_latest
+from cribra.schemas import ELIGIBILITY_JSON_PATH
 from cribra.sources import tables as TB
 from cribra.sources.tables import Warehouse
+from cribra.streaming.landing_stream import ARRIVAL, landed_lines
 
 
 def landed_to_attempts(spark: SparkSession, wh: Warehouse, landing_root: str,
-                       extractor: E.Extractor, signature: str, workers: int = 3,
+                       extractor: E.Extractor, signature: str, workers: int = 1,
                        checkpoint: str | None = None) -> StreamingQuery:
     TB.ensure_tables(spark, wh)
-    schema = T.StructType(list(BRONZE_LANDING_SCHEMA.fields) + [T.StructField("batch", T.StringType())])
-    stream = spark.readStream.schema(schema).json(landing_root)
+    stream = landed_lines(spark.readStream, landing_root)
 
     def extract_batch(batch: DataFrame, epoch: int) -> None:
-        studies = batch.where(F.col("nct_id").isNotNull()).select(
-            "nct_id", F.get_json_object("raw", ELIGIBILITY_JSON_PATH).alias("eligibility"),
-        ).dropDuplicates(["nct_id"])
+        latest = dedupe_latest(batch.where(F.col("nct_id").isNotNull()), ["nct_id"], ARRIVAL)
+        studies = latest.select(
+            "nct_id", F.get_json_object("raw", ELIGIBILITY_JSON_PATH).alias("eligibility"))
         attempts = TB.read_attempts(spark, wh)
         todo = PD.pending_trials(studies, TB.done_view(attempts), TB.failures_view(attempts),
                                  signature)
-        outcomes = E.extract_with(todo, extractor, workers)
+        todo = todo.persist()
+        outcomes = E.extract_with(todo, extractor, E.tasks_for(todo.count(), workers))
         name = f"stream-{epoch:08d}"
         TB.write_attempts(outcomes.select(
             "nct_id", F.lit(signature).alias("signature"), F.lit(name).alias("batch"),
             F.monotonically_increasing_id().alias("seq"), "criteria",
-            F.substring("error", 1, 500).alias("error"), F.current_timestamp().alias("at")), wh)
+            F.substring("error", 1, 500).alias("error"), F.current_timestamp().alias("at")), wh, name)
+        todo.unpersist()
 
     return (stream.writeStream.foreachBatch(extract_batch)
             .option("checkpointLocation", checkpoint or f"{wh.checkpoints}/landed_to_attempts")

@@ -18,19 +18,19 @@ from cribra.sources.tables import Warehouse
 
 def replies_to_attempts(spark: SparkSession, wh: Warehouse, replies_root: str, signature: str,
                         checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
-    from cribra.plans.offline import reply_envelopes
+    from cribra.plans.offline import latest_replies, reply_envelopes
 
     TB.ensure_tables(spark, wh)
     lines = spark.readStream.format("text").load(replies_root)
 
     def commit(batch: DataFrame, epoch: int) -> None:
-        parsed = E.parse_replies(reply_envelopes(batch), keep=("nct_id",))
-        parsed = parsed.where(F.col("nct_id").isNotNull()).dropDuplicates(["nct_id"])
+        name = f"replies-{epoch:08d}"
+        parsed = E.parse_replies(latest_replies(reply_envelopes(batch)), keep=("nct_id",))
         TB.write_attempts(parsed.select(
             "nct_id", F.lit(signature).alias("signature"),
-            F.lit(f"replies-{epoch:08d}").alias("batch"),
+            F.lit(name).alias("batch"),
             F.monotonically_increasing_id().alias("seq"), "criteria",
-            F.substring("error", 1, 500).alias("error"), F.current_timestamp().alias("at")), wh)
+            F.substring("error", 1, 500).alias("error"), F.current_timestamp().alias("at")), wh, name)
 
     writer = lines.writeStream.foreachBatch(commit).option(
         "checkpointLocation", checkpoint or f"{wh.checkpoints}/replies_to_attempts")

@@ -34,7 +34,7 @@ def tmp(tmp_path):
 
 def study(nct: str | None, date: str | None = "2026-08-14", status: str = "RECRUITING",
           study_type: str = "INTERVENTIONAL", ancestors=("Neoplasms",),
-          eligibility: str | None = "INCLUSION: adult.") -> dict:
+          eligibility: str | None = "INCLUSION: walks unaided.") -> dict:
     """Trial-shaped study document (fixture A1 and variants)."""
     ps: dict = {"statusModule": {"overallStatus": status}}
     if nct is not None:
@@ -64,3 +64,21 @@ def pages_dir(tmp_path):
     def make(pages: list) -> str:
         return write_pages(tempfile.mkdtemp(dir=tmp_path), pages)
     return make
+
+
+def line_extractor(batch):
+    """A caller's extractor for tests: one criterion per non-blank line."""
+    import pandas as pd
+    rows = []
+    for nct, text in zip(batch["nct_id"], batch["text"]):
+        kept = [ln.strip() for ln in str(text).split("\n") if ln.strip()]
+        rows.append({"nct_id": nct, "error": None, "criteria": [
+            {"criterion_id": f"c-{i}", "text": ln, "kind": "other", "is_exclusion": False}
+            for i, ln in enumerate(kept)]})
+    return pd.DataFrame(rows)
+
+
+# Test extractors travel to the Python workers by value.
+from pyspark.cloudpickle import register_pickle_by_value  # noqa: E402
+
+register_pickle_by_value(sys.modules[__name__])

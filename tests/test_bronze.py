@@ -158,3 +158,21 @@ def test_checkpoint_folder_comes_from_the_session():
         checkpoint_dir(Session(None, "yarn"))          # never a driver-local folder on a cluster
     local = Session(None, "local[4]")
     assert checkpoint_dir(local).startswith("/") and local.sparkContext.dir == local.conf.value
+
+
+def test_merge_without_order_inserts_a_repeated_key_once(spark):
+    target = spark.createDataFrame([], "k string, v string")
+    source = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3")], "k string, v string")
+    for how in ("keyed", "full_outer"):
+        got = B.merge_upsert(target, source, ["k"], strategy=how).collect()
+        assert sorted((r.k, r.v) for r in got) == [("a", "2"), ("b", "3")]
+
+
+def test_both_forms_of_the_id_filter_keep_repeated_ids(spark):
+    from cribra.operators.predicates import filter_ids
+    df = spark.createDataFrame([("NCT00000001", 1, ["x"]), ("NCT00000001", 2, None), ("NCT00000002", 3, ["NCT00000001"]),
+                                (None, 4, ["nct1"]), ("NCT00000003", 5, [])], "nct_id string, n int, alias array<string>")
+    ids = spark.createDataFrame([("nct1",), ("zzz",), (None,)], "id string")
+    for alias, want in ((None, [1, 2]), ("alias", [1, 2, 3, 4])):
+        for wanted in (["nct1", "zzz"], ids):
+            assert sorted(r.n for r in filter_ids(df, "nct_id", alias, wanted).collect()) == want

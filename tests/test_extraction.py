@@ -81,14 +81,14 @@ def test_requests_carry_prompt_budget_and_schema(spark):
 def test_inline_headings_and_blank_prose(spark):
     # A21: both headings on one line; A22: blank prose gives no criteria
     df = spark.createDataFrame([
-        ("NCT00000001", "INCLUSION: stage IV NSCLC. EXCLUSION: untreated CNS mets."),
+        ("NCT00000001", "INCLUSION: thyroid nodule. EXCLUSION: recent stroke."),
         ("NCT00000002", "   "),
         ("NCT00000003", "Inclusion Criteria:\n- Age 18 years or older\n- ECOG 0-1\n\n"
                         "Exclusion Criteria:\n* Pregnant or breastfeeding\n* Active hepatitis B"),
     ], "nct_id string, eligibility string")
     rows = rule_criteria(df).orderBy("nct_id", "ordinal").collect()
     one = [(r.text, r.is_exclusion) for r in rows if r.nct_id == "NCT00000001"]
-    assert one == [("stage IV NSCLC.", False), ("untreated CNS mets.", True)]
+    assert one == [("thyroid nodule.", False), ("recent stroke.", True)]
     assert not [r for r in rows if r.nct_id == "NCT00000002"]
     three = [(r.criterion_id, r.text, r.kind, r.is_exclusion) for r in rows if r.nct_id == "NCT00000003"]
     assert three == [("inc-0", "Age 18 years or older", "age", False),
@@ -99,22 +99,24 @@ def test_inline_headings_and_blank_prose(spark):
     assert blank == {"NCT00000001": False, "NCT00000002": True, "NCT00000003": False}
 
 
-def test_user_extractor_failures_stay_per_batch(spark):
+def test_one_bad_trial_fails_alone(spark):
+    from conftest import line_extractor
     df = spark.createDataFrame([(f"NCT{i:08d}", "line one\nline two" if i % 3 else "  ")
-                                for i in range(20)], "nct_id string, eligibility string")
+                                for i in range(300)], "nct_id string, eligibility string")
 
     def flaky(batch: pd.DataFrame) -> pd.DataFrame:
-        if batch["nct_id"].str.endswith("7").any():
+        if (batch["nct_id"] == "NCT00000007").any():
             raise RuntimeError("HTTP 429 Too Many Requests")
-        return E.rule_extractor(batch)
-
-    out = {r.nct_id: r for r in E.extract_with(df, flaky, workers=4).collect()}
-    assert len(out) == 20
-    blank = [k for k, r in out.items() if r.criteria == []]
-    assert sorted(blank) == [f"NCT{i:08d}" for i in range(20) if i % 3 == 0]
-    failed = [r for r in out.values() if r.error]
-    assert all("429" in r.error for r in failed)
-    assert any(r.criteria and len(r.criteria) == 2 for r in out.values())
+        return line_extractor(batch[batch["nct_id"] != "NCT00000011"])      # leaves one trial out
+
+    for tasks in (None, 1, 4):
+        rows = E.extract_with(df, flaky, tasks=tasks).collect()
+        out = {r.nct_id: r for r in rows}
+        assert len(rows) == len(out) == 300
+        assert sorted(k for k, r in out.items() if r.criteria == []) == [f"NCT{i:08d}" for i in range(0, 300, 3)]
+        assert {k: r.error for k, r in out.items() if r.error} == {
+            "NCT00000007": "HTTP 429 Too Many Requests", "NCT00000011": "extractor:no outcome"}
+    assert E.tasks_for(1) == 1 and E.tasks_for(10_000) > 10 and E.tasks_for(1, workers=4) == 4
 
 
 def test_throttle_stop_rule(spark):

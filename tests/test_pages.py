@@ -21,13 +21,17 @@ def test_pages_in_page_then_list_order(spark, pages_dir):
 def test_study_columns_id_date_raw(spark, pages_dir):
     path = pages_dir([{"studies": [study("NCT00000001"), study("NCT00000002", date=None),
                                    study(None), study("NCT00000004", date="not-a-date")]}])
-    cols = B.study_columns(PG.read_study_pages(spark, path), keep=("pos",)).orderBy("pos").collect()
+    # The read check rejects a date that is none; the projection alone makes it NULL.
+    with pytest.raises(Exception, match="not a full date"):
+        PG.read_study_pages(spark, path).count()
+    unchecked = PG.read_page_files(spark, path).select(F.posexplode("page.studies").alias("pos", "study"))
+    cols = B.study_columns(unchecked, keep=("pos",)).orderBy("pos").collect()
     assert [c.nct_id for c in cols] == ["NCT00000001", "NCT00000002", None, "NCT00000004"]
     assert str(cols[0].last_update_posted) == "2026-08-14"
     assert cols[1].last_update_posted is None and cols[3].last_update_posted is None
     # nulls are dropped from the re-serialised document, unknown fields never enter it
     assert '"nctId":"NCT00000001"' in cols[0].raw and "null" not in cols[0].raw
-    assert cols[0].eligibility == "INCLUSION: adult."
+    assert cols[0].eligibility == "INCLUSION: walks unaided."
 
 
 def test_unknown_study_fields_are_ignored(spark, pages_dir):
@@ -142,3 +146,69 @@ def test_point_read_and_scope_count(spark, pages_dir):
     assert B.fetch_study(cols, "NCT00000009").count() == 0
     scoped = P.scope_filter(cols, "ancestors", "study_type", "overall_status")
     assert P.scope_count(scoped).first().scope_count == 1
+
+
+def test_full_dates_ids_and_points_are_checked(spark, pages_dir):
+    def changed(**modules):
+        doc = study("NCT00000001")
+        for name, value in modules.items():
+            doc["protocolSection"].setdefault(name, {}).update(value)
+        return {"studies": [doc]}
+
+    pages = [changed(statusModule={"lastUpdatePostDateStruct": {"date": "garbage", "type": "ACTUAL"}}),
+             changed(identificationModule={"nctId": "NCT1"}),
+             changed(contactsLocationsModule={"locations": [{"geoPoint": {"lat": 1.5, "lon": 2.0}}, {"geoPoint": {"lat": 1.5}}]}),
+             changed(contactsLocationsModule={"locations": [{"geoPoint": {"lat": 1.5, "lon": 2.0}}, {}]})]
+    path = pages_dir(pages)
+    assert sorted(r.problem for r in PG.rejected_pages(spark, path).collect()) == [
+        "not a full date", "point without latitude or longitude", "trial id without 11 characters"]
+    assert PG.read_study_pages(spark, path, on_invalid="quarantine").count() == 1
+
+
+def test_enums_of_a_contract_are_checked_by_path(spark, pages_dir):
+    spec = {"components": {"schemas": {
+        "Study": {"properties": {"protocolSection": {"$ref": "#/components/schemas/Protocol"}}},
+        "Protocol": {"properties": {
+            "sponsorCollaboratorsModule": {"properties": {"leadSponsor": {"$ref": "#/components/schemas/Sponsor"},
+                                                          "collaborators": {"items": {"$ref": "#/components/schemas/Sponsor"}}}},
+            "again": {"$ref": "#/components/schemas/Protocol"}}},
+        "Sponsor": {"properties": {"class": {"allOf": [{"$ref": "#/components/schemas/Class"}]}}},
+        "Class": {"enum": ["RED", "BLUE"]}}}}
+    enums = PG.contract_enums(spec)
+    lead, others = (f"protocolSection.sponsorCollaboratorsModule.{x}.class" for x in ("leadSponsor", "collaborators"))
+    assert enums == {lead: ("RED", "BLUE"), others: ("RED", "BLUE")}
+    docs = []
+    for cls in ("RED", "GREEN"):
+        doc = study("NCT00000001")
+        doc["protocolSection"]["sponsorCollaboratorsModule"] = {
+            "leadSponsor": {"name": "x", "class": "BLUE"}, "collaborators": [{"class": "BLUE"}, {"class": cls}]}
+        docs.append({"studies": [doc]})
+    got = PG.read_page_files(spark, pages_dir(docs), enums={**PG.SCOPE_ENUMS, **enums}).collect()
+    assert sorted(str(r.problem) for r in got) == ["None", "unknown enum value"]
+
+
+def test_page_lines_survive_a_change_of_the_splits(spark, tmp):
+    import json as _json
+
+    from cribra.operators.ordering import chunk_index
+    pages = [_json.dumps({"studies": [study(f"NCT{p:04d}{k:04d}") for k in range(20)]}) for p in range(120)]
+    with open(f"{tmp}/pages.jsonl", "w") as f:
+        f.write("\n".join(pages) + "\n")
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "64k")
+        rows = chunk_index(PG.read_study_pages(spark, tmp, page_per_line=True), ["page_file", "pos"], 500)
+        spark.conf.set(size, "8m")
+        got = rows.selectExpr("study.protocolSection.identificationModule.nctId as i", "batch_index").collect()
+    finally:
+        spark.conf.set(size, before)
+    assert sorted(r.i for r in got) == [f"NCT{p:04d}{k:04d}" for p in range(120) for k in range(20)]
+    assert all(r.batch_index == (int(r.i[3:7]) * 20 + int(r.i[7:])) // 500 for r in got)
+
+
+def test_long_numbers_keep_all_their_digits(spark):
+    from cribra.functions.ids import nct_from_number
+    got = spark.createDataFrame([(42,), (10_000_000,), (100_000_000,), (100_000_001,)], "n long").select(
+        nct_from_number("n").alias("i")).collect()
+    assert [r.i for r in got] == ["NCT00000042", "NCT10000000", "NCT100000000", "NCT100000001"]

@@ -59,7 +59,7 @@ def test_extractor_twin_on_texts_with_headings(spark):
     from cribra.operators import rules as R
     from cribra.plans import oracles as O
     texts = ["Key Inclusion Criteria:\n- Adults 18 years\n- ECOG 0-1\nKey Exclusion Criteria:\n- HIV\n* Pregnant",
-             "INCLUSION: stage IV NSCLC. EXCLUSION: untreated CNS mets.",
+             "INCLUSION: thyroid nodule. EXCLUSION: recent stroke.",
              "intro line\nMain inclusion:\n1. prior chemotherapy\nAdditional Exclusion Criteria:\n2) hepatitis B\nKey",
              "no headings here\n\n  \nsecond line key\nkey\n", "   "]
     df = spark.createDataFrame([(f"NCT{i:08d}", t) for i, t in enumerate(texts)],

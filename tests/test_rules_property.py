@@ -12,7 +12,7 @@ PIECES = ["Inclusion Criteria:", "EXCLUSION:", "exclusion criteria :", "inclusio
           "Key Exclusion Criteria:", "main inclusion:", "Key", "key\n",
           "- Age 18 years or older", "* Pregnant or breastfeeding", "1. ECOG 0-1",
           "Creatinine 1.5 mg/dL", "active hepatitis B", "  ", "", "\t", "prior chemotherapy",
-          "Measurable disease per RECIST", "Signed informed consent", "stage IV NSCLC."]
+          "Measurable disease per RECIST", "Signed informed consent", "thyroid nodule."]
 
 
 def python_extract(text: str):

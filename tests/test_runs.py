@@ -3,7 +3,7 @@
 import os
 
 import pandas as pd
-from conftest import study, write_pages
+from conftest import line_extractor, study, write_pages
 from pyspark.sql import functions as F
 
 from cribra.operators import extract as E
@@ -14,7 +14,7 @@ from cribra.sources.tables import Warehouse
 SIG = "feedfacecafebeef"
 
 
-def _pages(root, ids, date="2026-08-14", eligibility="INCLUSION: adult.\nEXCLUSION: pregnant."):
+def _pages(root, ids, date="2026-08-14", eligibility="INCLUSION: walks unaided.\nEXCLUSION: asthma attack."):
     per_page = 2
     pages = []
     for i in range(0, len(ids), per_page):
@@ -27,7 +27,7 @@ def test_backfill_full_then_incremental_and_limited(spark, tmp):
     ids = [f"NCT{i:08d}" for i in range(1, 6)]                     # A8: five ids
     p1 = _pages(os.path.join(tmp, "p1"), ids + ["NCT00000002"])    # repeated id on a later page
     r1 = R.run_backfill(spark, wh, p1, run_token="T1", batch_size=2)
-    assert (r1.written, r1.batches, r1.rows_before, r1.rows_after, r1.complete) == (6, 3, 0, 5, True)
+    assert (r1.landed, r1.batches, r1.rows_before, r1.rows_after, r1.published) == (6, 3, 0, 5, True)
     runs = TB.read_runs(spark, wh).collect()
     assert [(r.mode, r.complete, str(r.watermark)) for r in runs] == [("full", True, "2026-08-14")]
 
@@ -38,11 +38,11 @@ def test_backfill_full_then_incremental_and_limited(spark, tmp):
     # incremental: starts from the safe watermark, inclusive
     p2 = _pages(os.path.join(tmp, "p2"), ["NCT00000005", "NCT00000006"], date="2026-08-20")
     r3 = R.run_backfill(spark, wh, p2, run_token="T3", incremental=True)
-    assert str(r3.incremental_from) == "2026-08-14" and r3.added == 1
+    assert str(r3.since) == "2026-08-14" and r3.added == 1
     # a limited run does not advance the resume point
     p3 = _pages(os.path.join(tmp, "p3"), ["NCT00000007", "NCT00000008"], date="2026-09-01")
     r4 = R.run_backfill(spark, wh, p3, run_token="T4", incremental=True, limit=1)
-    assert r4.complete is False and r4.written == 1
+    assert r4.published is False and r4.landed == 1
     from cribra.operators.bronze import safe_watermark
     assert str(safe_watermark(TB.read_runs(spark, wh)).first().watermark) == "2026-08-20"
     modes = {r.run_id: r.mode for r in TB.read_runs(spark, wh).collect()}
@@ -70,7 +70,7 @@ def test_extraction_run_commits_batches_and_stops_on_throttling(spark, tmp):
     R.run_backfill(spark, wh, _pages(os.path.join(tmp, "p"), ids), run_token="T1")
 
     def throttled_after_four(batch: pd.DataFrame) -> pd.DataFrame:
-        out = E.rule_extractor(batch)
+        out = line_extractor(batch)
         late = batch["nct_id"] > "NCT00000004"
         out.loc[late.values, "criteria"] = None
         out.loc[late.values, "error"] = "HTTP 429"
@@ -79,15 +79,15 @@ def test_extraction_run_commits_batches_and_stops_on_throttling(spark, tmp):
     res = R.run_extraction(spark, wh, throttled_after_four, SIG, run_token="R1", batch_size=2, workers=2)
     # batches 0, 1 succeed; batch 2 fails entirely under throttling -> stop before batch 3
     assert (res.succeeded, res.failed, res.rate_limited) == (4, 2, 2)
-    assert res.trials_written == 4 and res.criteria_written == 8 and res.remaining == 4
-    assert res.quota_exhausted
+    assert res.criteria == 8 and res.pending == 4
+    assert res.throttled_out
     silver = TB.silver_view(TB.read_attempts(spark, wh)).where(F.col("signature") == SIG)
     assert silver.select("nct_id").distinct().count() == 4
     assert TB.failures_view(TB.read_attempts(spark, wh)).count() == 0  # throttling is not counted
 
     # rerun with a healthy extractor: only the pending four are attempted
-    res2 = R.run_extraction(spark, wh, E.rule_extractor, SIG, run_token="R2", batch_size=3)
-    assert (res2.succeeded, res2.remaining) == (4, 0)
+    res2 = R.run_extraction(spark, wh, line_extractor, SIG, run_token="R2", batch_size=3)
+    assert (res2.succeeded, res2.pending) == (4, 0)
     st = R.status_frame(spark, wh, SIG).first()
     assert (st.bronze_rows, st.trials, st.total, st.criteria, st.percent) == (8, 8, 8, 16, 100.0)
 
@@ -102,10 +102,10 @@ def test_failures_reach_max_attempts_then_skip(spark, tmp):
                    run_token="T1")
 
     def broken(batch: pd.DataFrame) -> pd.DataFrame:
-        out = E.rule_extractor(batch)
+        out = line_extractor(batch)
         bad = (batch["nct_id"] == "NCT00000002").values
         out.loc[bad, "criteria"] = None
-        out.loc[bad, "error"] = "Model returned schema-invalid JSON"
+        out.loc[bad, "error"] = "reply:criteria"
         return out
 
     for k in range(3):
@@ -138,20 +138,33 @@ def test_landing_stream_equals_batch_merge(spark, tmp):
     assert TB.read_bronze(spark, wh).count() == 3
 
 
+def test_last_of_two_versions_in_one_file_wins_in_stream_and_batch(spark, tmp):
+    from cribra.sources.landing import write_landing_run
+    from cribra.streaming.landing_stream import landing_to_bronze
+    rows = [("NCT00000001", "2026-08-09", "zz first", "p1", 3, "r-0000"), ("NCT00000001", "2026-08-01", "aa last", "p1", 11, "r-10000")]
+    df = spark.createDataFrame(rows, "nct_id string, last_update_posted string, raw string, page_file string, pos long, batch string")
+    landing, wh = os.path.join(tmp, "landing"), Warehouse(os.path.join(tmp, "wh"))
+    write_landing_run(df.coalesce(1), f"{landing}/run=r-T")
+    landing_to_bronze(spark, wh, landing).awaitTermination(120)
+    from cribra.operators.bronze import dedupe_latest
+    want = dedupe_latest(df, ["nct_id"], ["page_file", "pos"]).first().raw
+    assert TB.read_bronze(spark, wh).first().raw == want == "aa last"
+
+
 def test_landed_studies_stream_into_attempts(spark, tmp):
     import json
     from cribra.sources.landing import write_landing
     from cribra.streaming.pending_stream import landed_to_attempts
     wh = Warehouse(os.path.join(tmp, "wh"))
     landing = os.path.join(tmp, "landing")
-    raw = json.dumps(study("NCT00000001", eligibility="INCLUSION: adult.\nEXCLUSION: pregnant."))
+    raw = json.dumps(study("NCT00000001", eligibility="INCLUSION: walks unaided.\nEXCLUSION: asthma attack."))
     write_landing(spark.createDataFrame([("NCT00000001", "2026-08-14", raw)],
                                         "nct_id string, last_update_posted string, raw string"),
                   landing, "b-0000")
-    landed_to_attempts(spark, wh, landing, E.rule_extractor, SIG).awaitTermination(120)
+    landed_to_attempts(spark, wh, landing, line_extractor, SIG).awaitTermination(120)
     silver = TB.silver_view(TB.read_attempts(spark, wh)).collect()
     assert sorted((r.text, r.is_exclusion) for r in silver) == [
-        ("EXCLUSION: pregnant.", False), ("INCLUSION: adult.", False)]
+        ("EXCLUSION: asthma attack.", False), ("INCLUSION: walks unaided.", False)]
 
 
 def test_extraction_waves_check_stop_per_wave(spark, tmp):
@@ -160,7 +173,7 @@ def test_extraction_waves_check_stop_per_wave(spark, tmp):
     R.run_backfill(spark, wh, _pages(os.path.join(tmp, "p"), ids), run_token="T1")
 
     def throttled_after_four(batch: pd.DataFrame) -> pd.DataFrame:
-        out = E.rule_extractor(batch)
+        out = line_extractor(batch)
         late = (batch["nct_id"] > "NCT00000004").values
         out.loc[late, "criteria"] = None
         out.loc[late, "error"] = "HTTP 429"
@@ -170,19 +183,18 @@ def test_extraction_waves_check_stop_per_wave(spark, tmp):
     # wave 1 = batches 0, 1 (ok); wave 2 = batches 2, 3 (throttled) -> stop before batch 4
     assert (res.succeeded, res.failed, res.rate_limited) == (4, 4, 4)
     res2 = R.run_extraction(spark, wh, None, SIG, run_token="W2", batch_size=4, wave=5)
-    assert (res2.succeeded, res2.remaining) == (6, 0)
+    assert (res2.succeeded, res2.pending) == (6, 0)
 
 
-def test_sql_views_and_command_entry(spark, tmp, capsys):
-    from cribra.__main__ import main
+def test_sql_views(spark, tmp):
     wh_root = os.path.join(tmp, "wh")
     pages = _pages(os.path.join(tmp, "p"), ["NCT00000001", "NCT00000002", "NCT00000003"])
-    assert main(["--warehouse", wh_root, "backfill", "--pages", pages]) == 0
-    assert main(["--warehouse", wh_root, "extract", "--batch-size", "2"]) == 0
-    assert main(["--warehouse", wh_root, "status"]) == 0
-    out = capsys.readouterr().out
-    assert "studies 3" in out and "trials 3, criteria 6" in out
-    assert "percent" in out and "100.0" in out
+    wh = Warehouse(wh_root)
+    assert R.run_backfill(spark, wh, pages, run_token="T").landed == 3
+    got = R.run_extraction(spark, wh, None, SIG, run_token="E", batch_size=2)
+    assert (got.succeeded, got.criteria, got.pending) == (3, 6, 0)
+    assert {r.batch for r in TB.read_attempts(spark, wh).select("batch").collect()} == {"silver-E-0000", "silver-E-0001"}
+    assert R.status_frame(spark, wh, SIG).first().percent == 100.0
     names = TB.register_views(spark, Warehouse(wh_root))
     assert "silver_criteria" in names
     got = spark.sql("SELECT kind, count(*) AS n FROM silver_criteria GROUP BY kind").collect()
@@ -196,15 +208,15 @@ def test_extraction_limit_counts_written_trials(spark, tmp):
     R.run_backfill(spark, wh, _pages(os.path.join(tmp, "p"), ids), run_token="T1")
 
     def odd_fail(batch: pd.DataFrame) -> pd.DataFrame:
-        out = E.rule_extractor(batch)
+        out = line_extractor(batch)
         bad = batch["nct_id"].isin(["NCT00000002", "NCT00000003"]).values
         out.loc[bad, "criteria"] = None
-        out.loc[bad, "error"] = "Model returned schema-invalid JSON"
+        out.loc[bad, "error"] = "reply:criteria"
         return out
 
     # limit 4, batches of 3: takes 1-3 (1 ok), then min(3, 4-1)=3 more: 4-6 -> 4 written
     res = R.run_extraction(spark, wh, odd_fail, SIG, run_token="L", limit=4, batch_size=3)
-    assert (res.trials_written, res.failed) == (4, 2)
+    assert (res.succeeded, res.failed) == (4, 2)
     got = TB.read_attempts(spark, wh).select("nct_id", "batch").collect()
     assert sorted(r.nct_id for r in got) == ids[:6]
     assert sorted({r.batch for r in got}) == ["silver-L-0000", "silver-L-0001"]
@@ -229,7 +241,7 @@ def test_quarantine_run_with_rejects_is_not_complete(spark, tmp):
     good = {"studies": [study("NCT00000001")]}
     path = write_pages(os.path.join(tmp, "p"), [good, '{"studies": [{"protocolSection": 5}]}'])
     r = R.run_backfill(spark, wh, path, run_token="Q", on_invalid="quarantine")
-    assert (r.written, r.complete) == (1, False)
+    assert (r.landed, r.published) == (1, False)
     from cribra.operators.bronze import safe_watermark
     assert safe_watermark(TB.read_runs(spark, wh)).first().watermark is None
 

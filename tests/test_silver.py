@@ -37,7 +37,7 @@ def test_replace_by_key_replaces_trial_and_keeps_other_signatures(spark):
 def test_failures_count_genuine_errors_only(spark):
     # A12: ok 1, 429 on 2, schema error on 3 -> only 3 is recorded
     batch = outcomes(spark, [("NCT00000001", crit(1), None), ("NCT00000002", None, "HTTP 429"),
-                             ("NCT00000003", None, "Model returned schema-invalid JSON")])
+                             ("NCT00000003", None, "reply:criteria")])
     empty = spark.createDataFrame([], "nct_id string, signature string, error string, attempts int")
     f1 = SV.accumulate_failures(empty, batch, SIG)
     assert [(r.nct_id, r.attempts) for r in f1.collect()] == [("NCT00000003", 1)]
@@ -111,11 +111,11 @@ def test_latest_ok_attempt_wins_even_if_empty(spark):
     from cribra.sources.tables import failures_view, silver_view
     t0, t1, t2 = (dt.datetime(2026, 8, d) for d in (1, 2, 3))
     log = spark.createDataFrame([
-        ("NCT00000001", SIG, "b-0", 0, crit(2), None, t0),
-        ("NCT00000001", SIG, "b-1", 0, [], None, t1),
-        ("NCT00000002", SIG, "b-0", 1, crit(1), None, t0),
-        ("NCT00000002", SIG, "b-1", 1, None, "bad", t1),
-        ("NCT00000002", SIG, "b-2", 1, None, "HTTP 429", t2),
+        ("NCT00000001", SIG, "b-0", 0, crit(2), None, t0, "r"),
+        ("NCT00000001", SIG, "b-1", 0, [], None, t1, "r"),
+        ("NCT00000002", SIG, "b-0", 1, crit(1), None, t0, "r"),
+        ("NCT00000002", SIG, "b-1", 1, None, "bad", t1, "r"),
+        ("NCT00000002", SIG, "b-2", 1, None, "HTTP 429", t2, "r"),
     ], ATTEMPTS_SCHEMA)
     rows = silver_view(log).collect()
     assert [(r.nct_id, r.ordinal) for r in rows] == [("NCT00000002", 0)]
