@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cribra.functions.dates import strict_date
-from cribra.schemas import ELIGIBILITY_PATH, LAST_UPDATE_PATH
+from cribra.schemas import ELIGIBILITY_JSON_PATH, ELIGIBILITY_PATH, LAST_UPDATE_PATH
 
 ACTION_COL = "merge_action"
 
@@ -37,6 +37,20 @@ def study_columns(studies: DataFrame, study_col: str = "study",
 
 
 
+def columns_of_raw() -> list[Column]:
+    """The typed columns beside ``raw``, for a reader that has only the document text."""
+    def at(path: str) -> Column:
+        return F.get_json_object("raw", path)
+
+    return [
+        at(ELIGIBILITY_JSON_PATH).alias("eligibility"),
+        at("$.protocolSection.statusModule.overallStatus").alias("overall_status"),
+        at("$.protocolSection.designModule.studyType").alias("study_type"),
+        F.from_json(at("$.derivedSection.conditionBrowseModule.ancestors"),
+                    "array<struct<id:string,term:string>>").alias("ancestors"),
+    ]
+
+
 def fetch_study(bronze: DataFrame, nct_id: str, id_col: str = "nct_id") -> DataFrame:
     """One study by trial id: an equality filter that reaches the parquet scan."""
     return bronze.where(F.col(id_col) == nct_id)

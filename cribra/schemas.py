@@ -92,15 +92,20 @@ BRONZE_LANDING_SCHEMA = T.StructType([
 # Arrival order of a landed line, where the writer knows it.
 LANDING_ORDER = (T.StructField("page_file", T.StringType()), T.StructField("pos", T.LongType()))
 
-# The four reference columns, plus ``eligibility``: the one JSON path every
-# Silver step reads, extracted once when the row is written so readers prune
-# to it instead of re-parsing ``raw``.
+# The four reference columns, plus what readers filter and read most, extracted
+# once when the row is written: ``eligibility`` (every Silver step) and the
+# scope fields, so that scans prune to them and filters reach parquet instead
+# of re-parsing ``raw``.
 BRONZE_SCHEMA = T.StructType([
     T.StructField("nct_id", T.StringType(), False),
     T.StructField("last_update_posted", T.DateType()),
     T.StructField("raw", T.StringType(), False),
     T.StructField("ingested_at", T.TimestampType(), False),
     T.StructField("eligibility", T.StringType()),
+    T.StructField("overall_status", T.StringType()),
+    T.StructField("study_type", T.StringType()),
+    T.StructField("ancestors", T.ArrayType(T.StructType([
+        T.StructField("id", T.StringType()), T.StructField("term", T.StringType())]))),
 ])
 
 RUNS_SCHEMA = T.StructType([

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cribra.operators import bronze as B
-from cribra.schemas import BRONZE_LANDING_SCHEMA, ELIGIBILITY_JSON_PATH, LANDING_ORDER
+from cribra.schemas import BRONZE_LANDING_SCHEMA, LANDING_ORDER
 from cribra.sources import tables as TB
 from cribra.sources.tables import Warehouse
 
@@ -48,7 +48,7 @@ def landing_to_bronze(spark: SparkSession, wh: Warehouse, landing_root: str,
         source = batch.select(
             "nct_id", F.col("last_update_posted").try_cast("date").alias("last_update_posted"),
             "raw", F.lit(None).cast("timestamp").alias("ingested_at"),
-            F.get_json_object("raw", ELIGIBILITY_JSON_PATH).alias("eligibility"), *ARRIVAL)
+            *B.columns_of_raw(), *[c for c in ARRIVAL if c != "raw"])
         source = B.drop_missing_ids(source)
         current = TB.read_bronze(spark, wh)
         merged = B.merge_upsert(current, source, ["nct_id"], ARRIVAL, stamp_col="ingested_at")

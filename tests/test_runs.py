@@ -258,3 +258,28 @@ def test_ledger_rows_share_the_start_time(spark, tmp):
     assert len(raw) == 2 and raw[0].started_at == raw[1].started_at
     done = [r for r in raw if r.finished_at is not None][0]
     assert done.finished_at >= done.started_at
+
+
+def test_contract_filters_run_on_typed_bronze_columns(spark, tmp, capsys):
+    from cribra.operators import predicates as P
+    from cribra.sources.landing import write_landing
+    from cribra.streaming.landing_stream import landing_to_bronze
+    wh = Warehouse(os.path.join(tmp, "wh"))
+    docs = [study("NCT00000001"), study("NCT00000002", status="COMPLETED"), study("NCT00000003", study_type="OBSERVATIONAL")]
+    path = write_pages(os.path.join(tmp, "p"), [{"studies": docs}])
+    R.run_backfill(spark, wh, path, run_token="T", query=F.lit(True))
+    bronze = TB.read_bronze(spark, wh)
+    hit = P.filter_status(bronze, "overall_status", ["COMPLETED"]).select("nct_id")
+    assert [r.nct_id for r in hit.collect()] == ["NCT00000002"]
+    hit.explain()
+    plan = capsys.readouterr().out
+    assert "EqualTo(overall_status,COMPLETED)" in plan and "raw" not in plan.split("ReadSchema")[1]
+    scope = P.scope_filter(bronze, "ancestors", "study_type", "overall_status", statuses=P.RECRUITING)
+    assert [r.nct_id for r in scope.collect()] == ["NCT00000001"]
+    # a stream that has only the landed document gets the same columns
+    wh2, landing = Warehouse(os.path.join(tmp, "wh2")), os.path.join(tmp, "landing")
+    write_landing(bronze.select("nct_id", "last_update_posted", "raw"), landing, "b-0000")
+    landing_to_bronze(spark, wh2, landing).awaitTermination(120)
+    same = [c for c in bronze.columns if c != "ingested_at"]
+    assert sorted(map(repr, TB.read_bronze(spark, wh2).select(*same).collect())) == sorted(
+        map(repr, bronze.select(*same).collect()))
