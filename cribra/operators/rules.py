@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cribra.functions.text import has_text
 
-# The section heading pattern ("Inclusion Criteria:", "EXCLUSION:"),
+# Ours: the section heading pattern ("Inclusion Criteria:", "EXCLUSION:"),
 # the qualifier a heading may carry ("Key Exclusion Criteria:"),
 # a leading bullet, and the whitespace trimmed around a criterion.
 HEADING_RE = r"(?i)(inclusion|exclusion)( criteria)?[ \t]*:"
@@ -25,7 +25,7 @@ QUALIFIER_RE = r"(?i)(key|main|major|additional|general)[ \t]*\z"
 BULLET_RE = r"^[ \t\r\f]*(([-*•]|[0-9]{1,2}[.)])[ \t\r\f]+)?"
 TRAIL_RE = r"[ \t\r\f]+$"
 
-# Kind rules in priority order, first match wins, ``other`` last.
+# Ours: kind rules in priority order, first match wins, ``other`` last.
 # Each alternative must start a word (the text is lower-cased and padded with a
 # space); a trailing ``[^a-z]`` closes a whole word.
 KIND_RULES = (
@@ -52,89 +52,20 @@ KIND_RULES = (
 FALLBACK_KIND = "other"
 
 
-def _top_level_alternatives(pattern: str) -> list[str]:
-    """Split a pattern at its top-level ``|`` (not inside groups or classes)."""
-    out, cur, depth, i, in_class = [], [], 0, 0, False
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == "\\":
-            cur.append(pattern[i:i + 2])
-            i += 2
-            continue
-        if in_class:
-            in_class = ch != "]"
-        elif ch == "[":
-            in_class = True
-        elif ch == "(":
-            depth += 1
-        elif ch == ")":
-            depth -= 1
-        elif ch == "|" and depth == 0:
-            out.append("".join(cur))
-            cur = []
-            i += 1
-            continue
-        cur.append(ch)
-        i += 1
-    out.append("".join(cur))
-    return out
-
-
-def _first_atom(alt: str) -> tuple[str, str] | None:
-    """(first atom, rest) when the alternative starts with a plain character or a
-    class that no quantifier follows; None otherwise."""
-    if not alt or alt[0] in "(|)?*+{.^$":
-        return None
-    if alt[0] == "[":
-        end = alt.find("]", 1)
-        atom = alt[:end + 1]
-    elif alt[0] == "\\":
-        atom = alt[:2]
-    else:
-        atom = alt[0]
-    rest = alt[len(atom):]
-    if rest[:1] in ("?", "*", "+", "{"):
-        return None
-    return atom, rest
-
-
-def factor_alternatives(pattern: str) -> str:
-    """An equivalent pattern (for find-anywhere tests) with the top-level
-    alternatives grouped by their first character: a one-level trie, so a
-    backtracking engine dispatches on one character instead of trying every
-    alternative at every position."""
-    groups: dict[str, list[str]] = {}
-    order: list[str] = []
-    loose: list[str] = []
-    for alt in _top_level_alternatives(pattern):
-        split = _first_atom(alt)
-        if split is None:
-            loose.append(alt)
-            continue
-        atom, rest = split
-        if atom not in groups:
-            groups[atom] = []
-            order.append(atom)
-        groups[atom].append(rest)
-    parts = [f"{a}(?:{'|'.join(groups[a])})" if len(groups[a]) > 1 or groups[a][0] else a
-             for a in order] + loose
-    return "(?:" + "|".join(parts) + ")"
-
-
-ANY_RULE_RE = "[^a-z]" + factor_alternatives("|".join(p for _, p in KIND_RULES))
+# One look decides whether any kind rule can match, so most lines skip the rules.
+ANY_RULE_RE = "[^a-z](?:" + "|".join(p for _, p in KIND_RULES) + ")"
 
 
 def kind_of(text: Column) -> Column:
     """Ordered CASE over the keyword rules.
 
     One combined pattern is tried first, so a line that matches no rule (the
-    common case) costs one regex scan instead of one per rule. Each pattern is
-    used in its first-character-factored form, which matches the same texts.
+    common case) costs one regex scan instead of one per rule.
     """
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     expr = F.lit(FALLBACK_KIND)
     for kind, pattern in reversed(KIND_RULES):
-        expr = F.when(padded.rlike("[^a-z]" + factor_alternatives(pattern)),
+        expr = F.when(padded.rlike(f"[^a-z](?:{pattern})"),
                       F.lit(kind)).otherwise(expr)
     return F.when(~padded.rlike(ANY_RULE_RE), F.lit(FALLBACK_KIND)).otherwise(expr)
 
@@ -215,6 +146,8 @@ EXTRACTOR_MATERIAL = {
     "version": 1,
     "heading": HEADING_RE,
     "qualifier": QUALIFIER_RE,
+    "bullet": BULLET_RE,
+    "trailing": TRAIL_RE,
     "rules": [list(r) for r in KIND_RULES],
     "fallback": FALLBACK_KIND,
     "schema": "criterion_id:string,text:string,kind:string,is_exclusion:boolean",
