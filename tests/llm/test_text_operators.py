@@ -306,6 +306,45 @@ def test_compact_windows_cover_each_subsequence_once():
                 assert sum(left <= i <= m <= j <= right for left, m, right in found) == 1
 
 
+def _longest_similar(a, b, t, similarity):
+    """Tokens of the longest similar ranges between two matches, by trying all of them."""
+    pairs = [(i, j) for i, x in enumerate(b) for j, y in enumerate(a) if x == y]
+    best = 0
+    for i, j in pairs:
+        for m, n in pairs:
+            size = min(m - i, n - j) + 1
+            if size < t or size <= best:
+                continue
+            x, y = set(b[i:m + 1].tolist()), set(a[j:n + 1].tolist())
+            if len(x & y) / len(x | y) >= similarity:
+                best = size
+    return best
+
+
+@pytest.mark.parametrize("length,changed", [
+    (50, [25]), (80, [40]), (88, [44]), (130, [43, 86]), (200, [40, 80, 120, 160]), (60, [10, 50]),
+    (90, [30, 60]), (70, [])])
+@pytest.mark.parametrize("edit", ["change", "insert", "drop"])
+def test_edited_passages_are_verified_as_brute_force_does(length, changed, edit):
+    rng = random.Random(length)
+    one = [f"p{k}" for k in range(length)]
+    two = one[:]
+    for k in sorted(changed, reverse=True):
+        two[k:k + (edit != "insert")] = [] if edit == "drop" else [f"new{k}"]
+    sides = [words(rng, 12, 10**9) for _ in range(4)]
+    text_a, text_b = sides[0] + one + sides[1], sides[2] + two + sides[3]
+    a, b = (passages.tokens(" ".join(w).encode()) for w in (text_a, text_b))
+    anchor = 12
+    got = passages.verified(a, b, [(anchor, anchor)], 46, 0.8)
+    best = _longest_similar(a, b, 46, 0.8)
+    assert max((min(ea - sa, eb - sb) for sa, ea, sb, eb, _ in got), default=0) == best
+    if edit == "change" and (length, len(changed)) in {(50, 1), (80, 1), (88, 1), (130, 2), (200, 4)}:
+        assert best == length - 4
+    for sa, ea, sb, eb, j in got:
+        x, y = set(a[sa:ea].tolist()), set(b[sb:eb].tolist())
+        assert j == len(x & y) / len(x | y) >= 0.8 and min(ea - sa, eb - sb) >= 46
+
+
 def test_passages_empty_table(none):
     assert passages.duplicate_passages(none).count() == 0
 
