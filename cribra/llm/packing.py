@@ -21,12 +21,14 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cribra.llm.common import small_batches, stored, texts
+from cribra.llm.simhash import fingerprint, fingerprint_classes
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
@@ -76,10 +78,11 @@ def pack(pieces: list[tuple], capacity: int) -> list[tuple[int, int, int]]:
 
 def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               source_col: str | None = "source", cluster_col: str | None = None,
-              capacity: int = CAPACITY) -> DataFrame:
+              capacity: int = CAPACITY, near: bool = False) -> DataFrame:
     """``id``, ``piece``, ``start``, ``n_words``, ``source``, ``cluster`` of every piece.
 
-    Without ``cluster_col`` the cluster is the hash of the text's lower-cased words.
+    Without ``cluster_col`` the cluster is the hash of the text's lower-cased words, or
+    with ``near`` the text's SimHash fingerprint.
     """
     small_batches(docs.sparkSession)
     source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
@@ -93,7 +96,9 @@ def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows: list[tuple] = []
             for t, i, s, c in zip(texts(b.column(0)), ids, sources, given, strict=True):
                 words = t.lower().split()
-                if own:
+                if own and near:
+                    c = str(np.uint64(fingerprint(t)).view(np.int64))
+                elif own:
                     c = xxhash.xxh3_128_hexdigest(b" ".join(words))
                 for k, at in enumerate(range(0, len(words), capacity)):
                     rows.append((i, k, at, min(capacity, len(words) - at), s, c))
@@ -109,13 +114,18 @@ def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              source_col: str | None = "source", cluster_col: str | None = None,
-             capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+             capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, near: bool = False) -> DataFrame:
     """One row per piece: ``bin_id``, ``slot``, the id, ``piece``, ``start_word``, ``n_words``, ``residual``.
 
     ``bin_id`` is shard and bin number; ``residual`` is what was left in the bin
-    after the piece. Texts do not shuffle, only the pieces' sizes and keys.
+    after the piece. Texts do not shuffle, only the pieces' sizes and keys. With ``near``
+    and no ``cluster_col`` the SimHash components are the clusters.
     """
-    pieces = stored(pieces_of(docs, id_col, text_col, source_col, cluster_col, capacity))
+    pieces = stored(pieces_of(docs, id_col, text_col, source_col, cluster_col, capacity, near))
+    if near and cluster_col is None:
+        prints = pieces.withColumn("fp", F.col("cluster").cast("long")).drop("cluster")
+        classes = fingerprint_classes(prints, "id").select("fp", F.col("root").cast("string").alias("cluster"))
+        pieces = stored(prints.join(classes, "fp").drop("fp"))
     shards = max(1, -(-pieces.count() // shard_rows))
     kind = docs.schema[id_col].dataType.simpleString()
     # Rows that repeat an id and place spread over shards by their place in the task.

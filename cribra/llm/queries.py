@@ -64,7 +64,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(_table(spark, sf_dir, "documents"))
+    """Near copies (op7's components) and documents of one source never share a bin."""
+    return packing.best_fit(_table(spark, sf_dir, "documents"), near=True)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

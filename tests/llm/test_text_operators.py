@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cribra.llm import decontam, lines, packing, passages, simhash
+from cribra.llm.queries import QUERIES
 
 LONG = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -373,6 +374,29 @@ def test_packing_keeps_every_word_and_no_conflict(docs, rows, shard_rows):
         assert len(ids) == len(set(ids))
 
 
+def test_packing_query_keeps_near_copies_apart(spark, tmp_path):
+    rng = random.Random(8)
+    base, rows = words(rng, 300), []
+    for i in range(12):
+        text = base[:]
+        text[i * 20] = "edited"
+        rows += [(i, " ".join(text), "en", f"s{i}" if i % 3 else None, 1),
+                 (100 + i, " ".join(words(rng, 50)), "en", f"t{i}", 1)]
+    rows.append((50, " ".join(words(rng, 5000)), "en", "long", 1))
+    rows += [rows[0], (None, rows[2][1], None, None, None), (60, None, None, None, None)]
+    spark.createDataFrame(rows, LONG).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op8_best_fit_packing"](spark, str(tmp_path)).collect()
+    placed = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    component = {r.doc_id: r.component_id for r in simhash.simhash_components(placed).collect()}
+    assert len({component[i] for i in range(12)}) < 12
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.bin_id].append(component[r.doc_id])
+    assert all(len(x) == len(set(x)) for x in bins.values())
+    assert any(len(x) > 1 for x in bins.values())
+    assert sum(r.n_words for r in got) == sum(len((r[1] or "").split()) for r in rows)
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     put = packing.pack([(8, "a", 1), (6, "b", 2), (4, "a", 3), (2, "b", 4), (2, "c", 4)], 10)
     # 4 of source a passes the bin of 8 (too full) and joins b; 2 of b goes to a's 8; c avoids cluster 4.
