@@ -146,31 +146,42 @@ def bucket_links(fps: np.ndarray, bits: int = BITS, fan: int = FAN) -> np.ndarra
     if len(fps) < 2:
         return np.empty((0, 2), np.uint64)
     levels, forest = index(fps, fan), Forest(len(fps))
-    # Depth first over chunks of node pairs, so that few pairs wait at a time.
+    step = max(1, CHUNK // (fan * fan))
+    runs: dict[int, tuple[int, np.ndarray]] = {}  # by level: links so far, each node's label or -1
+
+    def linked(level: int) -> np.ndarray:
+        if level not in runs or runs[level][0] != len(forest.links):
+            cut = np.arange(0, len(fps), fan ** level)
+            low, high = (f.reduceat(forest.label, cut) for f in (np.minimum, np.maximum))
+            runs[level] = len(forest.links), np.where(low == high, low, -1)
+        return runs[level][1]
+
+    # Depth first over chunks of node pairs, so that few pairs wait at a time and later
+    # ones can be skipped where all their leaves are in one component already.
     wait = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while wait:
         level, i, j = wait.pop()
-        if len(i) > CHUNK:
-            wait.append((level, i[CHUNK:], j[CHUNK:]))
-            i, j = i[:CHUNK], j[:CHUNK]
+        most = step if level else CHUNK
+        if len(i) > most:
+            wait.append((level, i[most:], j[most:]))
+            i, j = i[:most], j[:most]
+        label = linked(level)
+        apart = (label[i] != label[j]) | (label[i] < 0)
+        i, j = i[apart], j[apart]
         pattern, mask = levels[level]
         near = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j]) <= bits
         i, j = i[near], j[near]
         if not len(i):
             continue
         if level == 0:
-            apart = i != j
-            forest.link(i[apart], j[apart])
+            forest.link(i, j)
             continue
         below = len(levels[level - 1][0])
         kid = np.arange(fan)
-        step = max(1, CHUNK // (fan * fan))
-        for s in range(0, len(i), step):
-            a = (i[s:s + step, None, None] * fan + kid[None, :, None])
-            b = (j[s:s + step, None, None] * fan + kid[None, None, :])
-            a, b = np.broadcast_arrays(a, b)
-            ok = (a < below) & (b < below) & (a <= b)
-            wait.append((level - 1, a[ok], b[ok]))
+        a, b = np.broadcast_arrays(i[:, None, None] * fan + kid[None, :, None],
+                                   j[:, None, None] * fan + kid[None, None, :])
+        ok = (a < below) & (b < below) & (a <= b)
+        wait.append((level - 1, a[ok], b[ok]))
     links = np.array(forest.links, np.int64).reshape(-1, 2)
     return fps[links]
 
@@ -184,7 +195,7 @@ def block_masks(blocks: int, agree: int) -> list[int]:
 
 def _schemes(n: int, bits: int) -> list[list[int]]:
     """Choices of blocks from the coarsest whose buckets are small for ``n`` even rows."""
-    found = [block_masks(bits + a, a) for a in range(1, 5)]
+    found = [block_masks(bits + a, a) for a in range(1, 9)]
     first = next((k for k, m in enumerate(found)
                   if n / 2 ** min(x.bit_count() for x in m) <= BUCKET_ROWS / 8), len(found) - 1)
     return found[first:]

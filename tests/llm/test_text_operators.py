@@ -273,6 +273,21 @@ def test_simhash_empty_table(none):
     assert simhash.simhash_components(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_linked_node_pairs_are_not_searched_again(monkeypatch):
+    import numpy as np
+    rng, tried = random.Random(12), []
+    base = [rng.getrandbits(64) for _ in range(3)]
+    family = {base[0] ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a)} | {base[0]}
+    fps = np.array([*family, *base[1:], base[1] ^ 3], np.uint64)
+    link = simhash.Forest.link
+    monkeypatch.setattr(simhash.Forest, "link", lambda self, a, b: (tried.append(len(a)), link(self, a, b))[1])
+    monkeypatch.setattr(simhash, "CHUNK", 1 << 12)
+    links = simhash.bucket_links(fps)
+    # Every pair of the family is within 4 bits: one component, and one of the two others.
+    assert len(links) == len(family) - 1 + 1
+    assert sum(tried) < len(family) ** 2 / 8
+
+
 # passages
 
 def test_shared_passages_are_found_and_others_are_not(docs, rows):
