@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cribra.llm import (decontam, lines, neighbours, packing, passages, quality, secrets, simhash,
-                        toxicity, warc)
+from cribra.llm import (decontam, licenses, lines, merkle, neighbours, packing, passages, prefixes,
+                        quality, secrets, simhash, toxicity, warc)
 from cribra.session import checkpoint_dir
 
 
@@ -79,6 +79,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, path).drop("verified")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of ``documents``; where the id's crc32 is even, a text loses its newlines later."""
+    cut = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0,
+                 F.translate("text", "\n", "")).otherwise(F.col("text"))
+    now = merkle.record_digest(*[cut if f == "text" else F.col(f) for f in merkle.FIELDS])
+    return merkle.verify(_table(spark, sf_dir, "documents"), now)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return prefixes.trie(prefixes.rebuilt(prefixes.sequences(turns)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,4 +105,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_toxicity, op3_secret_scan, op4_nearest_neighbours,
     op5_substring_dedup, op6_line_dedup, op7_simhash, op8_best_fit_packing, op9_quality,
-    op10_warc, pipeline)}
+    op10_warc, op11_license_scan, op12_merkle_manifest, op13_prefix_trie, pipeline)}
