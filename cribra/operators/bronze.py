@@ -79,7 +79,7 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str])
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
                  order_cols: Sequence[str] = (), stamp_col: str | None = None,
-                 strategy: str = "keyed") -> DataFrame:
+                 strategy: str = "keyed", unique: bool = False, small: bool = False) -> DataFrame:
     """MERGE by key: matched rows take every source column, new keys are inserted.
 
     The source is deduplicated first (last by ``order_cols`` wins), so a key
@@ -95,20 +95,22 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     target is scanned and written without being shuffled; a large batch falls
     back to sort-merge joins. ``strategy="full_outer"`` is one full outer join
     instead, the cheaper form when the batch is about as large as the target
-    (a full pass). Both give the same rows.
+    (a full pass). Both give the same rows. ``unique`` says that the source has
+    one row per key, ``small`` that the caller has counted it and its keys may
+    be broadcast.
     """
     if not order_cols:
         # No arrival order: the largest row of a key wins, so none is inserted twice.
         order_cols = [c for c in source.columns if c not in keys]
+    src = source if unique else dedupe_latest(source, keys, order_cols)
     if strategy == "full_outer":
-        return _merge_full_outer(target, source, keys, order_cols, stamp_col)
+        return _merge_full_outer(target, src, keys, stamp_col)
     if strategy != "keyed":
         raise ValueError("strategy must be 'keyed' or 'full_outer'")
     value_cols = [c for c in target.columns if c not in keys and c != ACTION_COL]
-    src = dedupe_latest(source, keys, order_cols)
     src_cols = [c for c in value_cols if c in src.columns]
     src = src.select(*keys, *src_cols)
-    src_keys = src.select(*keys)
+    src_keys = F.broadcast(src.select(*keys)) if small else src.select(*keys)
     tgt = target.select(*keys, *value_cols)
 
     kept = tgt.join(src_keys, list(keys), "left_anti").withColumn(ACTION_COL, F.lit("keep"))
@@ -128,10 +130,9 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     return kept.unionByName(written)
 
 
-def _merge_full_outer(target: DataFrame, source: DataFrame, keys: Sequence[str],
-                      order_cols: Sequence[str], stamp_col: str | None) -> DataFrame:
+def _merge_full_outer(target: DataFrame, src: DataFrame, keys: Sequence[str],
+                      stamp_col: str | None) -> DataFrame:
     value_cols = [c for c in target.columns if c not in keys and c != ACTION_COL]
-    src = dedupe_latest(source, keys, order_cols)
     src_cols = [c for c in value_cols if c in src.columns]
     t = target.select(*keys, *value_cols).withColumn("_in_t", F.lit(True)).alias("t")
     s = src.select(*keys, *src_cols).withColumn("_in_s", F.lit(True)).alias("s")

@@ -21,9 +21,11 @@ from cribra.functions.text import has_text
 # the qualifier a heading may carry ("Key Exclusion Criteria:"),
 # a leading bullet, and the whitespace trimmed around a criterion.
 HEADING_RE = r"(?i)(inclusion|exclusion)( criteria)?[ \t]*:"
+HEADING_STEM = "clusion"
 QUALIFIER_RE = r"(?i)(key|main|major|additional|general)[ \t]*\z"
 BULLET_RE = r"^[ \t\r\f]*(([-*•]|[0-9]{1,2}[.)])[ \t\r\f]+)?"
 TRAIL_RE = r"[ \t\r\f]+$"
+_TRAIL = " \t\r\f"    # the characters of TRAIL_RE, for a trim without a pattern
 
 # Ours: kind rules in priority order, first match wins, ``other`` last.
 # Each alternative must start a word (the text is lower-cased and padded with a
@@ -52,8 +54,60 @@ KIND_RULES = (
 FALLBACK_KIND = "other"
 
 
-# One look decides whether any kind rule can match, so most lines skip the rules.
-ANY_RULE_RE = "[^a-z](?:" + "|".join(p for _, p in KIND_RULES) + ")"
+FAN = 5    # letters that one group of the trie compares in turn
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern, cut at the bars outside brackets."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(pattern):
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and depth == 0:
+            out.append(pattern[start:i])
+            start = i + 1
+    return [*out, pattern[start:]]
+
+
+def _spelled(option: str) -> list[str]:
+    """An option that begins with a choice, "(a|b) c", as one option for each: "a c", "b c"."""
+    end = option.find(")")
+    if not option.startswith("(") or "(" in option[1:end] or option[end + 1:end + 2] in ("?", "*", "+", "{"):
+        return [option]
+    return [a + option[end + 1:] for a in alternatives(option[1:end])]
+
+
+def stem_trie(options: list[str]) -> str:
+    """One pattern that is found where any of ``options`` is, with common beginnings written once.
+
+    A word is compared with one branch for each first letter instead of with every
+    option. A letter before a quantifier, and anything but a letter, stays as it is; an
+    option that ends inside another makes the longer one needless.
+    """
+    branches: dict[str, list[str]] = {}
+    other: list[str] = []
+    for o in (x for o in options for x in _spelled(o)):
+        if o[:1].isalpha() and o[1:2] not in ("?", "*", "+", "{"):
+            branches.setdefault(o[0], []).append(o[1:])
+        elif o not in other:
+            other.append(o)
+    tails = {letter: letter + ("" if "" in rest else stem_trie(rest)) for letter, rest in branches.items()}
+    if len(tails) <= FAN:
+        other += tails.values()
+    else:
+        # One look ahead spares a word the branches of all other letters.
+        order = sorted(tails)
+        for k in range(0, len(order), FAN):
+            few = order[k:k + FAN]
+            other.append(f"(?=[{''.join(few)}])(?:{'|'.join(tails[c] for c in few)})")
+    return other[0] if len(other) == 1 and len(alternatives(other[0])) == 1 else "(?:" + "|".join(other) + ")"
+
+
+def _word_start(pattern: str) -> str:
+    return "[^a-z]" + stem_trie(alternatives(pattern))
+
+
+# One look at each word decides whether any kind rule can match, so most lines skip the rules.
+ANY_RULE_RE = _word_start("|".join(p for _, p in KIND_RULES))
 
 
 def kind_of(text: Column) -> Column:
@@ -65,13 +119,12 @@ def kind_of(text: Column) -> Column:
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     expr = F.lit(FALLBACK_KIND)
     for kind, pattern in reversed(KIND_RULES):
-        expr = F.when(padded.rlike(f"[^a-z](?:{pattern})"),
-                      F.lit(kind)).otherwise(expr)
+        expr = F.when(padded.rlike(_word_start(pattern)), F.lit(kind)).otherwise(expr)
     return F.when(~padded.rlike(ANY_RULE_RE), F.lit(FALLBACK_KIND)).otherwise(expr)
 
 
 def clean_line(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(line, BULLET_RE, ""), TRAIL_RE, "")
+    return F.rtrim(F.regexp_replace(line, BULLET_RE, ""), F.lit(_TRAIL))
 
 
 def criteria_items(text: Column, clean: bool = True) -> Column:
@@ -81,8 +134,11 @@ def criteria_items(text: Column, clean: bool = True) -> Column:
     inclusion. Headings may sit inside a line. With ``clean=False`` the lines
     are returned as found (callers that explode first clean them in codegen).
     """
-    sections = F.split(text, HEADING_RE, -1)
-    heads = F.regexp_extract_all(text, F.lit(HEADING_RE), 1)
+    # The headings' common letters are sought first: most prose has none, and no
+    # pattern needs to run over it.
+    headed = F.contains(F.lower(text), F.lit(HEADING_STEM))
+    sections = F.when(headed, F.split(text, HEADING_RE, -1)).otherwise(F.array(text))
+    heads = F.when(headed, F.regexp_extract_all(text, F.lit(HEADING_RE), 1))
 
     def per_section(chunk: Column, k: Column) -> Column:
         exclusion = F.when(

@@ -3,9 +3,9 @@
 Row-level MERGE / DELETE are not available on plain parquet, so state is kept
 append-only and read as views:
 
-* ``bronze/v=NNNNNNNN`` - immutable snapshots; a run writes the next version,
-  the current one is the highest version with a success marker. A path being
-  read is never overwritten; ``vacuum_bronze`` drops old versions.
+* ``bronze`` - a keyed table in hash buckets (``sources.keyed``): a merge writes
+  the buckets its batch touches and the change rows, and publishes a version;
+  ``vacuum_bronze`` drops old versions.
 * ``runs`` - the run ledger, one appended row at start and one at finish.
 * ``attempts/signature=S/batch=B`` - the extraction log; a rerun batch
   replaces its own folder. Silver and the failure counters are views over it.
@@ -14,6 +14,7 @@ append-only and read as views:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cribra.functions.text import is_throttled
 from cribra.schemas import ATTEMPTS_SCHEMA, BRONZE_SCHEMA, RUNS_SCHEMA
+from cribra.sources import keyed as K
 
 
 def _fs(spark: SparkSession, path: str):  # noqa: ANN202 - JVM objects
@@ -43,7 +45,9 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Warehouse:
+    """``buckets``: of Bronze, fixed when it is first written. About the table's size over 128 MB."""
     root: str
+    buckets: int = 16
 
     @property
     def bronze(self) -> str:
@@ -70,50 +74,45 @@ def ensure_tables(spark: SparkSession, wh: Warehouse) -> None:
     """Idempotent setup: empty tables with their schemas where none exist yet."""
     if not path_exists(spark, wh.runs):
         spark.createDataFrame([], RUNS_SCHEMA).write.mode("append").parquet(wh.runs)
-    if not bronze_versions(spark, wh):
-        spark.createDataFrame([], BRONZE_SCHEMA).write.parquet(f"{wh.bronze}/v=00000000")
+    K.create(spark, bronze_table(wh))
     if not path_exists(spark, wh.attempts):
         spark.createDataFrame([], ATTEMPTS_SCHEMA).write.partitionBy(
             "signature", "run").parquet(wh.attempts)
 
 
+def bronze_table(wh: Warehouse) -> K.KeyedTable:
+    return K.KeyedTable(wh.bronze, BRONZE_SCHEMA, "nct_id", wh.buckets, stamp="ingested_at")
+
+
 def bronze_versions(spark: SparkSession, wh: Warehouse) -> list[int]:
-    out = []
-    for name in list_dirs(spark, wh.bronze):
-        if name.startswith("v=") and path_exists(spark, f"{wh.bronze}/{name}/_SUCCESS"):
-            out.append(int(name[2:]))
-    return sorted(out)
+    return K.versions(spark, bronze_table(wh))
+
+
+def read_bronze(spark: SparkSession, wh: Warehouse, version: int | None = None) -> DataFrame:
+    return K.read(spark, bronze_table(wh), version)
+
+
+def read_study(spark: SparkSession, wh: Warehouse, nct_id: str) -> DataFrame:
+    """One study: the files of its bucket, sorted by id, are all that is opened."""
+    return K.read_key(spark, bronze_table(wh), nct_id)
 
 
-def read_bronze(spark: SparkSession, wh: Warehouse) -> DataFrame:
-    versions = bronze_versions(spark, wh)
-    if not versions:
-        return spark.createDataFrame([], BRONZE_SCHEMA)
-    return spark.read.schema(BRONZE_SCHEMA).parquet(f"{wh.bronze}/v={versions[-1]:08d}")
+def merge_bronze(spark: SparkSession, wh: Warehouse, source: DataFrame, order_cols: Sequence[str]) -> K.Commit:
+    """Merge studies into Bronze: the next version and its change rows, safe beside other writers."""
+    return K.merge(spark, bronze_table(wh), source, order_cols)
 
 
-def write_bronze_version(spark: SparkSession, wh: Warehouse, df: DataFrame) -> int:
-    """Write the next snapshot; readers of the previous one are unaffected."""
-    versions = bronze_versions(spark, wh)
-    nxt = (versions[-1] + 1) if versions else 0
-    df.select(*[F.col(f.name).cast(f.dataType) for f in BRONZE_SCHEMA.fields]).write.mode(
-        "overwrite").parquet(f"{wh.bronze}/v={nxt:08d}")
-    return nxt
+def bronze_changes(spark: SparkSession, wh: Warehouse, after: int, upto: int | None = None,
+                   net: bool = True) -> DataFrame:
+    """Changes between two versions of Bronze from the change rows, not from the versions."""
+    rows = K.changes(spark, bronze_table(wh), after, upto)
+    return K.net_changes(rows, "nct_id", bronze_table(wh).values) if net else rows
 
 
 def vacuum_bronze(spark: SparkSession, wh: Warehouse, keep: int = 2) -> list[int]:
-    """Delete all but the newest ``keep`` finished Bronze snapshots; returns the
-    removed version numbers. Call it when no reader holds an older version.
-    Unfinished version folders (no success marker) newer than the current one
-    are left alone: a writer may still be producing them."""
-    if keep < 1:
-        raise ValueError("keep at least one snapshot")
-    versions = bronze_versions(spark, wh)
-    doomed = versions[:-keep]
-    for v in doomed:
-        fs, p = _fs(spark, f"{wh.bronze}/v={v:08d}")
-        fs.delete(p, True)
-    return doomed
+    """Drop all but the newest ``keep`` versions of Bronze; returns the removed version numbers.
+    Call it when no reader holds an older version."""
+    return K.vacuum(spark, bronze_table(wh), keep)
 
 
 def read_runs(spark: SparkSession, wh: Warehouse) -> DataFrame:

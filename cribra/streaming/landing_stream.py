@@ -1,7 +1,7 @@
 """Incremental landing into Bronze as a file-source stream.
 
 New landing folders are picked up by Structured Streaming; each micro-batch is
-merged into a new Bronze snapshot inside ``foreachBatch``. The stream's
+merged into Bronze inside ``foreachBatch``, which rewrites the buckets it touches. The stream's
 checkpoint makes a restart resume after the last committed micro-batch, and
 ``availableNow`` processes what is there and stops (a scheduled run).
 """
@@ -47,12 +47,8 @@ def landing_to_bronze(spark: SparkSession, wh: Warehouse, landing_root: str,
     def merge_batch(batch: DataFrame, epoch: int) -> None:
         source = batch.select(
             "nct_id", F.col("last_update_posted").try_cast("date").alias("last_update_posted"),
-            "raw", F.lit(None).cast("timestamp").alias("ingested_at"),
-            *B.columns_of_raw(), *[c for c in ARRIVAL if c != "raw"])
-        source = B.drop_missing_ids(source)
-        current = TB.read_bronze(spark, wh)
-        merged = B.merge_upsert(current, source, ["nct_id"], ARRIVAL, stamp_col="ingested_at")
-        TB.write_bronze_version(spark, wh, merged.drop(B.ACTION_COL))
+            "raw", *B.columns_of_raw(), *[c for c in ARRIVAL if c != "raw"])
+        TB.merge_bronze(spark, wh, B.drop_missing_ids(source), ARRIVAL)
 
     writer = stream.writeStream.foreachBatch(merge_batch).option(
         "checkpointLocation", checkpoint or f"{wh.checkpoints}/landing_to_bronze")

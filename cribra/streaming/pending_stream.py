@@ -1,8 +1,10 @@
-"""Newly landed studies flow straight into extraction.
+"""Changes of Bronze flow into extraction.
 
-Each micro-batch of landed studies becomes pending work (anti joins against
-the attempt log under the signature), is extracted by the caller's extractor
-in tasks that follow its number of trials, and is committed as one batch of the attempt log.
+The stream reads Bronze's commit files in version order; each micro-batch takes the
+change rows of its versions. Only studies that a change inserted or altered become
+pending work (anti joins against the attempt log under the signature), are extracted
+by the caller's extractor in tasks that follow their number, and are committed as one
+batch of the attempt log. A study that lands again unchanged has no change row.
 """
 
 from __future__ import annotations
@@ -13,23 +15,30 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cribra.operators import extract as E
 from cribra.operators import pending as PD
-from cribra.operators.bronze import dedupe_latest
-from cribra.schemas import ELIGIBILITY_JSON_PATH
+from cribra.sources import keyed as K
 from cribra.sources import tables as TB
 from cribra.sources.tables import Warehouse
-from cribra.streaming.landing_stream import ARRIVAL, landed_lines
+from cribra.streaming.landing_stream import landing_to_bronze
 
 
-def landed_to_attempts(spark: SparkSession, wh: Warehouse, landing_root: str,
-                       extractor: E.Extractor, signature: str, workers: int = 1,
-                       checkpoint: str | None = None) -> StreamingQuery:
+def latest_images(rows: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """The newest state of every key that change rows leave in place, with ``columns``."""
+    last = rows.where(F.col("change_type") != "update_preimage").groupBy(key).agg(
+        F.max_by(F.struct("change_type", *columns), "version").alias("_c"))
+    return last.where(F.col("_c.change_type") != "delete").select(key, *[f"_c.{c}" for c in columns])
+
+
+def changes_to_attempts(spark: SparkSession, wh: Warehouse, extractor: E.Extractor, signature: str,
+                        workers: int = 1, checkpoint: str | None = None) -> StreamingQuery:
     TB.ensure_tables(spark, wh)
-    stream = landed_lines(spark.readStream, landing_root)
+    table = TB.bronze_table(wh)
+    commits = (spark.readStream.schema(K.COMMIT_SCHEMA).option("maxFilesPerTrigger", 1000)
+               .json(table.commits))
 
     def extract_batch(batch: DataFrame, epoch: int) -> None:
-        latest = dedupe_latest(batch.where(F.col("nct_id").isNotNull()), ["nct_id"], ARRIVAL)
-        studies = latest.select(
-            "nct_id", F.get_json_object("raw", ELIGIBILITY_JSON_PATH).alias("eligibility"))
+        # One row per commit file, at most maxFilesPerTrigger.
+        found = [(r.version, r.write, r.inserts) for r in batch.orderBy("version").collect()]
+        studies = latest_images(K.changes_of(spark, table, found), "nct_id", ("eligibility",))
         attempts = TB.read_attempts(spark, wh)
         todo = PD.pending_trials(studies, TB.done_view(attempts), TB.failures_view(attempts),
                                  signature)
@@ -42,6 +51,14 @@ def landed_to_attempts(spark: SparkSession, wh: Warehouse, landing_root: str,
             F.substring("error", 1, 500).alias("error"), F.current_timestamp().alias("at")), wh, name)
         todo.unpersist()
 
-    return (stream.writeStream.foreachBatch(extract_batch)
-            .option("checkpointLocation", checkpoint or f"{wh.checkpoints}/landed_to_attempts")
+    return (commits.writeStream.foreachBatch(extract_batch)
+            .option("checkpointLocation", checkpoint or f"{wh.checkpoints}/changes_to_attempts")
             .trigger(availableNow=True).start())
+
+
+def landed_to_attempts(spark: SparkSession, wh: Warehouse, landing_root: str,
+                       extractor: E.Extractor, signature: str, workers: int = 1,
+                       checkpoint: str | None = None) -> StreamingQuery:
+    """Landed studies into Bronze, and what that changed there into extraction."""
+    landing_to_bronze(spark, wh, landing_root).awaitTermination()
+    return changes_to_attempts(spark, wh, extractor, signature, workers, checkpoint)
