@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cribra.operators import bronze as B
+from cribra.operators import tallies as TL
 from cribra.session import checkpoint_dir
 
 #: A batch of up to so many rows is broadcast by its keys, so the table's side of the merge
@@ -287,3 +288,39 @@ def vacuum(spark: SparkSession, table: KeyedTable, keep: int = 2) -> list[int]:
             remove(f"{table.root}/changes/write={old.write}")
         remove(f"{table.commits}/{version:08d}.json")
     return known[:-keep]
+
+
+# ---- tallies kept up beside the table ---------------------------------------
+
+TALLIES_SCHEMA = "field string, value string, n long"
+
+
+def tallies_version(spark: SparkSession, table: KeyedTable) -> int | None:
+    fs, p = _fs(spark, f"{table.root}/tallies")
+    if not fs.exists(p):
+        return None
+    done = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("v=")]
+    known = [int(d.getName()[2:]) for d in done if fs.exists(_fs(spark, f"{d}/_SUCCESS")[1])]
+    return max(known, default=None)
+
+
+def read_tallies(spark: SparkSession, table: KeyedTable, version: int | None = None) -> DataFrame:
+    """The stored tallies of a version, the newest by default; none before the first refresh."""
+    version = tallies_version(spark, table) if version is None else version
+    if version is None:
+        return spark.createDataFrame([], TALLIES_SCHEMA)
+    return spark.read.schema(TALLIES_SCHEMA).parquet(f"{table.root}/tallies/v={version:08d}")
+
+
+def refresh_tallies(spark: SparkSession, table: KeyedTable, fields: Sequence[TL.Field]) -> DataFrame:
+    """Tallies of the newest version, from the stored ones and the change rows since.
+
+    The fields are fixed with the first refresh. Reads one row per distinct value and the
+    changes; the table is read only where a version's changes are its first data.
+    """
+    head, have = commit_of(spark, table).version, tallies_version(spark, table)
+    if head >= 0 and have != head:
+        delta = TL.signed(changes(spark, table, -1 if have is None else have, head), fields)
+        new = TL.add(read_tallies(spark, table, have), delta)
+        new.write.mode("errorifexists").parquet(f"{table.root}/tallies/v={head:08d}")
+    return read_tallies(spark, table)

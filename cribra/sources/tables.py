@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cribra.functions.text import is_throttled
 from cribra.schemas import ATTEMPTS_SCHEMA, BRONZE_SCHEMA, RUNS_SCHEMA
+from cribra.operators import tallies as TL
 from cribra.sources import keyed as K
 
 
@@ -109,6 +110,18 @@ def bronze_changes(spark: SparkSession, wh: Warehouse, after: int, upto: int | N
     return K.net_changes(rows, "nct_id", bronze_table(wh).values) if net else rows
 
 
+#: Statistics of Bronze that follow its changes.
+BRONZE_FIELDS = (
+    TL.Field("last_update_posted", "last_update_posted"), TL.Field("overall_status", "overall_status"),
+    TL.Field("study_type", "study_type"), TL.Field("ancestor_terms", "ancestors.term", "list"),
+    TL.Field("ancestors", "ancestors", "size"), TL.Field("bytes", "raw", "bytes"))
+
+
+def bronze_tallies(spark: SparkSession, wh: Warehouse) -> DataFrame:
+    """Tallies of the newest Bronze, brought up to date from the changes since they were stored."""
+    return K.refresh_tallies(spark, bronze_table(wh), BRONZE_FIELDS)
+
+
 def vacuum_bronze(spark: SparkSession, wh: Warehouse, keep: int = 2) -> list[int]:
     """Drop all but the newest ``keep`` versions of Bronze; returns the removed version numbers.
     Call it when no reader holds an older version."""
