@@ -18,13 +18,14 @@ def is_valid_nct(col: Column | str) -> Column:
 
 
 def canonical_nct(col: Column | str) -> Column:
-    """Normalise case, spaces and leading zeros: ``nct42`` -> ``NCT00000042``.
+    """Normalise case, spaces and leading zeros: ``nct42`` -> ``NCT00000042``; more than eight
+    digits stay as many.
 
     Text that is not NCT plus digits has no canonical form (NULL).
     """
     c = F.upper(F.trim(_c(col)))
-    digits = F.regexp_extract(c, r"^NCT0*([0-9]{1,8})$", 1)
-    return F.when(digits != "", F.concat(F.lit("NCT"), F.lpad(digits, 8, "0")))
+    digits = F.regexp_extract(c, r"^NCT0*([0-9]+)$", 1)
+    return F.when(digits != "", F.concat(F.lit("NCT"), padded(digits, 8)))
 
 
 def nct_from_number(col: Column | str) -> Column:

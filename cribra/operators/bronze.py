@@ -234,14 +234,17 @@ def finish_run(started: DataFrame, bronze: DataFrame, written: int, complete: bo
     The watermark is ``max(last_update_posted)`` over Bronze, computed as a
     scalar subquery (a distributed aggregate, one value back).
     """
-    wm = bronze.select(F.max(date_col)).scalar() if complete else F.lit(None).cast("date")
+    newest = bronze.select(F.max(date_col)).scalar() if complete else F.lit(None).cast("date")
+    return finish_rows(started, F.current_timestamp(), F.lit(int(written)), F.lit(bool(complete)), newest)
+
+
+def finish_rows(started: DataFrame, finished_at: Column, written: Column, complete: Column,
+                newest: Column) -> DataFrame:
+    """Ledger rows of finished runs: ``newest`` is the watermark of those that are complete."""
     return started.select(
-        "run_id", "mode", "started_at",
-        F.current_timestamp().alias("finished_at"),
-        F.lit(int(written)).cast("long").alias("studies_written"),
-        wm.alias("watermark"),
-        F.lit(bool(complete)).alias("complete"),
-    )
+        "run_id", "mode", "started_at", finished_at.alias("finished_at"),
+        written.cast("long").alias("studies_written"), F.when(complete, newest).alias("watermark"),
+        complete.alias("complete"))
 
 
 def ledger_latest(runs: DataFrame) -> DataFrame:

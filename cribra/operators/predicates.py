@@ -96,7 +96,7 @@ def filter_ids(df: DataFrame, id_col: str, aliases_col: str | None,
 
 def _py_canonical(text: str) -> str | None:
     import re
-    m = re.fullmatch(r"NCT0*([0-9]{1,8})", text.strip().upper())
+    m = re.fullmatch(r"NCT0*([0-9]+)", text.strip().upper())
     return f"NCT{int(m.group(1)):08d}" if m else None
 
 

@@ -136,6 +136,19 @@ def silver_stats(silver: DataFrame, failures: DataFrame, bronze: DataFrame, sign
     )
 
 
+def run_result(counters: DataFrame, stats: DataFrame, signature: str) -> DataFrame:
+    """One row: a run's counters with what remains, and whether throttling ended it.
+
+    ``counters`` is ``run_counters``, ``stats`` is ``silver_stats``: the criteria under the
+    signature, and the trials still to do. Each is one row.
+    """
+    one = counters.crossJoin(F.broadcast(stats.select("criteria", (F.col("total") - F.col("trials")).alias("remaining"))))
+    return one.select(
+        F.lit(signature).alias("signature"), F.col("succeeded").alias("trials_written"),
+        F.col("criteria").alias("criteria_written"), "succeeded", "failed", "rate_limited", "remaining",
+        ((F.col("remaining") > 0) & (F.col("rate_limited") > 0) & (F.col("failed") > 0)).alias("quota_exhausted"))
+
+
 def progress_percent(done: Column, total: Column) -> Column:
     """100 * done / total with one decimal; a total of 0 counts as 1."""
     return F.round(done.cast("double") * 100.0 / F.greatest(total, F.lit(1)).cast("double"), 1)

@@ -7,10 +7,12 @@ DuckDB twins in ``cribra.plans.oracles``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cribra.functions import dates as D
 from cribra.functions.ids import is_valid_nct, nct_from_number, padded
@@ -23,7 +25,11 @@ from cribra.operators import pending as PD
 from cribra.operators import predicates as P
 from cribra.operators import rules, silver
 from cribra.operators import stats as ST
+from cribra.operators import tallies as TL
+from cribra.plans.runs import status_of
 from cribra.schemas import ELIGIBILITY_JSON_PATH
+from cribra.session import checkpoint_dir
+from cribra.sources import keyed as K
 from cribra.sources import pages as PG
 from cribra.sources import standins as S
 
@@ -126,6 +132,66 @@ def q_bronze_change_feed(spark: SparkSession, d: str) -> DataFrame:
     return B.change_feed(_bronze_first(spark, d), _merged(spark, d), ["nct_id"], cols)
 
 
+# ---- Bronze as a keyed table: three landings, merged by three runs --------------
+
+MERGE_SCHEMA = T.StructType([T.StructField("nct_id", T.StringType()), T.StructField("last_update_posted", T.DateType()),
+                             T.StructField("raw", T.StringType()), T.StructField("status", T.StringType())])
+MERGE_SPLIT = "2024-01-24 00:00:00"    # the second landing is merged in two parts
+MERGE_FIELDS = (TL.Field("status", "status"), TL.Field("last_update_posted", "last_update_posted"),
+                TL.Field("bytes", "raw", "bytes"))
+
+
+def _new_table(spark: SparkSession, schema: T.StructType, buckets: int = 8) -> K.KeyedTable:
+    root = f"{checkpoint_dir(spark).rstrip('/')}/keyed-{uuid.uuid4().hex}"
+    return K.KeyedTable(root, schema, "nct_id", buckets)
+
+
+def _three_merges(spark: SparkSession, d: str) -> K.KeyedTable:
+    table = _new_table(spark, MERGE_SCHEMA)
+    second, late = S.landing_second(spark, d), F.col("ts") >= F.lit(MERGE_SPLIT).cast("timestamp_ntz")
+    for landing in (S.landing_first(spark, d), second.where(~late), second.where(late)):
+        K.merge(spark, table, landing, ["seq"])
+    return table
+
+
+@register("bronze_keyed_merge")
+def q_bronze_keyed_merge(spark: SparkSession, d: str) -> DataFrame:
+    return K.read(spark, _three_merges(spark, d))
+
+
+@register("bronze_version_changes")
+def q_bronze_version_changes(spark: SparkSession, d: str) -> DataFrame:
+    table = _three_merges(spark, d)
+    return K.net_changes(K.changes(spark, table, after=1), "nct_id", table.values)
+
+
+@register("bronze_tallies")
+def q_bronze_tallies(spark: SparkSession, d: str) -> DataFrame:
+    """Tallies after each of the three merges, from the changes."""
+    table = _new_table(spark, MERGE_SCHEMA)
+    for landing in (S.landing_first(spark, d), S.landing_second(spark, d)):
+        K.merge(spark, table, landing, ["seq"])
+        out = K.refresh_tallies(spark, table, MERGE_FIELDS)
+    return out
+
+
+@register("bronze_point_read")
+def q_bronze_point_read(spark: SparkSession, d: str) -> DataFrame:
+    """One study of all documents as a keyed table: its bucket's files alone are opened."""
+    docs = S.bronze_docs(spark, d).select("nct_id", "eligibility", "lang", "source")
+    table = _new_table(spark, docs.schema)
+    K.merge(spark, table, docs)
+    return K.read_key(spark, table, POINT_ID)
+
+
+@register("study_problems")
+def q_study_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose bad studies are set aside one by one."""
+    found = PG.single_studies(S.registry_pages(spark, d), keep=("page_no",))
+    return found.select("page_no", F.col("pos").cast("long").alias("pos"),
+                        F.col("study.protocolSection.identificationModule.nctId").alias("nct_id"), "problem")
+
+
 @register("bronze_count")
 def q_bronze_count(spark: SparkSession, d: str) -> DataFrame:
     return B.bronze_count(B.dedupe_latest(S.study_updates(spark, d), ["nct_id"], ["seq"]))
@@ -151,10 +217,7 @@ def q_limited_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @register("study_by_id")
 def q_study_by_id(spark: SparkSession, d: str) -> DataFrame:
-    # The stand-in id is derived from doc_id, so the point read is also stated on
-    # doc_id: that predicate reaches the parquet scan (row-group statistics).
-    docs = S.bronze_docs(spark, d).where(F.col("doc_id") == int(POINT_ID[3:]))
-    return B.fetch_study(docs, POINT_ID).select("nct_id", "eligibility", "lang", "source")
+    return B.fetch_study(S.bronze_docs(spark, d), POINT_ID).select("nct_id", "eligibility", "lang", "source")
 
 
 @register("json_path_value")
@@ -328,40 +391,17 @@ def q_silver_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @register("run_result")
 def q_run_result(spark: SparkSession, d: str) -> DataFrame:
-    log = S.attempt_log(spark, d)
-    err = F.col("error")
-    counters = log.agg(
-        F.count_if(err.isNull()).alias("trials_written"),
-        F.count_if(err.isNull()).alias("succeeded"),
-        F.count_if(err.isNotNull()).alias("failed"),
-        F.count_if(err.isNotNull() & is_throttled(err)).alias("rate_limited"),
-    )
     # Criteria written by the run = the Silver rows under its signature.
-    st = ST.materialize(silver.silver_stats(S.silver_table(spark, d), S.failures_cleared(spark, d),
-                                            S.bronze_docs(spark, d), S.CURRENT_SIGNATURE))
-    written = st.select("criteria").scalar()
-    remaining = st.select((F.col("total") - F.col("trials")).alias("r")).scalar()
-    return counters.select(
-        F.lit(S.CURRENT_SIGNATURE).alias("signature"),
-        "trials_written", written.alias("criteria_written"), "succeeded", "failed", "rate_limited",
-        remaining.alias("remaining"),
-        ((remaining > 0) & (F.col("rate_limited") > 0) & (F.col("failed") > 0)).alias("quota_exhausted"),
-    )
+    st = silver.silver_stats(S.silver_table(spark, d), S.failures_cleared(spark, d),
+                             S.bronze_docs(spark, d), S.CURRENT_SIGNATURE)
+    return silver.run_result(silver.run_counters(S.attempt_log(spark, d)), st, S.CURRENT_SIGNATURE)
 
 
 @register("status")
 def q_status(spark: SparkSession, d: str) -> DataFrame:
-    st = silver.silver_stats(S.silver_table(spark, d), S.failures_cleared(spark, d),
-                             S.bronze_docs(spark, d), S.CURRENT_SIGNATURE)
-    bronze_rows = B.bronze_count(S.bronze_docs(spark, d)).select("bronze_rows").scalar()
-    newest = B.bronze_max_update(B.dedupe_latest(S.study_updates(spark, d), ["nct_id"], ["seq"])
-                                 ).select("max_update").scalar()
-    resume = B.safe_watermark(S.runs_ledger(spark, d)).select("watermark").scalar()
-    return st.select(
-        bronze_rows.alias("bronze_rows"), newest.alias("newest_update"), resume.alias("resume_point"),
-        "trials", "total", "criteria", "failed",
-        silver.progress_percent(F.col("trials"), F.col("total")).alias("percent"),
-    )
+    return status_of(B.dedupe_latest(S.study_updates(spark, d), ["nct_id"], ["seq"]), S.bronze_docs(spark, d),
+                     S.silver_table(spark, d), S.failures_cleared(spark, d), S.runs_ledger(spark, d),
+                     S.CURRENT_SIGNATURE).drop("signature")
 
 
 @register("throttle_stop")

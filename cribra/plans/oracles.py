@@ -293,9 +293,10 @@ def _minutes(t: str) -> str:
 
 
 def _canon(t: str) -> str:
-    r = _q("^NCT0*([0-9]{1,8})$")
+    r = _q("^NCT0*([0-9]+)$")
+    digits = f"regexp_extract(upper(trim({t})), {r}, 1)"
     return (f"(CASE WHEN regexp_matches(upper(trim({t})), {r}) THEN 'NCT' || "
-            f"lpad(regexp_extract(upper(trim({t})), {r}, 1), 8, '0') END)")
+            f"lpad({digits}, CAST(greatest(8, length({digits})) AS INTEGER), '0') END)")
 
 
 def _top(counts: str, value: str, count: str) -> str:
@@ -352,6 +353,24 @@ UNION ALL SELECT b.nct_id, b.last_update_posted, b.raw, b.status, 'update_preima
 UNION ALL SELECT a.nct_id, a.last_update_posted, a.raw, a.status, 'update_postimage'
   FROM first b JOIN merged a ON a.nct_id = b.nct_id WHERE {_DIFF}"""
 
+# The versions before the last two merges and after them are the two sides of the change feed.
+O["bronze_version_changes"] = O["bronze_change_feed"]
+O["bronze_keyed_merge"] = f"""WITH {UPDATES}, {FIRST}, {SECOND}, {MERGED}
+SELECT nct_id, last_update_posted, raw, status FROM merged"""
+O["bronze_tallies"] = f"""WITH {UPDATES}, {FIRST}, {SECOND}, {MERGED}, long AS (
+  SELECT '*' AS field, NULL AS value FROM merged
+  UNION ALL SELECT 'status', status FROM merged
+  UNION ALL SELECT 'last_update_posted', CAST(last_update_posted AS VARCHAR) FROM merged
+  UNION ALL SELECT 'bytes', CAST(strlen(raw) AS VARCHAR) FROM merged)
+SELECT field, value, count(*) AS n FROM long GROUP BY field, value"""
+O["bronze_point_read"] = f"""WITH {BRONZE_DOCS}
+SELECT nct_id, eligibility, lang, source FROM bronze_docs WHERE nct_id = {_q(C.POINT_ID)}"""
+O["study_problems"] = f"""WITH {PAGES}
+SELECT page_no, CAST(row_number() OVER (PARTITION BY page_no ORDER BY doc_id) - 1 AS BIGINT) AS pos,
+       CASE WHEN fault IS NULL THEN nct_id END AS nct_id,
+       CASE fault WHEN 1 THEN 'malformed page or wrong type' WHEN 2 THEN 'unknown enum value'
+                  WHEN 3 THEN 'not a full date' WHEN 4 THEN 'trial id without 11 characters' END AS problem
+FROM faulty"""
 O["bronze_count"] = f"WITH {UPDATES}, {BRONZE_ALL} SELECT count(*) AS bronze_rows FROM bronze_all"
 O["bronze_max_update"] = f"WITH {UPDATES}, {BRONZE_ALL} SELECT max(last_update_posted) AS max_update FROM bronze_all"
 O["bronze_skipped_rows"] = """SELECT count(*) FILTER (WHERE event_type <> 'error') AS kept_rows,

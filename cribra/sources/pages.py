@@ -120,7 +120,12 @@ def parse_pages(pages: DataFrame, text_col: str = "value", keep: Sequence[str] =
 
 def read_page_files(spark: SparkSession, path: str, page_per_line: bool = False,
                     enums: Mapping[str, Sequence[str]] = SCOPE_ENUMS) -> DataFrame:
-    """One row per page: (page_file, parsed page, problem).
+    """One row per page: (page_file, parsed page, problem)."""
+    return parse_pages(page_texts(spark, path, page_per_line), enums=enums)
+
+
+def page_texts(spark: SparkSession, path: str, page_per_line: bool = False) -> DataFrame:
+    """One row per page: (page_file, value).
 
     Pages are one per file by default (read whole); ``page_per_line`` reads
     files of JSON lines with one page per line, ``page_file`` then carrying the
@@ -136,13 +141,38 @@ def read_page_files(spark: SparkSession, path: str, page_per_line: bool = False,
             F.col("_metadata.file_path").alias("_f"),
             F.col("_metadata.file_block_start").alias("_b"), "value")
         checkpoint_dir(spark)
-        text = raw.select(F.format_string("%s#%015d#%019d", "_f", "_b",
+        return raw.select(F.format_string("%s#%015d#%019d", "_f", "_b",
                                           F.monotonically_increasing_id()).alias("page_file"),
                           "value").checkpoint()
-    else:
-        text = spark.read.option("wholetext", True).text(path).select(
-            F.col("_metadata.file_path").alias("page_file"), F.col("value"))
-    return parse_pages(text, enums=enums)
+    return spark.read.option("wholetext", True).text(path).select(
+        F.col("_metadata.file_path").alias("page_file"), F.col("value"))
+
+
+def single_studies(pages: DataFrame, text_col: str = "value", keep: Sequence[str] = ("page_file",),
+                   enums: Mapping[str, Sequence[str]] = SCOPE_ENUMS) -> DataFrame:
+    """Page texts to one row per study: (keep..., pos, study, problem).
+
+    A page's list is read as VARIANT values, which hold any JSON, and each is
+    checked by itself, so a bad study costs its own row and not its page. A page
+    that is no JSON object, has no list, or has unknown fields is one row without
+    a study.
+    """
+    outer = F.from_json(text_col, "studies array<variant>")
+    listed = pages.select(*keep, F.col(text_col).alias("_text"), F.json_object_keys(text_col).alias("_keys"),
+                          F.posexplode_outer(outer["studies"]).alias("pos", "_one"))
+    extra = F.size(F.array_except("_keys", F.array(*[F.lit(k) for k in PAGE_KEYS])))
+    whole = (F.when(F.col("_keys").isNull(), F.lit("malformed page or wrong type"))
+              .when(~F.array_contains("_keys", "studies") | F.col("pos").isNull()
+                    & (F.get_json_object("_text", "$.studies") != "[]"), F.lit("page has no studies"))
+              .when(extra > 0, F.lit("unknown page field")))
+    rows = listed.withColumn("_page", whole).where("pos IS NOT NULL OR _page IS NOT NULL")
+    one = F.concat(F.lit('{"studies":['), F.to_json(F.col("_one")), F.lit("]}"))
+    names = [*keep, "pos", "_page"]
+    checked = parse_pages(rows.select(*names, one.alias("value")), keep=names, enums=enums)
+    return checked.select(
+        *keep, "pos", F.when(F.col("problem").isNull() & F.col("_page").isNull(),
+                             F.get(F.col("page.studies"), F.lit(0))).alias("study"),
+        F.coalesce("_page", "problem").alias("problem"))
 
 
 def read_study_pages(spark: SparkSession, path: str, on_invalid: str = "fail",
@@ -152,8 +182,12 @@ def read_study_pages(spark: SparkSession, path: str, on_invalid: str = "fail",
 
     ``on_invalid="fail"`` (the reference's rule) fails the job on the first bad
     page through ``raise_error`` inside the plan, with no extra pass;
-    ``"quarantine"`` drops bad pages here (see ``rejected_pages``).
+    ``"quarantine"`` drops bad pages here, ``"quarantine_study"`` bad studies
+    only (see ``rejected_pages``).
     """
+    if on_invalid == "quarantine_study":
+        found = single_studies(page_texts(spark, path, page_per_line), enums=enums)
+        return found.where("problem IS NULL").select("page_file", "pos", "study")
     return studies_of(read_page_files(spark, path, page_per_line, enums), on_invalid)
 
 
@@ -171,8 +205,13 @@ def studies_of(pages: DataFrame, on_invalid: str = "fail",
     return pages.select(*keep, F.posexplode("page.studies").alias("pos", "study"))
 
 
-def rejected_pages(spark: SparkSession, path: str, page_per_line: bool = False) -> DataFrame:
-    return (read_page_files(spark, path, page_per_line).where(F.col("problem").isNotNull())
+def rejected_pages(spark: SparkSession, path: str, page_per_line: bool = False,
+                   enums: Mapping[str, Sequence[str]] = SCOPE_ENUMS, by_study: bool = False) -> DataFrame:
+    """What a quarantine set aside and why: pages, or with ``by_study`` single studies (``pos``)."""
+    if by_study:
+        found = single_studies(page_texts(spark, path, page_per_line), enums=enums)
+        return found.where("problem IS NOT NULL").select("page_file", "pos", "problem")
+    return (read_page_files(spark, path, page_per_line, enums).where(F.col("problem").isNotNull())
             .select("page_file", "problem"))
 
 

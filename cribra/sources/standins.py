@@ -194,6 +194,8 @@ def runs_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from pyspark.sql import Window
 
+    from cribra.operators.bronze import finish_rows
+
     u = study_updates(spark, sf_dir)
     days = u.groupBy(F.col("last_update_posted").alias("day")).agg(
         F.min("ts").alias("started_at"),
@@ -206,13 +208,12 @@ def runs_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     upto = Window.orderBy("started_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.orderBy("started_at").rowsBetween(Window.unboundedPreceding, -1)
     prior_complete = F.max(F.when(complete, F.lit(1))).over(before)
-    return days.select(
+    started = days.select(
         F.concat(F.lit("backfill-"), F.date_format("day", "yyyyMMdd")).alias("run_id"),
         F.when(prior_complete == 1, F.lit("incremental")).otherwise(F.lit("full")).alias("mode"),
-        "started_at", "finished_at", "studies_written",
-        F.when(complete, F.max("_max_date").over(upto)).alias("watermark"),
-        complete.alias("complete"),
-    )
+        "started_at", "finished_at", "studies_written", complete.alias("_complete"),
+        F.max("_max_date").over(upto).alias("_newest"))
+    return finish_rows(started, F.col("finished_at"), F.col("studies_written"), F.col("_complete"), F.col("_newest"))
 
 
 # ---- Silver side ------------------------------------------------------------

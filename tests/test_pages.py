@@ -212,3 +212,44 @@ def test_long_numbers_keep_all_their_digits(spark):
     got = spark.createDataFrame([(42,), (10_000_000,), (100_000_000,), (100_000_001,)], "n long").select(
         nct_from_number("n").alias("i")).collect()
     assert [r.i for r in got] == ["NCT00000042", "NCT10000000", "NCT100000000", "NCT100000001"]
+
+
+def test_one_bad_study_costs_one_row(spark, pages_dir, tmp):
+    import os
+
+    from cribra.plans import runs as R
+    from cribra.sources import pages as PG
+    from cribra.sources import tables as TB
+    from cribra.sources.tables import Warehouse
+    many = [study(f"NCT{i:08d}") for i in range(1, 1001)]
+    many[499] = {"protocolSection": 5}
+    many[500] = study("NCT1")
+    path = pages_dir([{"studies": many, "nextPageToken": "t"}, {"studies": []}, '{"studies": 7}', "[1]",
+                      {"studies": [study("NCT00002000")], "odd": 1}])
+    found = PG.single_studies(PG.page_texts(spark, path)).collect()
+    bad = sorted((r.page_file[-9:], -1 if r.pos is None else r.pos, r.problem) for r in found if r.problem)
+    assert bad == [("0000.json", 499, "malformed page or wrong type"), ("0000.json", 500, "trial id without 11 characters"),
+                   ("0002.json", -1, "page has no studies"), ("0003.json", -1, "malformed page or wrong type"),
+                   ("0004.json", 0, "unknown page field")]
+    kept = PG.read_study_pages(spark, path, "quarantine_study")
+    assert kept.count() == 998 and kept.where("study IS NULL").count() == 0
+    wh = Warehouse(os.path.join(tmp, "wh"))
+    r = R.run_backfill(spark, wh, path, run_token="P", on_invalid="quarantine_study")
+    assert (r.landed, r.published) == (998, False) and TB.read_bronze(spark, wh).count() == 998
+
+
+def test_backfill_takes_the_contract_enums(spark, pages_dir, tmp):
+    import os
+
+    import pytest
+
+    from cribra.plans import runs as R
+    from cribra.sources.tables import Warehouse
+    path = pages_dir([{"studies": [study("NCT00000001")]}])
+    wh = Warehouse(os.path.join(tmp, "wh"))
+    strict = {"protocolSection.designModule.studyType": ("OBSERVATIONAL",)}
+    with pytest.raises(Exception, match="unknown enum value"):
+        R.run_backfill(spark, wh, path, run_token="E1", enums=strict)
+    r = R.run_backfill(spark, wh, path, run_token="E2", enums=strict, on_invalid="quarantine_study")
+    assert (r.landed, r.published) == (0, False)
+    assert R.run_backfill(spark, wh, path, run_token="E3").landed == 1

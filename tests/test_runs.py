@@ -1,5 +1,6 @@
 """Drivers end to end on a temporary warehouse, and the streaming forms."""
 
+import json
 import os
 
 import pandas as pd
@@ -283,3 +284,34 @@ def test_contract_filters_run_on_typed_bronze_columns(spark, tmp, capsys):
     same = [c for c in bronze.columns if c != "ingested_at"]
     assert sorted(map(repr, TB.read_bronze(spark, wh2).select(*same).collect())) == sorted(
         map(repr, bronze.select(*same).collect()))
+
+
+def test_only_changes_of_bronze_reach_extraction(spark, tmp):
+    from cribra.sources import keyed as K
+    from cribra.sources.landing import write_landing
+    from cribra.streaming.pending_stream import landed_to_attempts
+
+    wh, landing = Warehouse(os.path.join(tmp, "wh")), os.path.join(tmp, "landing")
+    docs = {f"NCT{i:08d}": study(f"NCT{i:08d}", eligibility=f"INCLUSION: line {i}") for i in range(1, 5)}
+
+    def land(batch, ids):
+        write_landing(spark.createDataFrame([(k, "2026-08-14", json.dumps(docs[k])) for k in ids],
+                                            "nct_id string, last_update_posted string, raw string"), landing, batch)
+        landed_to_attempts(spark, wh, landing, line_extractor, "sig0").awaitTermination(120)
+        return sorted((r.nct_id, r.batch) for r in TB.read_attempts(spark, wh).collect())
+
+    first = land("b-0000", ["NCT00000001", "NCT00000002"])
+    assert [k for k, _ in first] == ["NCT00000001", "NCT00000002"]
+    again = land("b-0001", ["NCT00000001", "NCT00000002"])          # unchanged: no change rows, no work
+    assert again == first
+    table = TB.bronze_table(wh)
+    assert K.changes(spark, table, 1).count() == 0 and K.versions(spark, table)[-1] == 2
+    docs["NCT00000002"] = study("NCT00000002", eligibility="INCLUSION: other prose")
+    more = land("b-0002", ["NCT00000002", "NCT00000003"])
+    assert [k for k, _ in more] == ["NCT00000001", "NCT00000002", "NCT00000003"]   # done trials are not repeated
+    net = TB.bronze_changes(spark, wh, after=1)
+    assert sorted((r.nct_id, r.change_type) for r in net.collect()) == [
+        ("NCT00000002", "update_postimage"), ("NCT00000002", "update_preimage"), ("NCT00000003", "insert")]
+    assert TB.read_study(spark, wh, "NCT00000003").select("eligibility").first()[0] == "INCLUSION: line 3"
+    tallies = TB.bronze_tallies(spark, wh)
+    assert {(r.field, r.value): r.n for r in tallies.collect()}["overall_status", "RECRUITING"] == 3
