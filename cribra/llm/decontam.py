@@ -49,16 +49,14 @@ def words_of(text: bytes) -> list[bytes]:
 class Windows:
     """The benchmark's windows: vocabulary, windows by length, and their items."""
     vocabulary: dict[bytes, int] = field(default_factory=dict)
-    items: dict[tuple[int, ...], list[str]] = field(default_factory=dict)
+    items: dict[tuple[int, ...], dict[str, None]] = field(default_factory=dict)
     hashes: dict[int, np.ndarray] = field(default_factory=dict)
 
     def add(self, item: str, text: bytes, n: int) -> None:
         words = words_of(text)
         ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
         for i in range(max(1, len(ids) - n + 1) if ids else 0):
-            held = self.items.setdefault(tuple(ids[i:i + n]), [])
-            if item not in held:
-                held.append(item)
+            self.items.setdefault(tuple(ids[i:i + n]), {})[item] = None
 
     def close(self) -> Windows:
         by_length: dict[int, list[tuple[int, ...]]] = {}
@@ -151,22 +149,6 @@ def _merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return spans_of(np.array([s for s, _ in spans], np.int64), [e - s for s, e in spans])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
-                       text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-                       n: int = WINDOW, one_in: int = ONE_IN, block: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: id, ``n_words``, ``n_hit``, ``items``, ``spans``, ``contaminated``.
-
-    ``items`` are the ids (as sorted strings) of items with an occurring window,
-    ``spans`` the hit word ranges [start, end).
-    """
-    tagged = mark(docs.select(id_col, text_col), benchmark, text_col, item_col, item_text, n, block)
-    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return tagged.select(
-        id_col, F.col("__words").alias("n_words"), hit.alias("n_hit"),
-        F.col("__items").alias("items"), F.col("__spans").alias("spans"),
-        ((hit > 0) & (hit * one_in >= F.col("__words"))).alias("contaminated"))
-
-
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _FOUND = [
     T.StructField("n_words", T.LongType()),

@@ -34,6 +34,10 @@ QUERY_TILE, CANDIDATE_TILE = 8192, 16384
 QUERY_STEP, CANDIDATE_STEP, PAIR_STEP = 256, 4096, 1 << 16
 
 
+#: Components that one float32 product may sum: (2**24 - 1) // 127**2 is 1,040.
+EXACT = 1024
+
+
 class Tile:
     """Vectors with their int8 form, scales, norms and quantisation errors."""
 
@@ -63,10 +67,18 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def whole_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact products of int8 rows. A float32 sum of EXACT products of at most 127 by 127 is a
+    whole number below 2**24; longer vectors are cut, and the parts summed as doubles."""
+    out = np.zeros((len(a), len(b)))
+    for s in range(0, a.shape[1], EXACT):
+        out += a[:, s:s + EXACT].astype(np.float32) @ b[:, s:s + EXACT].astype(np.float32).T
+    return out
+
+
 def bounds(q: Tile, c: Tile) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of all inner products of two tiles."""
-    product = q.small.astype(np.float32) @ c.small.astype(np.float32).T
-    guess = product * (q.scale[:, None] * c.scale[None, :])
+    guess = whole_product(q.small, c.small) * (q.scale[:, None] * c.scale[None, :])
     slack = q.error[:, None] * c.norm[None, :] + q.near_norm[:, None] * c.error[None, :]
     slack += 1e-9 * (q.norm[:, None] * c.norm[None, :]) + 1e-300  # rounding of the bounds themselves
     return guess - slack, guess + slack

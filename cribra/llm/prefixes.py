@@ -71,7 +71,8 @@ def rebuilt(convs: DataFrame, group: int = 5, folds: int = 9) -> DataFrame:
     """Every conversation begins with turns of its group's first one.
 
     With ``h`` the unsigned crc32 of the decimal id modulo ``folds``: the first ``h`` turns of
-    conversation ``c - c % group`` (all if fewer, none if absent), then its own after ``h``.
+    conversation ``c - c % group`` (all if fewer, none if absent), then its own after ``h``. The
+    remainder of a negative id is SQL's, which has its sign.
     """
     heads = convs.where(F.col("conv_id") % group == 0).select(
         F.col("conv_id").alias("_base"), _first(F.col("seq"), F.lit(folds - 1)).alias("_head"))

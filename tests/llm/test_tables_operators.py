@@ -182,6 +182,27 @@ def test_quantisation_bounds_hold():
     assert (low <= exact).all() and (exact <= high).all()
 
 
+@pytest.mark.parametrize("dims", [1040, 1536, 4096])
+def test_long_vectors_with_near_ties(spark, dims):
+    rng = np.random.default_rng(dims)
+    base = rng.integers(-127, 128, dims).astype(float)
+    rows = [(0, base.tolist())]
+    for i in range(1, 90):                                   # whole components: products differ by single units
+        v = base.copy()
+        v[rng.integers(0, dims, 3)] -= rng.integers(0, 2, 3)
+        rows.append((i, v.tolist()))
+    x = np.array([r[1] for r in rows])
+    t = neighbours.Tile(np.arange(len(x)), x)
+    low, high = neighbours.bounds(t, t)
+    assert (low <= x @ x.T).all() and (x @ x.T <= high).all()
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 30 == 0)
+    want = []
+    for q in (0, 30, 60):
+        near = sorted((-float(x[q] @ x[c]), c) for c in range(90) if c != q)[:20]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(near)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 # WARC
 
 PAYLOADS = [None, "", "<p>é</p>", "x\r\n\r\ny", "ends\r\n", "ends\r", "\r\n\r\n", "\r\n\r\n\r\n\r\n", "\r\n", "a\r\n\r",
