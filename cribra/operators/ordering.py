@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,11 +67,12 @@ def first_n(df: DataFrame, order_cols: Sequence[str | Column], n: int) -> DataFr
 # Sort rule of the registry (ours where the contract is silent): missing values
 # last, dates newest first and numbers smallest first unless a direction is
 # given, and the trial id breaks ties so pages are stable.
+def default_direction(df: DataFrame, col: str) -> str:
+    return "desc" if isinstance(df.schema[col].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "asc"
+
+
 def sort_key(df: DataFrame, col: str, direction: str | None = None) -> Column:
-    dtype = df.schema[col].dataType
-    if direction is None:
-        direction = "desc" if isinstance(dtype, (T.DateType, T.TimestampType,
-                                                 T.TimestampNTZType)) else "asc"
+    direction = direction or default_direction(df, col)
     c = F.col(col)
     return c.desc_nulls_last() if direction == "desc" else c.asc_nulls_last()
 
@@ -85,6 +88,67 @@ def sort_page(df: DataFrame, sort: Sequence[tuple[str, str | None]], id_col: str
     return page.withColumn(position, F.row_number().over(Window.orderBy(*keys)))
 
 
+# ---- pages by token: a cursor over the sort keys --------------------------------
+
+def _directions(df: DataFrame, sort: Sequence[tuple[str, str | None]], id_col: str) -> list[tuple[str, str]]:
+    """Columns of the order and their directions; the id, which breaks ties, comes last."""
+    if len(sort) > 2:
+        raise ValueError("at most two sort keys")
+    return [*((c, d or default_direction(df, c)) for c, d in sort), (id_col, "asc")]
+
+
+def page_token(df: DataFrame, sort: Sequence[tuple[str, str | None]], id_col: str) -> Column:
+    """A row's place in the order as text: the sort and the row's keys, missing ones left out."""
+    keys = _directions(df, sort, id_col)
+    named = ",".join(f"{c}:{d}" for c, d in keys)
+    place = [F.col(c).cast("string").alias(f"k{i}") for i, (c, _) in enumerate(keys)]
+    return F.base64(F.to_json(F.struct(F.lit(named).alias("sort"), *place)).cast("binary"))
+
+
+def page_after(df: DataFrame, sort: Sequence[tuple[str, str | None]], id_col: str, page_size: int,
+               token: str | None = None) -> DataFrame:
+    """The page behind a token (the first page without one), each row with its ``token``.
+
+    The order is that of ``sort_page``: missing keys last, the id breaks ties. The
+    token's keys become a filter, so a page costs one per-task top-n of its own
+    size however far back it is; a page's last token leads to the next page.
+    """
+    keys = _directions(df, sort, id_col)
+    rows = df
+    if token is not None:
+        place = json.loads(base64.b64decode(token))
+        named = ",".join(f"{c}:{d}" for c, d in keys)
+        if place.get("sort") != named:
+            raise ValueError(f"the token is of the order {place.get('sort')!r}, not of {named!r}")
+        behind, same = F.lit(False), F.lit(True)
+        for i, (c, d) in enumerate(keys):
+            held, col = place.get(f"k{i}"), F.col(c)
+            if held is None:                       # nothing stands behind a missing key
+                same = same & col.isNull()
+                continue
+            at = F.lit(held).cast(df.schema[c].dataType)
+            behind = behind | (same & (((col < at) if d == "desc" else (col > at)) | col.isNull()))
+            same = same & (col == at)
+        rows = df.where(F.coalesce(behind, F.lit(False)))
+    order = [sort_key(df, c, d) for c, d in keys]
+    return rows.withColumn("token", page_token(df, sort, id_col)).orderBy(*order).limit(page_size)
+
+
+def pages(df: DataFrame, sort: Sequence[tuple[str, str | None]], id_col: str, page_size: int,
+          upto: int, page: str = "page") -> DataFrame:
+    """The first ``upto`` pages, walked by their tokens (a page's tokens reach the driver)."""
+    out, token = None, None
+    for number in range(1, upto + 1):
+        rows = page_after(df, sort, id_col, page_size, token)
+        numbered = rows.withColumn(page, F.lit(number))
+        out = numbered if out is None else out.unionByName(numbered)
+        tokens = rows.select("token").collect()          # at most page_size, in order
+        if len(tokens) < page_size:
+            break
+        token = tokens[-1]["token"]
+    return out
+
+
 def _leaves(dtype: T.DataType, prefix: str) -> list[str]:
     if isinstance(dtype, T.StructType):
         out: list[str] = []

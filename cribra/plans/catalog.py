@@ -20,6 +20,7 @@ from cribra.functions.json_fns import content_signature, json_path
 from cribra.functions.text import is_throttled, list_size, retry_budget, token_budget
 from cribra.operators import bronze as B
 from cribra.operators import extract as E
+from cribra.operators import intervals as I
 from cribra.operators import ordering as O
 from cribra.operators import pending as PD
 from cribra.operators import predicates as P
@@ -50,6 +51,7 @@ ID_REQUEST = ("nct00000007", " NCT000000042 ", "NCT1", "nct 5", "NCT00000100", "
 GEO_CENTER, GEO_DISTANCE, GEO_UNIT = (10.0, 20.0), 1500.0, "km"
 AGE_LO, AGE_HI = "18 Years", "30 Years"
 DATE_FROM, DATE_TO = "1995-03-01", "1995-06-30"
+RANGE_DAYS = 32
 PROJECTION = ("protocolSection.identificationModule", "protocolSection.statusModule.overallStatus")
 
 
@@ -542,6 +544,37 @@ def q_sort_studies(spark: SparkSession, d: str) -> DataFrame:
         "nct_id", "start_date", "enrollment", "position")
 
 
+@register("sort_pages")
+def q_sort_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The first three pages, each found from the last token of the one before."""
+    s = S.registry_studies(spark, d).withColumn(
+        "enrollment", F.when(F.col("priority") != "5-LOW", F.col("enrollment")))
+    return O.pages(s, [("overall_status", "desc"), ("enrollment", None)], "nct_id", 100, upto=3).select(
+        "page", "nct_id", "overall_status", "enrollment")
+
+
+@register("date_range_matches")
+def q_date_range_matches(spark: SparkSession, d: str) -> DataFrame:
+    """How many studies' partial start dates meet the days from each ship to each receipt date."""
+    lo, hi = I.partial_date_days("start_text")
+    studies = S.registry_studies(spark, d).select("nct_id", lo.alias("lo"), hi.alias("hi")).where("lo IS NOT NULL")
+    day = [F.unix_date(F.col(c).cast("date")).cast("long") for c in ("s", "e")]
+    asked = S.date_requests(spark, d).select("request", day[0].alias("from"), day[1].alias("to"))
+    return (I.overlap_join(studies, asked, RANGE_DAYS).groupBy("request")
+            .agg(F.count(F.lit(1)).alias("studies")))
+
+
+@register("age_range_matches")
+def q_age_range_matches(spark: SparkSession, d: str) -> DataFrame:
+    """How many studies are open to some age of each requested range; bounds may be missing."""
+    ages = S.part_ages(spark, d).select("p_partkey", I.age_minutes("minimum_age").alias("lo"),
+                                        I.age_minutes("maximum_age").alias("hi"))
+    asked = S.age_requests(spark, d).select("request", I.age_minutes("lo_text").alias("from"),
+                                            I.age_minutes("hi_text").alias("to"))
+    return (I.overlap_join(ages, asked, 5 * 525_960).groupBy("request")
+            .agg(F.count(F.lit(1)).alias("studies")))
+
+
 @register("project_fields")
 def q_project_fields(spark: SparkSession, d: str) -> DataFrame:
     s = S.registry_studies(spark, d)

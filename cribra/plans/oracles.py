@@ -602,6 +602,28 @@ O["sort_studies"] = f"""WITH {REGISTRY}
 SELECT nct_id, start_date, enrollment,
        CAST(row_number() OVER (ORDER BY start_date DESC NULLS LAST, enrollment ASC NULLS LAST, nct_id ASC) AS INTEGER) AS position
 FROM registry QUALIFY position <= 100"""
+O["sort_pages"] = f"""WITH {REGISTRY}, r AS (
+  SELECT nct_id, overall_status, CASE WHEN priority <> '5-LOW' THEN enrollment END AS enrollment FROM registry)
+SELECT CAST((row_number() OVER (ORDER BY overall_status DESC NULLS LAST, enrollment ASC NULLS LAST, nct_id) - 1) // 100 + 1
+            AS INTEGER) AS page, nct_id, overall_status, enrollment
+FROM r QUALIFY page <= 3"""
+O["date_range_matches"] = f"""WITH {REGISTRY}, r AS (
+  SELECT nct_id, {_lo('start_text')} AS lo, {_hi('start_text')} AS hi FROM registry),
+q AS (SELECT s_suppkey AS request, DATE '1992-01-01' + CAST(s_suppkey * 37 % 2400 AS INTEGER) AS s,
+             CASE WHEN s_suppkey % 10 <> 0 THEN CAST(s_suppkey % 45 AS INTEGER) END AS n FROM supplier)
+SELECT request, count(*) AS studies FROM q JOIN r ON r.hi >= q.s AND (n IS NULL OR r.lo <= q.s + n)
+GROUP BY request"""
+O["age_range_matches"] = f"""WITH {_PART_AGES},
+q AS (SELECT s_suppkey AS request,
+             CASE WHEN s_suppkey % 7 <> 0 THEN CAST(s_suppkey % 60 AS VARCHAR) || ' Years' END AS lo_text,
+             CASE WHEN s_suppkey % 5 <> 0 THEN CAST(s_suppkey % 60 + s_suppkey % 9 AS VARCHAR) || ' Years' END AS hi_text
+      FROM supplier),
+a AS (SELECT round({_minutes('minimum_age')}) AS lo, round({_minutes('maximum_age')}) AS hi FROM ages),
+b AS (SELECT request, round({_minutes('lo_text')}) AS s, round({_minutes('hi_text')}) AS e FROM q)
+SELECT request, count(*) AS studies FROM b JOIN a
+  ON (a.lo IS NULL OR b.e IS NULL OR a.lo <= b.e) AND (a.hi IS NULL OR b.s IS NULL OR a.hi >= b.s)
+  AND (a.lo IS NULL OR a.hi IS NULL OR a.lo <= a.hi) AND (b.s IS NULL OR b.e IS NULL OR b.s <= b.e)
+GROUP BY request"""
 O["project_fields"] = f"""WITH {REGISTRY}
 SELECT nct_id AS protocolSection_identificationModule_nctId, alias AS protocolSection_identificationModule_orgStudyId,
        overall_status AS protocolSection_statusModule_overallStatus FROM registry"""

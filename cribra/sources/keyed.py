@@ -5,7 +5,7 @@ touches and refers to all others: what an incremental run reads and writes follo
 buckets of its batch and not the table. Every version is one small commit file that
 names, for each bucket, the write that holds it:
 
-* ``data/write=W/bucket=B``  whole buckets, sorted by key, with a Bloom filter on the key
+* ``data/write=W/bucket=B``  whole buckets, sorted by key
 * ``changes/write=W``        change rows of that write (insert, update pre and post image)
 * ``commits/NNNNNNNN.json``  version, write, bucket -> write
 
@@ -198,8 +198,9 @@ def _write(spark: SparkSession, table: KeyedTable, commit: Commit, batch: DataFr
                             strategy="keyed" if small else "full_outer").drop(B.ACTION_COL)
     if not small or not any(b in commit.held for b in touched):
         merged = merged.repartition("bucket")
-    (merged.sortWithinPartitions("bucket", key).write.partitionBy("bucket")
-     .option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{table.root}/data/write={write}"))
+    # Sorted files carry narrow ranges of the key in their statistics, so point reads skip row groups.
+    merged.sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(
+        f"{table.root}/data/write={write}")
     if any(b in commit.held for b in touched):
         keys = batch.select(key)
         before = target.join(F.broadcast(keys) if small else keys, key, "left_semi")

@@ -393,6 +393,26 @@ def part_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", min_age.alias("minimum_age"), max_age.alias("maximum_age"))
 
 
+@_view
+def date_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as requests for a range of days, some without an end."""
+    k = F.col("s_suppkey")
+    start = F.date_add(F.lit("1992-01-01").cast("date"), (k * 37 % 2400).cast("int"))
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("request"), start.alias("s"),
+        F.when(k % 10 != 0, F.date_add(start, (k % 45).cast("int"))).alias("e"))
+
+
+@_view
+def age_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as requests for a range of ages, some open at one end."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("request"),
+        F.when(k % 7 != 0, F.concat((k % 60).cast("string"), F.lit(" Years"))).alias("lo_text"),
+        F.when(k % 5 != 0, F.concat((k % 60 + k % 9).cast("string"), F.lit(" Years"))).alias("hi_text"))
+
+
 @_view
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as studies with locations: consecutive dimension pairs as (lat, lon)."""
