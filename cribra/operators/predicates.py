@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cribra.functions.dates import duration_minutes
-from cribra.functions.geo import KM_PER_UNIT, haversine_km
+from cribra.functions.geo import (CELL_DEGREES, KM_PER_UNIT, cell_of, covering_cells, haversine_km,
+                                  in_cells)
 from cribra.functions.ids import canonical_nct, is_valid_nct
 
 # The configured scope (condition ancestor, study type, status).
@@ -117,6 +118,41 @@ def filter_geo(df: DataFrame, locations_col: str, lat: float, lon: float, distan
     return df.where(F.coalesce(near, F.lit(False)))
 
 
+def _at(p: Column, path: str) -> Column:
+    for part in path.split("."):
+        p = p[part]
+    return p
+
+
+def location_cells(df: DataFrame, id_col: str, locations_col: str, lat_field: str = "lat",
+                   lon_field: str = "lon", step: float = CELL_DEGREES) -> DataFrame:
+    """One row per location: id, ``lat``, ``lon`` and its grid ``cell``.
+
+    Written by ``write_location_cells`` it is an index: sorted by cell, so a circle's
+    cells skip row groups. A study without locations has no row.
+    """
+    one = df.select(id_col, F.explode(locations_col).alias("_p"))
+    lat, lon = (_at(F.col("_p"), f).cast("double") for f in (lat_field, lon_field))
+    return one.select(id_col, lat.alias("lat"), lon.alias("lon")).withColumn(
+        "cell", cell_of(F.col("lat"), F.col("lon"), step))
+
+
+def write_location_cells(cells: DataFrame, path: str) -> None:
+    cells.repartitionByRange("cell").sortWithinPartitions("cell").write.parquet(path)
+
+
+def near_by_cells(cells: DataFrame, id_col: str, lat: float, lon: float, distance: float, unit: str,
+                  step: float = CELL_DEGREES) -> DataFrame:
+    """Ids with any location within ``distance``, as ``filter_geo``: the circle's cells are a
+    filter on the scan, and the distance is computed for what they hold."""
+    if unit not in KM_PER_UNIT:
+        raise ValueError(f"unit must be one of {sorted(KM_PER_UNIT)}")
+    km = distance * KM_PER_UNIT[unit]
+    some = cells.where(in_cells(F.col("cell"), covering_cells(lat, lon, km, step)))
+    near = haversine_km(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon)) <= F.lit(km)
+    return some.where(near).select(id_col).distinct()
+
+
 def filter_age(df: DataFrame, min_col: str, max_col: str, lo: str | None, hi: str | None) -> DataFrame:
     """Studies open to some age in [lo, hi]; a missing bound on either side is open."""
     smin, smax = duration_minutes(min_col), duration_minutes(max_col)

@@ -523,6 +523,16 @@ def q_filter_geo(spark: SparkSession, d: str) -> DataFrame:
     return P.filter_geo(S.points(spark, d), "locations", lat, lon, GEO_DISTANCE, GEO_UNIT).select("vec_id")
 
 
+@register("geo_index")
+def q_geo_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same search over all locations indexed by grid cell."""
+    lat, lon = GEO_CENTER
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cells-{uuid.uuid4().hex}"
+    cells = P.location_cells(S.points(spark, d), "vec_id", "locations")
+    P.write_location_cells(cells, path)
+    return P.near_by_cells(spark.read.schema(cells.schema).parquet(path), "vec_id", lat, lon, GEO_DISTANCE, GEO_UNIT)
+
+
 @register("filter_age")
 def q_filter_age(spark: SparkSession, d: str) -> DataFrame:
     return P.filter_age(S.part_ages(spark, d), "minimum_age", "maximum_age", AGE_LO, AGE_HI).select(

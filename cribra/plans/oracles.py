@@ -586,6 +586,7 @@ def _hav(lat: str, lon: str) -> str:
 O["filter_geo"] = f"""SELECT vec_id FROM embeddings
 WHERE len(list_filter(range(0, len(embedding) // 2), lambda i: {_hav(
     'CAST(embedding[2 * i + 1] AS DOUBLE) * 90.0E0', 'CAST(embedding[2 * i + 2] AS DOUBLE) * 180.0E0')} <= {_LIMIT_KM!r}E0)) > 0"""
+O["geo_index"] = O["filter_geo"]
 _PART_AGES = """ages AS (
   SELECT p_partkey,
          CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS VARCHAR) || ' Months' ELSE CAST(p_size AS VARCHAR) || ' Years' END AS minimum_age,
