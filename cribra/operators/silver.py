@@ -142,11 +142,13 @@ def run_result(counters: DataFrame, stats: DataFrame, signature: str) -> DataFra
     ``counters`` is ``run_counters``, ``stats`` is ``silver_stats``: the criteria under the
     signature, and the trials still to do. Each is one row.
     """
-    one = counters.crossJoin(F.broadcast(stats.select("criteria", (F.col("total") - F.col("trials")).alias("remaining"))))
-    return one.select(
+    one = stats.select(F.struct("criteria", (F.col("total") - F.col("trials")).alias("remaining")).alias("s")).scalar()
+    remaining = one.getField("remaining")
+    return counters.select(
         F.lit(signature).alias("signature"), F.col("succeeded").alias("trials_written"),
-        F.col("criteria").alias("criteria_written"), "succeeded", "failed", "rate_limited", "remaining",
-        ((F.col("remaining") > 0) & (F.col("rate_limited") > 0) & (F.col("failed") > 0)).alias("quota_exhausted"))
+        one.getField("criteria").alias("criteria_written"), "succeeded", "failed", "rate_limited",
+        remaining.alias("remaining"),
+        ((remaining > 0) & (F.col("rate_limited") > 0) & (F.col("failed") > 0)).alias("quota_exhausted"))
 
 
 def progress_percent(done: Column, total: Column) -> Column:

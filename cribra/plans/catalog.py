@@ -177,6 +177,12 @@ def q_bronze_tallies(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@register("bronze_footer_stats")
+def q_bronze_footer_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and newest update of Bronze after three merges, from the files' footers."""
+    return K.footer_stats(spark, _three_merges(spark, d), "last_update_posted")
+
+
 @register("bronze_point_read")
 def q_bronze_point_read(spark: SparkSession, d: str) -> DataFrame:
     """One study of all documents as a keyed table: its bucket's files alone are opened."""

@@ -363,6 +363,8 @@ O["bronze_tallies"] = f"""WITH {UPDATES}, {FIRST}, {SECOND}, {MERGED}, long AS (
   UNION ALL SELECT 'last_update_posted', CAST(last_update_posted AS VARCHAR) FROM merged
   UNION ALL SELECT 'bytes', CAST(strlen(raw) AS VARCHAR) FROM merged)
 SELECT field, value, count(*) AS n FROM long GROUP BY field, value"""
+O["bronze_footer_stats"] = f"""WITH {UPDATES}, {BRONZE_ALL}
+SELECT count(*) AS rows, max(last_update_posted) AS newest FROM bronze_all"""
 O["bronze_point_read"] = f"""WITH {BRONZE_DOCS}
 SELECT nct_id, eligibility, lang, source FROM bronze_docs WHERE nct_id = {_q(C.POINT_ID)}"""
 O["study_problems"] = f"""WITH {PAGES}

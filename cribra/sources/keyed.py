@@ -146,6 +146,21 @@ def read(spark: SparkSession, table: KeyedTable, version: int | None = None) ->
     return _read(spark, table, commit_of(spark, table, version)).drop("bucket")
 
 
+def footer_stats(spark: SparkSession, table: KeyedTable, newest: str) -> DataFrame:
+    """``rows`` and the largest ``newest`` (a date or number) of the newest version, from the
+    files' footers: no data page is read.
+
+    Spark answers count, min and max from footers in its second reader for parquet only. A
+    session of its own turns that on, so the caller's settings stay as they are.
+    """
+    own = spark.newSession()
+    first = own.conf.get("spark.sql.sources.useV1SourceList", "").split(",")
+    own.conf.set("spark.sql.sources.useV1SourceList", ",".join(x for x in first if x != "parquet"))
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return _read(own, table, commit_of(own, table)).agg(
+        F.count(F.lit(1)).alias("rows"), F.max(newest).alias("newest"))
+
+
 def read_key(spark: SparkSession, table: KeyedTable, value) -> DataFrame:  # noqa: ANN001 - of the key's type
     """The row of one key: its bucket alone is listed, and the files' statistics skip row groups."""
     commit = commit_of(spark, table)

@@ -145,3 +145,20 @@ def test_null_keys_repeats_and_empty_batches(spark, tmp_path):
     again = K.merge(spark, t, frame(spark, []).where(F.lit(False)), ["seq"])
     assert again.version == done.version
     assert K.read(spark, t).where("at IS NULL").count() == 0
+
+
+def test_counts_come_from_footers(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("day", T.DateType()),
+                           T.StructField("text", T.StringType())])
+    t = K.KeyedTable(str(tmp_path), schema, "k", 4)
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    assert K.footer_stats(spark, t, "day").first()["rows"] == 0
+    rows = spark.range(300).selectExpr("concat('k', id) AS k", "date_add(date'2024-01-01', cast(id % 40 AS int)) AS day",
+                                       "repeat('x', 50) AS text")
+    K.merge(spark, t, rows)
+    K.merge(spark, t, rows.where("k = 'k3'").withColumn("day", F.lit("2030-05-05").cast("date")))
+    got = K.footer_stats(spark, t, "day")
+    assert [str(x) for x in got.first()] == ["300", "2030-05-05"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MAX(day)]" in plan
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
