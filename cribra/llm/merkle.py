@@ -119,12 +119,12 @@ def descend(levels: list[DataFrame], arity: int) -> DataFrame | None:
 class Manifest:
     """``leaves``: id, ``digest``, ``tree``, ``size``, ``place`` and what was kept; ``levels`` and
     ``top_levels``: the written levels of the group trees and of the top tree; ``subroots``:
-    ``tree``, ``digest``, ``place``; ``root``: one row with ``root``, none for an empty table."""
+    ``tree``, ``digest``, ``place``; ``root``: its digest, None for an empty table."""
     leaves: DataFrame
     levels: list[DataFrame]
     subroots: DataFrame
     top_levels: list[DataFrame]
-    root: DataFrame
+    root: bytes | None
     arity: int
 
 
@@ -146,12 +146,11 @@ def build(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source",
     levels, tops = climb(nodes, arity, "merkle")
     # A tree is named by the place of its first leaf, so trees are in group order.
     subroots = written(global_index(tops, ["tree"], "place"), "merkle-subroots")
-    count = subroots.agg(F.count("*").alias("size"))
-    top = subroots.crossJoin(F.broadcast(count)).select(
-        F.lit(0).cast("long").alias("tree"), "size", "place", "digest")
+    top = subroots.select(F.lit(0).cast("long").alias("tree"), F.lit(subroots.count()).cast("long").alias("size"),
+                          "place", "digest")
     top_levels, root = climb(top, arity, "merkle-top")
-    return Manifest(nodes, levels, subroots, top_levels,
-                    root.select(F.col("digest").alias("root")), arity)
+    top_node = root.first()
+    return Manifest(nodes, levels, subroots, top_levels, top_node and bytes(top_node["digest"]), arity)
 
 
 def proofs(manifest: Manifest) -> DataFrame:
@@ -168,8 +167,7 @@ def proofs(manifest: Manifest) -> DataFrame:
         upper = upper.withColumn("upper", none)
     else:
         upper = upper.join(high.select("place", F.col("path").alias("upper")), "place")
-    # One row per group; the root is one row.
-    upper = upper.drop("place").crossJoin(F.broadcast(manifest.root))
+    upper = upper.drop("place").withColumn("root", F.lit(manifest.root).cast("binary"))
     return (leaves.join(upper, "tree").withColumn("path", F.concat("path", "upper")).drop("tree", "upper"))
 
 

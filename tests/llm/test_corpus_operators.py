@@ -144,7 +144,7 @@ def test_manifest_of_one_row_and_none(spark):
     assert got == list(brute_manifest(one, 3))
     assert got[0][1] == got[0][2] == got[0][3] and got[0][4] == h()
     assert manifest(docs.limit(0)) == []
-    assert merkle.build(docs.limit(0)).root.count() == 0
+    assert merkle.build(docs.limit(0)).root is None
 
 
 # conversations

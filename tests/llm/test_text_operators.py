@@ -422,3 +422,28 @@ def test_packing_without_constraints_and_empty(docs, none):
     free = packing.best_fit(docs, source_col=None, capacity=512)
     assert free.select("bin_id").distinct().count() <= packing.best_fit(docs, capacity=512).select("bin_id").distinct().count()
     assert packing.best_fit(none).count() == 0
+
+
+@pytest.mark.parametrize("versions", [1, 3, 12, 50])
+@pytest.mark.parametrize("together", [True, False])
+def test_exact_copies_meet_behind_template_versions(spark, versions, together):
+    rng = random.Random(versions)
+    rows, pairs = [], []
+    for g in range(8):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        family = []
+        for _ in range(versions):
+            other = list(base)
+            for k in range(rng.randrange(25), 200, 25):
+                other[k] = f"v{rng.randrange(10**9)}"
+            family.append(" ".join(other))
+        rows += [(1000 * g + i, text, 0) for i, text in enumerate([*family, " ".join(base)])]
+        pairs.append((1000 * g + versions, 100_000 + g))
+        rows.append((100_000 + g, " ".join(base), 0 if together else 1))
+    rows = [r for r in rows if r[2] == 0] + [r for r in rows if r[2] == 1]
+    cut = sum(r[2] == 0 for r in rows)
+    parts = [rows[:cut], rows[cut:]] if cut < len(rows) else [rows]
+    rdd = spark.sparkContext.parallelize(range(len(parts)), len(parts)).flatMap(lambda k: [r[:2] for r in parts[k]])
+    got = passages.duplicate_passages(spark.createDataFrame(rdd, "doc_id long, text string")).collect()
+    whole = {i for r in got for i, n in ((r.doc_id, r.n_words), (r.other_id, r.other_words)) if n >= 195}
+    assert all(copy in whole for _, copy in pairs)
