@@ -17,7 +17,7 @@ def _plan(df) -> str:
 @pytest.mark.parametrize("key,pushed", [
     ("custom_predicate", "EqualTo(lang,de)"),
     ("updated_since", "GreaterThanOrEqual(ts,2024-01-20T00:00)"),
-    ("study_by_id", "EqualTo(doc_id,42)"),
+    ("bronze_point_read", "EqualTo(nct_id,NCT00000042)"),
     ("filter_status", "In(o_orderstatus, [O,P])"),
 ])
 def test_filters_reach_the_parquet_scan(spark, key, pushed):
