@@ -7,7 +7,6 @@ import pandas as pd
 from conftest import line_extractor, study, write_pages
 from pyspark.sql import functions as F
 
-from cribra.operators import extract as E
 from cribra.plans import runs as R
 from cribra.sources import tables as TB
 from cribra.sources.tables import Warehouse
