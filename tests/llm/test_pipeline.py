@@ -20,8 +20,9 @@ def test_names_and_order():
                      "best-fit packing"]
     assert corpus_pipeline.ORACLE_SQL is None
     by_number = {k.split("_")[0] for k in queries()}
-    assert {f"op{n}" for n in range(1, 11)} <= by_number and "pipeline" in queries()
-    assert {k.split("_")[0] for k in oracle_sql() if k.startswith("op")} == {"op1", "op3", "op4", "op6", "op10"}
+    assert {f"op{n}" for n in range(1, 14)} <= by_number and "pipeline" in queries()
+    assert {k.split("_")[0] for k in oracle_sql() if k.startswith("op")} == {
+        "op1", "op3", "op4", "op6", "op10", "op11", "op12", "op13"}
 
 
 def test_pipeline_equals_plain_stages(spark):
