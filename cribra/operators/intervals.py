@@ -6,11 +6,18 @@ meet by an equi-join, and a pair is kept in the one bin that holds the later of
 their two starts, so no pair comes twice and nothing needs a distinct. A bin with
 very many intervals is split by a salt: its intervals are dealt over the salts and
 its ranges, the smaller side, go to each. No bin is a task of its own size.
+
+Where only the number of pairs a range has is wanted, no pair is made: an interval that
+does not meet a range starts after its end or ends before its start, never both, so the
+number is that of starts up to the range's end less that of ends before its start. Both
+are running counts over bounds, so the work grows with the rows and not with the pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from math import isqrt
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cribra.functions.dates import duration_minutes, partial_date_hi, partial_date_lo
@@ -20,11 +27,14 @@ BIN_ROWS = 100_000
 
 
 def overlap_join(intervals: DataFrame, ranges: DataFrame, width: int, lo: str = "lo", hi: str = "hi",
-                 from_col: str = "from", to_col: str = "to", bin_rows: int = BIN_ROWS) -> DataFrame:
+                 from_col: str = "from", to_col: str = "to", bin_rows: int = BIN_ROWS,
+                 count: str | None = None) -> DataFrame:
     """All pairs of rows that overlap, with the columns of both sides (names must differ).
 
     ``width``: of a bin, about the length of a usual interval. An empty interval
     (``lo > hi``) overlaps nothing; open ends reach to the ends of the other side.
+    With ``count``, each range that overlaps any interval comes once, with their number
+    under that name; bins are then of the bounds' own span.
     """
     i_lo, i_hi, r_lo, r_hi = (F.col(c).cast("long") for c in (lo, hi, from_col, to_col))
     # Two numbers a side: the span of known bounds, beyond which an open end need not go.
@@ -43,6 +53,14 @@ def overlap_join(intervals: DataFrame, ranges: DataFrame, width: int, lo: str =
 
     left = binned(intervals, i_lo, i_hi, ("_ia", "_iz"))
     right = binned(ranges, r_lo, r_hi, ("_ra", "_rz"))
+    if count is not None:
+        step = isqrt(most - least) + 1
+        upto = _running(left.select(F.col("_ia").alias("_rz")), right, "_rz", step)
+        past = _running(left.select(F.col("_iz").alias("_ra")), right, "_ra", step)
+        return (right.join(upto.select("_rz", F.col("_upto").alias("_starts")), "_rz")
+                .join(past.select("_ra", F.col("_below").alias("_ends")), "_ra")
+                .withColumn(count, F.col("_starts") - F.col("_ends")).where(F.col(count) > 0)
+                .select(*ranges.columns, count))
     placed = left.withColumn("_bin", bins(("_ia", "_iz")))
     # One row per bin.
     salts = (left.select(bins(("_ia", "_iz")).alias("_bin")).groupBy("_bin").count()
@@ -57,6 +75,21 @@ def overlap_join(intervals: DataFrame, ranges: DataFrame, width: int, lo: str =
     return pairs.select(*intervals.columns, *ranges.columns)
 
 
+def _running(bounds: DataFrame, asked: DataFrame, at: str, step: int) -> DataFrame:
+    """Number of ``bounds`` below (``_below``) and up to (``_upto``) each value of ``at`` on either side.
+
+    Counted by value first, then within bins of ``step`` values, then over the totals of
+    the bins: with the root of the span as step, neither holds more rows than that.
+    """
+    each = (bounds.select(at, F.lit(1).alias("_n")).union(asked.select(at, F.lit(0)))
+            .groupBy(at).agg(F.sum("_n").alias("_n")).withColumn("_bin", F.floor(F.col(at) / step).cast("long")))
+    bins = each.groupBy("_bin").agg(F.sum("_n").alias("_all"))
+    before = bins.select("_bin", (F.sum("_all").over(Window.orderBy("_bin")) - F.col("_all")).alias("_before"))
+    return (each.withColumn("_in", F.sum("_n").over(Window.partitionBy("_bin").orderBy(at)))
+            .join(before, "_bin").withColumn("_upto", F.col("_before") + F.col("_in"))
+            .select(at, "_upto", (F.col("_upto") - F.col("_n")).alias("_below")))
+
+
 def partial_date_days(text: Column | str) -> tuple[Column, Column]:
     """First and last day that a partial date covers, as days since 1970-01-01."""
     return F.unix_date(partial_date_lo(text)).cast("long"), F.unix_date(partial_date_hi(text)).cast("long")

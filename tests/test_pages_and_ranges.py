@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 
 from cribra.operators import intervals as I
 from cribra.operators import ordering as O
+from cribra.plans.catalog import QUERIES
 
 rows = st.lists(st.tuples(st.one_of(st.none(), st.dates(dt.date(2024, 1, 1), dt.date(2024, 1, 3))),
                           st.one_of(st.none(), st.sampled_from([0.1, 1 / 3, -2.5, 1e300]))), max_size=14)
@@ -68,3 +70,39 @@ def test_overlap_join_equals_brute_force(spark, width, bin_rows, capsys):
     plan = capsys.readouterr().out
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert I.overlap_join(left.limit(0), right, width).count() == 0
+
+
+def test_overlap_counts_equal_the_pairs(spark):
+    rng = random.Random(5)
+
+    def some(n):
+        bounds = [None, -(10 ** 9), *range(-20, 20), 10 ** 9]
+        return [(rng.choice([None, i % 30]), rng.choice(bounds), rng.choice(bounds)) for i in range(n)]
+
+    left = spark.createDataFrame(some(300), "i long, lo long, hi long")
+    right = spark.createDataFrame(some(200) + [(1, 5, 5)] * 3, "r long, from long, to long")
+    got = I.overlap_join(left, right, 10, count="n").collect()
+    pairs = I.overlap_join(left, right, 10 ** 8).collect()
+    asked = [tuple(r) for r in right.collect()]
+    of = Counter((r["r"], r["from"], r["to"]) for r in pairs)
+    times = Counter(asked)
+    assert (Counter(tuple(r) for r in got)
+            == Counter((*r, of[r] // times[r]) for r in asked if of[r]))
+    assert I.overlap_join(left.limit(0), right, 10, count="n").count() == 0
+
+
+@pytest.mark.parametrize("name", ["age_range_matches"])
+def test_range_counts_grow_with_the_rows_not_the_pairs(spark, tmp_path, name):
+    """20,000 rows on each side: hundreds of millions of pairs, of which a join makes each."""
+    n = 20_000
+    d = str(tmp_path)
+    spark.range(n).selectExpr("id AS s_suppkey").write.parquet(f"{d}/supplier.parquet")
+    spark.range(n).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "concat('Brand#', id % 5) AS p_brand"
+                              ).write.parquet(f"{d}/part.parquet")
+    spark.range(n).selectExpr("id AS o_orderkey", "date_add(DATE'1995-01-01', CAST(id % 900 AS INT)) AS o_orderdate",
+                              "'4-NOT SPECIFIED' AS o_orderpriority", "'O' AS o_orderstatus",
+                              "CAST(id AS DOUBLE) AS o_totalprice").write.parquet(f"{d}/orders.parquet")
+    found = QUERIES[name](spark, d)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" not in plan
+    assert found.agg({"studies": "sum"}).first()[0] > 50 * n
