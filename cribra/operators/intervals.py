@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cribra.functions.dates import duration_minutes, partial_date_hi, partial_date_lo
+from cribra.session import checkpoint_dir
 
 #: Intervals of a bin that one salt holds.
 BIN_ROWS = 100_000
@@ -37,6 +38,10 @@ def overlap_join(intervals: DataFrame, ranges: DataFrame, width: int, lo: str =
     under that name; bins are then of the bounds' own span.
     """
     i_lo, i_hi, r_lo, r_hi = (F.col(c).cast("long") for c in (lo, hi, from_col, to_col))
+    if count is not None:
+        # Each side is read, and its texts are parsed, once.
+        intervals = _kept(intervals.groupBy(i_lo.alias(lo), i_hi.alias(hi)).agg(F.count(F.lit(1)).alias("_n")))
+        ranges = _kept(ranges)
     # Two numbers a side: the span of known bounds, beyond which an open end need not go.
     ends_i = intervals.agg(F.min(F.least(i_lo, i_hi)).alias("a"), F.max(F.greatest(i_lo, i_hi)).alias("z")).first()
     ends_r = ranges.agg(F.min(F.least(r_lo, r_hi)).alias("a"), F.max(F.greatest(r_lo, r_hi)).alias("z")).first()
@@ -55,8 +60,8 @@ def overlap_join(intervals: DataFrame, ranges: DataFrame, width: int, lo: str =
     right = binned(ranges, r_lo, r_hi, ("_ra", "_rz"))
     if count is not None:
         step = isqrt(most - least) + 1
-        upto = _running(left.select(F.col("_ia").alias("_rz")), right, "_rz", step)
-        past = _running(left.select(F.col("_iz").alias("_ra")), right, "_ra", step)
+        upto = _running(left.select(F.col("_ia").alias("_rz"), "_n"), right, "_rz", step)
+        past = _running(left.select(F.col("_iz").alias("_ra"), "_n"), right, "_ra", step)
         return (right.join(upto.select("_rz", F.col("_upto").alias("_starts")), "_rz")
                 .join(past.select("_ra", F.col("_below").alias("_ends")), "_ra")
                 .withColumn(count, F.col("_starts") - F.col("_ends")).where(F.col(count) > 0)
@@ -75,13 +80,19 @@ def overlap_join(intervals: DataFrame, ranges: DataFrame, width: int, lo: str =
     return pairs.select(*intervals.columns, *ranges.columns)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _running(bounds: DataFrame, asked: DataFrame, at: str, step: int) -> DataFrame:
-    """Number of ``bounds`` below (``_below``) and up to (``_upto``) each value of ``at`` on either side.
+    """Number ``_n`` of ``bounds`` below (``_below``) and up to (``_upto``) each value of ``at`` on either side.
 
     Counted by value first, then within bins of ``step`` values, then over the totals of
     the bins: with the root of the span as step, neither holds more rows than that.
     """
-    each = (bounds.select(at, F.lit(1).alias("_n")).union(asked.select(at, F.lit(0)))
+    each = (bounds.union(asked.select(at, F.lit(0).cast("long")))
             .groupBy(at).agg(F.sum("_n").alias("_n")).withColumn("_bin", F.floor(F.col(at) / step).cast("long")))
     bins = each.groupBy("_bin").agg(F.sum("_n").alias("_all"))
     before = bins.select("_bin", (F.sum("_all").over(Window.orderBy("_bin")) - F.col("_all")).alias("_before"))
