@@ -365,6 +365,39 @@ def test_passages_empty_table(none):
     assert passages.duplicate_passages(none).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_windows_meet_the_one_before_whatever_the_batches(spark, size):
+    now = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(8 * key, 10 * key + n, 0, 5, 60, None, 100 * key + n, None, None) for key in (1, 2) for n in range(7)]
+    rows += [(8, 15, 200, 205, 260, None, 999, None, None), (3, 1, 2, 3, 4, 5, 6, 7, 8)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    try:
+        made = passages._links(spark.createDataFrame(rows, passages._LINKS)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", now)
+    got = {(r.doc, r.hub) for r in made if r.key % 8 == 0}
+    want = {(10 * k + n, 10 * k + m) for k in (1, 2) for n in range(1, 7) for m in (0, n - 1)}
+    assert got == want
+    assert [tuple(r) for r in made if r.key == 3] == [rows[-1]]
+
+
+def test_links_of_a_pair_count_its_votes_across_batches():
+    import numpy as np
+    import pyarrow as pa
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(40), rng.randrange(3), rng.choice([0, 0, 30]), 50, 100, rng.randrange(3), 0, 50, 100)
+                  for _ in range(300))
+    rows.sort(key=lambda r: (r[1], r[5]))
+    long = [r for r in rows if min(r[3] - r[2], r[7] - r[6]) + min(r[4] - r[3], r[8] - r[7]) + 1 >= 90]
+    for votes in (1, 2, 8):
+        want = [r for r in long if len({x[0] & 7 for x in long if (x[1], x[5]) == (r[1], r[5])}) >= votes]
+        for size in (1, 2, 7, 1000):
+            batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[k:k + size])],
+                                                  names=passages._EDGE) for k in range(0, len(rows), size)]
+            got = [tuple(x) for c in passages._supported(batches, 180, votes) for x in np.array(c).T.tolist()]
+            assert got == want
+
+
 # packing
 
 @pytest.mark.parametrize("shard_rows", [10**6, 7])
