@@ -337,6 +337,60 @@ def _longest_similar(a, b, t, similarity):
     return best
 
 
+@pytest.mark.parametrize("t", [1, 2, 5, 46])
+def test_windows_of_many_texts_are_those_of_each(t, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(t)
+    sizes = [0, t - 1, t, t + 1, 0, 300, 3, 1000, 40, 0]
+    one_by_one, plain = [], passages.compact_windows
+    monkeypatch.setattr(passages, "compact_windows", lambda *x: one_by_one.append(len(x[0])) or plain(*x))
+    for different in (1, 3, 30, 1 << 60):
+        parts = [rng.integers(0, different, n).astype(np.uint64) * np.uint64(8) for n in sizes]
+        h, counts = np.concatenate(parts), np.array(sizes)
+        got = np.stack(passages.compact_windows_of_all(h, counts, t)).T.tolist()
+        starts = np.cumsum(counts) - counts
+        want = [[n, *(int(x + starts[n]) for x in w)] for n, part in enumerate(parts) for w in plain(part, t, True)]
+        assert sorted(got) == sorted(want)
+        # Windows of one hash and text come as from the text itself: which one links goes by it.
+        for h_and_text in {(n, int(h[c])) for n, _, c, _ in want}:
+            assert [x for x in got if (x[0], int(h[x[2]])) == h_and_text] == [
+                x for x in want if (x[0], int(h[x[2]])) == h_and_text]
+    one_by_one.clear()
+    passages.compact_windows_of_all(h, counts, t)
+    assert not one_by_one  # texts without repeats need no walk of their own
+
+
+def test_tokens_of_many_texts_are_those_of_each():
+    texts = [b"", b"one", b"a b c d", b"a b c d e", b"  ", b"A b C d e f g", b"x " * 50, b"a"]
+    tok, counts = passages.tokens_of_all(texts)
+    each = [passages.tokens(x).tolist() for x in texts]
+    assert counts.tolist() == [len(x) for x in each] == [0, 0, 0, 1, 0, 3, 46, 0]
+    assert tok.tolist() == sum(each, [])
+    assert [(p, at) for p, at in passages._parts(iter([b"x" * passages.TOGETHER * 7, b"y", b"z"]))][1] == ([b"y", b"z"], 1)
+
+
+def test_longest_by_sets_equals_trying_all_ranges():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    some = 0
+    for n in range(300):
+        a, b = (rng.integers(0, (3, 12, 60)[n % 3], rng.integers(6, 60)) for _ in range(2))
+        i = np.array([k for k in range(min(len(a), len(b))) if a[k] == b[k] and k % 11])
+        if not len(i):
+            continue
+        broken = np.diff(i) > 1
+        best = 3
+        for s in [0, *(np.flatnonzero(broken) + 1).tolist()]:
+            for e in [*np.flatnonzero(broken).tolist(), len(i) - 1]:
+                x, y = set(b[i[s]:i[e] + 1].tolist()), set(a[i[s]:i[e] + 1].tolist())
+                if e >= s and i[e] - i[s] + 1 > best and len(x & y) >= 0.7 * len(x | y):
+                    best, where = i[e] - i[s] + 1, (s, e)
+        got = passages._longest_by_sets(a, b, i, i, 4, 0.7)
+        assert (got is None) if best == 3 else got == where
+        some += best > 3
+    assert some > 20
+
+
 @pytest.mark.parametrize("length,changed", [
     (50, [25]), (80, [40]), (88, [44]), (130, [43, 86]), (200, [40, 80, 120, 160]), (60, [10, 50]),
     (90, [30, 60]), (70, [])])
