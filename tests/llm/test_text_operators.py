@@ -435,6 +435,25 @@ def test_windows_meet_the_one_before_whatever_the_batches(spark, size):
     assert [tuple(r) for r in made if r.key == 3] == [rows[-1]]
 
 
+@pytest.mark.parametrize("together", [1, 3, 5, 100])
+def test_windows_meet_whatever_is_put_together(spark, together):
+    rng = random.Random(6)
+    rows = [(8 * rng.randrange(4), n, 0, 5, 60, None, rng.randrange(12), None, None) for n in range(80)]
+    now = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        made = passages._links(spark.createDataFrame(rows, passages._LINKS), together).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", now)
+    want = set()
+    for key in {r[0] for r in rows}:
+        group = [r for r in rows if r[0] == key]
+        for n, r in enumerate(group):
+            twin = next((x[1] for x in group[:n] if x[6] == r[6]), None)
+            want |= {(r[1], x) for x in ([twin] if twin is not None else [group[0][1], group[n - 1][1]] if n else [])}
+    assert {(r.doc, r.hub) for r in made} == want
+
+
 def test_links_of_a_pair_count_its_votes_across_batches():
     import numpy as np
     import pyarrow as pa
